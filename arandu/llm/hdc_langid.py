@@ -179,20 +179,19 @@ class Prototypes:
         return predict(text)
 
 
-def learn(rows: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 1500, max_langs: int = 500, dim: int = DIM, seed: int = SEED) -> Prototypes:
+def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, max_langs: int = 500, dim: int = DIM, seed: int = SEED) -> Prototypes:
     """Prototypes from labelled rows.
 
-    Bounds: about per_lang rows of each language, chosen by a hash of the text (repeated texts are chosen together), and
-    the max_langs most frequent languages. Rows with null text or language, or without a letter, teach nothing.
+    Bounds: about per_lang rows of each language, chosen by a hash of key and text, and the max_langs most frequent languages. Rows with null text or language, or without a letter, teach nothing.
     """
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not sizes:
         return Prototypes([], np.zeros((0, dim)), dim, seed)
     chosen = F.lit(False)
     for r in sizes:
         own = F.col("lang") == r["lang"]
-        chosen = chosen | (own if r["count"] <= per_lang else own & hash_fraction(per_lang / r["count"], F.col("text")))
+        chosen = chosen | (own if r["count"] <= per_lang else own & hash_fraction(per_lang / r["count"], F.col("key"), F.col("text")))
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, total = _encoder(dim, seed), {}
@@ -202,7 +201,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", per_lang: int
         if total:
             yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
 
-    partial = rows.where(chosen).repartition(24).mapInPandas(sums, "lang string, vector array<double>").collect()
+    partial = rows.where(chosen).select("lang", "text").repartition(24).mapInPandas(sums, "lang string, vector array<double>").collect()
     total: dict[str, np.ndarray] = {}
     for r in partial:
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["vector"])

@@ -38,3 +38,94 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_automaton import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ipf_mix import mix
+    from .stages import ALPHA, KEEP, topic_of, words_in
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("words", words_in(F.col("text")))
+    docs = docs.withColumn("form", topic_of(F.col("text"), F.col("words"))).drop("text")
+    mixed = mix(docs, F.col("words"), F.col("form"), alpha=ALPHA, keep=KEEP)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+
+
+@query
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bitpack import read_shards, write_shards
+    from .common import new_path
+
+    shards = write_shards(table(spark, sf_dir, "documents"), new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return read_shards(spark, shards, digest=True).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pca_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Fitted on documents of docs that labels.quality marks and whose crc32(doc_id as text) mod 4 is not 2."""
+    from .common import bounded, fold_of, small_side
+    from .fm_quality import train
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality").where(F.col("quality").isNotNull() & (fold_of("doc_id", 4) != 2))
+    labels = bounded(labels, MOST_LABELS, F.col("_id")).groupBy("_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", "text", "n_chars").join(small_side(labels, MOST_LABELS), F.col("doc_id") == F.col("_id"))
+    return train(rows, "quality", meta=("n_chars",), most=MOST_LABELS)
+
+
+#: Labelled documents that the quality models are fitted on, at most.
+MOST_LABELS = 6000
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import fold_of
+    from .fm_quality import scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality_model(spark, docs, sf_dir)
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    return scored(docs.withColumn("held_out", held_out), model, meta=("n_chars",)).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .oph_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import bounded, small_side
+    from .decision_list import judged, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality").where("quality is not null")
+    labels = bounded(labels, MOST_LABELS, F.col("_id")).groupBy("_id").agg(F.max("quality").alias("quality"))
+    rules = train(docs.join(small_side(labels, MOST_LABELS), F.col("doc_id") == F.col("_id")), "quality")
+    return judged(docs, rules).drop("text")
+
+
+@query
+def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_gbt import Rule, judged, label_by_rules, train
+
+    rules = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, rules, train(label_by_rules(pages, rules), "url", "label")).drop("url")
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scanned
+
+    docs = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "candidates", F.size("spans").alias("n_licensed_blocks"), F.concat_ws(",", "licenses").alias("licenses"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"))
