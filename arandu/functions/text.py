@@ -42,13 +42,17 @@ def squeeze(c: Text) -> Column:
 def fold(c: Text) -> Column:
     """squeeze, lower case, no accents: for comparing."""
     out = F.translate(F.lower(squeeze(F.coalesce(col(c), F.lit("")))), "".join(_ONE), "".join(_ONE.values()))
-    marked = F.regexp_replace(out, r"[̀-ͯ]", "")
+    marked = F.regexp_replace(out, r"[\u0300-\u036f]", "")
+
+    def spelled(x: Column) -> Column:
+        for letter, plain in _MANY.items():
+            if letter in "½¼¾ﬁﬂĳǆǉǌ":
+                x = F.replace(x, F.lit(letter), F.lit(plain))
+        return x
+
     rare = "[" + "".join(_MANY) + "]"
-    replaced = marked
-    for c_, f in _MANY.items():
-        if c_ in "½¼¾ﬁﬂĳǆǉǌ":
-            replaced = F.replace(replaced, F.lit(c_), F.lit(f))
-    return F.when(marked.rlike(rare), replaced).otherwise(marked)
+    #: An array of one, so that the text is worked out once for the test and the replacements.
+    return F.transform(F.array(marked), lambda x: F.when(x.rlike(rare), spelled(x)).otherwise(x))[0]
 
 
 def tokens(c: Text) -> Column:

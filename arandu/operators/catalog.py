@@ -25,9 +25,13 @@ def kind_ranking(blocks: DataFrame, kind: str = "kind") -> DataFrame:
     return blocks.groupBy(F.coalesce(F.col(kind), F.lit("unknown")).alias("kind")).count().orderBy(F.desc("count"), "kind")
 
 
+def _times(kinds: Column, kind: str) -> Column:
+    return F.size(F.filter(kinds, lambda k: k == kind))
+
+
 def structure_counts(kinds: Column) -> Column:
     """map of the legal kinds that occur, outermost first."""
-    counts = F.map_from_arrays(F.array(*map(F.lit, LEGAL_KINDS)), F.array(*(F.size(F.filter(kinds, lambda k, w=w: k == w)) for w in LEGAL_KINDS)))
+    counts = F.map_from_arrays(F.array(*map(F.lit, LEGAL_KINDS)), F.array(*(_times(kinds, w) for w in LEGAL_KINDS)))
     return F.map_filter(counts, lambda _, n: n > 0)
 
 
@@ -107,7 +111,7 @@ def document_summaries(documents: DataFrame, entries: DataFrame, blocks: DataFra
     roots = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("parent_pos").isNull(), F.struct("pos", "title")))), lambda x: x["title"]), 1, ROOTS)
     index = entries.groupBy(key).agg(F.count("*").alias("n_entries"), roots.alias("roots"))
     rows = documents.join(kinds, key, "left").join(index, key, "left").join(outline(entries, key), key, "left").join(block_previews(blocks, key), key, "left")
-    devices = F.concat_ws(", ", *(F.when(F.size(F.filter("kinds", lambda k, w=w: k == w)) > 0, F.concat(F.size(F.filter("kinds", lambda k, w=w: k == w)).cast("string"), F.lit(" " + PLURALS[w]))) for w in LEGAL_KINDS))
+    devices = F.concat_ws(", ", *(F.when(_times(F.col("kinds"), w) > 0, F.concat(_times(F.col("kinds"), w).cast("string"), F.lit(" " + PLURALS[w]))) for w in LEGAL_KINDS))
     previews = F.array_join("previews", "\n\n")
     parts = [
         F.concat(F.lit("Arquivo `"), "file_name", F.lit("` do tipo `"), F.col("file_type"), F.lit("` com "), F.coalesce("n_blocks", F.lit(0)).cast("string"), F.lit(" bloco(s) extraído(s).")),

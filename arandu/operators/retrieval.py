@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import filled, path_text, position_text, snippet, squeeze, tokens
 from ..functions.text import locator_path as path_of_locator
 from ..functions.values import LEAST_COSINE, PREVIEW_STOPWORDS
-from .scoring import breakdown, lexical_score, lexical_terms, profile_name, rerank_parts, rerank_score, rerank_signals
+from .scoring import breakdown, lexical_score, lexical_terms, profile_name, rerank_parts, rerank_score, rerank_signals, terms_struct, with_lexical_inputs, without_lexical_inputs
 from .vectors import cosine, embed_plain, literal_vector
 
 FILTERS = ("file_type", "archetype", "file_name")
@@ -37,23 +37,28 @@ def cli_filters(archetype: str | None = None, file_name: str | None = None, file
 def search_records(records: DataFrame, query: str, filters: Mapping[str, Any] | None = None, limit: int = 10, profile: str = "legal") -> DataFrame:
     """The best records: score descending, then shorter texts, file and heading. One narrow stage and a top k."""
     text = F.coalesce(filled("text"), F.col("title"))
-    terms = lexical_terms(query, F.col("title"), F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " "), text, F.col("file_name"), F.col("archetype"), F.col("source_kind"), profile)
-    found = records.where(matches(filters)).withColumn("score", lexical_score(terms)).where("score > 0").withColumn("_length", F.length(squeeze(F.coalesce(text, F.lit("")))))
+    path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ")
+    terms = lexical_terms(query, F.col("source_kind"), profile)
+    rows = with_lexical_inputs(records.where(matches(filters)), F.col("title"), path, text, F.col("file_name"), F.col("archetype"))
+    found = rows.withColumn("_terms", terms_struct(terms)).withColumn("score", lexical_score(F.col("_terms"), list(terms))).where("score > 0")
     shown = F.coalesce(filled("heading"), F.col("title")) if "heading" in records.columns else F.col("title")
-    top = found.withColumn("heading", shown).orderBy(F.desc("score"), "_length", "file_name", "heading", *(c for c in ("seq", "record_id") if c in records.columns)).limit(limit)
-    return top.withColumns({"score_breakdown": breakdown(terms), "snippet": snippet(text, query)}).drop("_length")
+    top = found.withColumn("heading", shown).orderBy(F.desc("score"), "_lex_length", "file_name", "heading", *(c for c in ("seq", "record_id") if c in records.columns)).limit(limit)
+    return without_lexical_inputs(top.withColumns({"score_breakdown": breakdown(F.col("_terms"), list(terms)), "snippet": snippet(text, query)})).drop("_terms")
 
 
 def hybrid_candidates(chunks: DataFrame, query: str, filters: Mapping[str, Any] | None = None, query_vector: list[float] | None = None, profile: str = "legal") -> DataFrame:
     """chunks with text_score and vector_score that pass: a text score, or a cosine of 0.12 or more."""
     path = F.coalesce("heading_path", F.array().cast("array<string>"))
-    terms = lexical_terms(query, F.col("heading"), F.array_join(path, " "), F.col("text"), F.col("file_name"), F.col("archetype"), F.lit("chunk"), profile)
+    terms = lexical_terms(query, F.lit("chunk"), profile)
     vector = F.col("vector") if "vector" in chunks.columns else F.lit(None).cast("array<double>")
     near = cosine(vector, literal_vector(query_vector)) if query_vector else F.lit(0.0)
     length = F.coalesce(F.nullif("text_length", F.lit(0)), F.length(squeeze(F.coalesce("text", F.lit(""))))) if "text_length" in chunks.columns else F.length(squeeze(F.coalesce("text", F.lit(""))))
-    out = chunks.where(matches(filters)).withColumns({"text_score": lexical_score(terms).cast("double"), "vector_score": near, "has_embedding": vector.isNotNull(), "text_length": length})
+    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), F.array_join(path, " "), F.col("text"), F.col("file_name"), F.col("archetype"))
+    rows = without_lexical_inputs(rows.withColumn("_terms", terms_struct(terms)))
+    out = rows.withColumns({"text_score": lexical_score(F.col("_terms"), list(terms)).cast("double"), "vector_score": near, "has_embedding": vector.isNotNull(), "text_length": length})
     text = path_text("heading_path", "heading", "heading") if "heading_path_text" not in chunks.columns else F.coalesce(filled("heading_path_text"), F.array_join(path, " > "))
-    return out.where((F.col("text_score") > 0) | (F.col("vector_score") >= LEAST_COSINE)).withColumn("heading_path_text", text)
+    out = out.where((F.col("text_score") > 0) | (F.col("vector_score") >= LEAST_COSINE))
+    return out.withColumns({"heading_path_text": text, "text_score_breakdown": breakdown(F.col("_terms"), list(terms))}).drop("_terms")
 
 
 def rerank(candidates: DataFrame, query: str, limit: int = 6, profile: str = "legal") -> DataFrame:
@@ -115,12 +120,15 @@ def search_many(chunks: DataFrame, queries: list[str], limit: int = 3, profile:
     profile_name(profile)
     path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ")
     size = vector_size(chunks) if "vector" in chunks.columns else None
+    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), path, F.col("text"), F.col("file_name"), F.col("archetype"))
     scores = []
     for i, q in enumerate(queries):
-        terms = lexical_terms(q, F.col("heading"), path, F.col("text"), F.col("file_name"), F.col("archetype"), F.lit("chunk"), profile)
+        terms = lexical_terms(q, F.lit("chunk"), profile)
         near = cosine(F.col("vector"), literal_vector(embed_plain(q, size))) if size else F.lit(0.0)
-        scores.append(F.struct(F.lit(i).alias("n"), F.lit(q).alias("query"), lexical_score(terms).cast("double").alias("text_score"), near.alias("vector_score")))
-    own = chunks.where(matches(filters)).withColumn("_hit", F.explode(F.array(*scores))).where((F.col("_hit.text_score") > 0) | (F.col("_hit.vector_score") >= LEAST_COSINE))
+        rows = rows.withColumn(f"_terms{i}", terms_struct(terms))
+        scores.append(F.struct(F.lit(i).alias("n"), F.lit(q).alias("query"), lexical_score(F.col(f"_terms{i}"), list(terms)).cast("double").alias("text_score"), near.alias("vector_score")))
+    rows = without_lexical_inputs(rows)
+    own = rows.withColumn("_hit", F.explode(F.array(*scores))).drop(*(f"_terms{i}" for i in range(len(queries)))).where((F.col("_hit.text_score") > 0) | (F.col("_hit.vector_score") >= LEAST_COSINE))
     order = Window.partitionBy("n").orderBy(F.desc("text_score"), F.desc("vector_score"), F.length("text"), "chunk_id")
     return own.select("*", "_hit.*").drop("_hit").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

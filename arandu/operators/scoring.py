@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.legal import match_counts, primary_reference, references, references_plain
@@ -43,12 +43,27 @@ def occurrences(folded: Column, word: str) -> Column:
     return F.when(whole > 0, whole).otherwise(anywhere)
 
 
-def lexical_terms(query: str, title: Column, heading: Column, text: Column, file_name: Column, archetype: Column, source_kind: Column, profile: str = "legal") -> dict[str, Column]:
-    """The terms of the score, each an int column that is 0 where it does not apply. heading: the path's parts joined by a blank."""
+def with_lexical_inputs(df: DataFrame, title: Column, heading: Column, text: Column, file_name: Column, archetype: Column) -> DataFrame:
+    """df with what lexical_terms reads, worked out once for each row: folded texts, references and the text's length.
+
+    heading: the path's parts joined by a blank.
+    """
+    own = {f"_lex_{k}": fold(c) for k, c in (("title", title), ("heading", heading), ("body", text), ("file", file_name), ("archetype", archetype))}
+    refs = {f"_ref_{k}": references(c) for k, c in (("title", title), ("heading", heading), ("body", text))}
+    more = {"_ref_primary": primary_reference(title), "_lex_length": F.length(squeeze(F.coalesce(text, F.lit("")))), "_lex_type": archetype}
+    return df.withColumns(own | refs | more)
+
+
+def without_lexical_inputs(df: DataFrame) -> DataFrame:
+    return df.drop(*(c for c in df.columns if c.startswith(("_lex_", "_ref_"))))
+
+
+def lexical_terms(query: str, source_kind: Column, profile: str = "legal") -> dict[str, Column]:
+    """The terms of the score over with_lexical_inputs, each an int column that is 0 where it does not apply."""
     profile, whole, words = profile_name(profile), fold_plain(query), tokens_plain(query)
     if not whole:
         return {}
-    folded = {k: fold(c) for k, c in (("title", title), ("heading", heading), ("body", text), ("file", file_name), ("archetype", archetype))}
+    folded = {k: F.col(f"_lex_{k}") for k in ("title", "heading", "body", "file", "archetype")}
     has = lambda k, w: folded[k].contains(w).cast("int")
     hits = {k: _sum([has(k, w) for w in words]) for k in folded}
     counts = [occurrences(folded["body"], w) for w in words]
@@ -65,39 +80,43 @@ def lexical_terms(query: str, title: Column, heading: Column, text: Column, file
     }
     asked = references_plain(query)
     if profile == "legal" and asked:
-        for name, c, exact_score, partial_score in (("title", title, 26, -14), ("heading", heading, 24, -12), ("body", text, 8, -4)):
-            exact, partial = match_counts(query, references(c))
+        for name, exact_score, partial_score in (("title", 26, -14), ("heading", 24, -12), ("body", 8, -4)):
+            exact, partial = match_counts(query, F.col(f"_ref_{name}"))
             terms[f"legal_ref_{name}_exact"] = exact * exact_score
             terms[f"legal_ref_{name}_partial_penalty"] = partial * partial_score
-        primary = primary_reference(title)
+        primary = F.col("_ref_primary")
         same = [primary.eqNullSafe(r) for r in asked]
         terms["legal_ref_primary_title_exact"] = _sum([s.cast("int") for s in same]) * 42
         terms["legal_ref_primary_title_partial_penalty"] = _sum([(~s & primary.eqNullSafe(r.split("-")[0])).cast("int") for s, r in zip(same, asked, strict=True) if "-" in r]) * -20
     hit = (hits["title"] + hits["heading"] + hits["body"] + hits["file"] + has("body", whole)) > 0
     terms["source_kind"] = F.when(hit, lookup(SOURCE_BOOST, source_kind, 0)).otherwise(0)
     if profile == "legal":
-        terms["archetype_specificity"] = archetype.isin(ARCHETYPES[:-1]).cast("int")
-    n = F.length(squeeze(F.coalesce(text, F.lit(""))))
+        terms["archetype_specificity"] = F.col("_lex_type").isin(ARCHETYPES[:-1]).cast("int")
+    n = F.col("_lex_length")
     terms["length_fit"] = n.between(80, 900).cast("int") * 2
     terms["length_penalty"] = F.when((n > 0) & (n < 40), -1).when(n > 2200, -4).when(n > 1400, -2).otherwise(0)
     terms["repetition_penalty"] = -F.least(_sum([F.greatest(k - 6, F.lit(0)) for k in counts]), F.lit(6))
     return {k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in terms.items()}
 
 
-def lexical_score(terms: dict[str, Column]) -> Column:
-    """The sum of the terms; 0 without a positive term or if the sum is not positive."""
-    if not terms:
+def terms_struct(terms: dict[str, Column]) -> Column:
+    return F.struct(*(v.alias(k) for k, v in terms.items())) if terms else F.struct(F.lit(0).alias("none"))
+
+
+def lexical_score(terms: Column, names: list[str]) -> Column:
+    """The sum of the terms of a struct; 0 without a positive term or if the sum is not positive."""
+    if not names:
         return F.lit(0)
-    total = _sum(list(terms.values()))
-    positive = reduce(lambda a, b: a | b, [v > 0 for v in terms.values()])
+    total = _sum([terms[k] for k in names])
+    positive = reduce(lambda a, b: a | b, [terms[k] > 0 for k in names])
     return F.when(positive & (total > 0), total).otherwise(0)
 
 
-def breakdown(terms: dict[str, Column]) -> Column:
+def breakdown(terms: Column, names: list[str]) -> Column:
     """map of the terms that are not 0."""
-    if not terms:
+    if not names:
         return F.create_map().cast("map<string,int>")
-    return F.map_filter(F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), v)]), lambda _, v: v != 0)
+    return F.map_filter(F.create_map(*[x for k in names for x in (F.lit(k), terms[k])]), lambda _, v: v != 0)
 
 
 def _share(query: str, folded: Column) -> Column:

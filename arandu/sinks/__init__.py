@@ -1,0 +1 @@
+"""Sinks: JSON, Markdown, HTML and console."""

@@ -1,0 +1 @@
+"""Ingestion of new files as a stream."""
