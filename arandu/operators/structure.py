@@ -57,7 +57,7 @@ def parents(rows: DataFrame, key: str | list[str] = "doc_id", level: str = "leve
 
 
 def structural_context(rows: DataFrame, key: str = "doc_id", locator_key: str = "locator_key", title: str = "title") -> DataFrame:
-    """rows (key, pos, locator_key, title) with one column for each locator key: the device that the row stands in.
+    """rows (key, pos, locator_key, title) with context: a struct with the device that the row stands in for each locator key.
 
     A device holds until one of its own or of an outer kind comes.
     """
@@ -69,7 +69,7 @@ def structural_context(rows: DataFrame, key: str = "doc_id", locator_key: str =
         own = F.col(f"_at.{k}")
         values.append(F.when(own["pos"] > outer, own["title"]).alias(k))
         outer = F.greatest(outer, F.coalesce(own["pos"], F.lit(-1)))
-    return out.select(*rows.columns, *values)
+    return out.select(*rows.columns, F.struct(*values).alias("context"))
 
 
 def heading_stack(blocks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -20,7 +20,7 @@ def fold(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({fold(x)}, '[^\\p{{L}}\\p{{N}}_]+'), t -> length(t) > 1 or regexp_full_match(t, '[0-9]+'))"
+    return f"list_filter(regexp_split_to_array({fold(x)}, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) > 1 or regexp_full_match(t, '[0-9]+'))"
 
 
 def shortened(x: str, most: int) -> str:
@@ -34,7 +34,7 @@ def words_of(folded: str) -> str:
 def times(folded: str, words: str, word: str) -> str:
     """Whole-word occurrences, else occurrences anywhere; words: the split text."""
     w = quoted(word)
-    whole = f"length(list_filter({words}, t -> t = {w}))"
+    whole = f"length(list_filter({words}, lambda t: t = {w}))"
     return f"(case when {whole} > 0 then {whole} else (length({folded}) - length(replace({folded}, {w}, ''))) // {len(word)} end)"
 
 
@@ -82,7 +82,7 @@ def lexical(query: str, profile: str = "generic", source_kind: str = "'chunk'",
 def references(x: str) -> str:
     """Distinct references of a text, article mentions first."""
     art, bare = V.ARTICLE_MENTION.replace("\\b", r"\b"), V.BARE_MENTION
-    part = lambda p: f"list_transform(regexp_extract_all({x}, {quoted('(?i)' + p)}), m -> regexp_extract(m, '\\d+') || coalesce('-' || nullif(lower(regexp_extract(m, '(?i)\\d\\s*-?\\s*([a-z])$', 1)), ''), ''))"
+    part = lambda p: f"list_transform(regexp_extract_all({x}, {quoted('(?i)' + p)}), lambda m: regexp_extract(m, '\\d+') || coalesce('-' || nullif(lower(regexp_extract(m, '(?i)\\d\\s*-?\\s*([a-z])$', 1)), ''), ''))"
     return f"list_concat({part(art)}, {part(bare)})"
 
 
