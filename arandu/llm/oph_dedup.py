@@ -4,8 +4,8 @@ A document's set holds its distinct shingles of k words. One hash of each shingl
 bin keeps its smallest value, an empty bin takes that of the first filled bin in its own random order. Documents with
 equal sets are one class. Classes that agree in all rows of a band share a bucket; a bucket of m classes gives m - 1
 candidate edges, each from its smallest member to another, so that pairs stay linear in the rows. Candidates are
-confirmed on the full sets. A bucket that then still holds several components gives the pairs between them that its
-star has not covered, so that no confirmed link depends on which member was the centre.
+confirmed on the full sets. A bucket that then still holds several components is compared across them, in blocks and on
+full sets, so that no confirmed link depends on which member was the centre.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; fewer than k words are one shingle;
 null ids stay alone; rows that repeat an id are taken to repeat its text and come back repeated; texts are read whole.
@@ -122,6 +122,70 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, pe
     return out
 
 
+def shared(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all pairwise intersections, from those hashes that two sets or more hold, a slice at a time."""
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    values = values[times > 1]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    at = [np.searchsorted(values, s) for s in sets]
+    held = [np.unique(i[(i < len(values)) & (values[np.minimum(i, len(values) - 1)] == s)]) if len(values) else i[:0] for i, s in zip(at, sets, strict=True)]
+    for lo in range(0, len(values), width):
+        rows = np.zeros((len(sets), min(width, len(values) - lo)), np.float32)
+        for r, i in enumerate(held):
+            a, b = np.searchsorted(i, [lo, lo + width])
+            rows[r, i[a:b] - lo] = 1
+        out += rows @ rows.T
+    return out
+
+
+def bridges_of(components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between different components, as a forest of the components: (smaller, larger)."""
+    n = np.array([len(s) for s in sets], np.float64)
+    both = shared(sets).astype(np.float64)
+    i, j = np.nonzero((100 * both >= percent * (n[:, None] + n[None] - both)) & (components[:, None] < components[None]))
+    root = {int(c): int(c) for c in components}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for a, b in zip(components[i].tolist(), components[j].tolist(), strict=True):
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
+def across(rest: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int, block: int = 512, hashes: int = 150_000) -> DataFrame:
+    """Links (a, b) between components of the same bucket (rest: bucket, id, component; size and weight of the bucket).
+
+    A bucket is dealt into blocks, of about `block` documents and `hashes` shingles at most, by a hash of the id, and
+    each pair of its blocks is one group, compared on full sets in place: the work is spread evenly however large a
+    bucket is, memory is bounded, and only a forest of the links comes out.
+    """
+    ends = stored(rest.select("id").distinct(), "oph-torn-ends")
+    wanted = docs.select(key, text).join(small_side(ends, ends.count()).select(F.col("id").alias("_end")), F.col(key) == F.col("_end"), "left_semi")
+    sets = stored(full_sets(wanted, key, text, k), "oph-torn-sets")
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / hashes)).cast("int")
+    own = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("bucket", "id", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("id").sort_values("id")
+        found = bridges_of(frame["component"].to_numpy(), [np.asarray(v, np.int64).view(np.uint64) for v in frame["own"]], percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    made = own.join(sets, "id").groupBy("bucket", "x", "y").applyInPandas(compare, "a long, b long")
+    out = stored(made.distinct(), "oph-bridges")
+    drop_stored(ends, sets)
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable, itself included), kept (key = component_id)."""
     docs = docs.select(key, text)
@@ -138,21 +202,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = confirmed(candidates, docs, key, text, k, percent)
     found = stored(connected_components(links), "oph-found")
 
-    #: Buckets of three and more classes that the stars left in several components.
-    labelled = members.where("size > 2").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "centre", F.coalesce("component", "id").alias("component"))
+    #: Buckets of three and more classes that the stars left in several components; equal buckets of several bands once.
+    labelled = members.where("size > 2").join(found, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     labelled = stored(labelled, "oph-labelled")
-    torn = stored(labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket"), "oph-torn")
-    rest = stored(labelled.where("id <> centre").join(torn, "bucket"), "oph-rest")
-    left = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    right = rest.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
-    across = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    across = stored(across.select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti"), "oph-across")
-    drop_stored(members, stars, candidates, labelled, torn, rest)
-    if across.limit(1).count():
-        more = confirmed(across, docs, key, text, k, percent)
-        if more.limit(1).count():
-            found = stored(connected_components(links.unionByName(more)), "oph-found")
-    drop_stored(across, links)
+    torn = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("content"), F.count("*").alias("size"), F.sum("n").alias("weight"))
+    torn = stored(torn.where("least < most").groupBy("content", "size", "weight").agg(F.min("bucket").alias("bucket")), "oph-torn")
+    rest = stored(labelled.join(torn.select("bucket", "size", "weight"), "bucket"), "oph-rest")
+    if rest.limit(1).count():
+        bridges = across(rest, docs, key, text, k, percent)
+        moved = stored(connected_components(bridges), "oph-moved").withColumnsRenamed({"node": "from", "component": "to"})
+        own = found.unionByName(moved.select(F.col("from").alias("node"), F.col("from").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        found = stored(own.join(moved, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component")), "oph-found")
+    drop_stored(members, stars, candidates, labelled, torn, rest, links)
 
     merged = classes.join(found, F.col("id") == F.col("node"), "left").select("class", "copies", F.col("id").alias("first"), F.coalesce("component", "id").alias("component"))
     merged = stored(merged.where("copies > 1 or component <> first").select("class", "component"), "oph-merged")
