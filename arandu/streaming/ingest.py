@@ -11,7 +11,7 @@ from ..sources.files import is_ignored, parse_files
 
 def inbox(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of the files of a folder and its subfolders but those ignored."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     return files.where(~is_ignored(F.col("path")))
 
 
