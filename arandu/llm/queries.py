@@ -129,3 +129,38 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "candidates", F.size("spans").alias("n_licensed_blocks"), F.concat_ws(",", "licenses").alias("licenses"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"))
+
+
+ORACLE_SQL["op7_embedding_dedup"] = """
+with recursive fine as (
+    select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+    where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), normed as (
+    select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from fine
+), links as (
+    select a.vec_id as a, b.vec_id as b from normed a join normed b on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+    where list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / (a.norm * b.norm) >= 0.93
+), reach as (
+    select vec_id as node, vec_id as other from embeddings union select r.node, l.b from reach r join links l on r.other = l.a
+)
+select e.vec_id, coalesce(n.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select node, min(other) as component_id from reach group by node) c on c.node = e.vec_id
+left join (select a, count(*) as n from links group by a) n on n.a = e.vec_id
+"""
+
+ORACLE_SQL["op10_minhash_dedup"] = """
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from words
+), each_ as (
+    select doc_id, unnest(s) as x from sets
+), links as (
+    select p.a, p.b from (select a.doc_id as a, b.doc_id as b, count(*) as both_ from each_ a join each_ b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2) p
+    join sets l on l.doc_id = p.a join sets r on r.doc_id = p.b where 100 * p.both_ >= 85 * (len(l.s) + len(r.s) - p.both_)
+), reach as (
+    select doc_id as node, doc_id as other from documents union select r.node, l.b from reach r join links l on r.other = l.a
+)
+select s.doc_id, len(s.s) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sets s join (select node, min(other) as component_id from reach group by node) c on c.node = s.doc_id
+"""
