@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 #: Most words a worker keeps the ids of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Texts of these characters are split here; others by the tokenizer file's own normaliser and pre-tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ]*")
 
@@ -47,13 +47,18 @@ class Automaton:
         self.arcs: dict[str, int] = dict(base)
         self._lacks: dict[int, dict[int, int]] = {}
         self._tries: dict[str, tuple] = {}
+        never: set[str] = set()  # tokens whose parts never stand side by side
         for k, (a, b) in enumerate(merges):
-            if a not in self.arcs or b not in self.arcs or a + b in self.arcs:
+            if a in never or b in never:
+                never.add(a + b)
+                continue
+            if a not in self.arcs or b not in self.arcs or a + b in self.arcs or a + b in never:
                 raise ValueError(f"merge {k} ({a!r}, {b!r}) does not join two earlier tokens into a new one")
             left, right, new = self.arcs[a], self.arcs[b], vocab[a + b]
             state = self.target[left]
             if not self.allows(state, right):
-                continue  # the pair never stands side by side
+                never.add(a + b)
+                continue
             self.left[new], self.token_born[new], self.target[new] = left, k, self.target[right]
             self.parent.append(state)
             self.removed.append(right)

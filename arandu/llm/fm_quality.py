@@ -136,15 +136,15 @@ def train(rows: DataFrame, label: str, text: str = "text", meta: tuple[str, ...]
     """Fit on labelled rows: about `most` of them at most, chosen by a hash of the key. Null labels teach nothing."""
     rows = rows.where(F.col(label).isNotNull())
 
-    @F.pandas_udf("words array<int>, counts array<double>, stats array<double>")
+    @F.pandas_udf("words binary, counts binary, stats array<double>")
     def extract(texts: pd.Series) -> pd.DataFrame:
         out = [features(t) for t in texts]
-        return pd.DataFrame({"words": [w.astype(np.int32) for w, _, _ in out], "counts": [c for _, c, _ in out], "stats": [s for _, _, s in out]})
+        return pd.DataFrame({"words": [w.astype("<u2").tobytes() for w, _, _ in out], "counts": [c.astype("<f4").tobytes() for _, c, _ in out], "stats": [s for _, _, s in out]}, columns=["words", "counts", "stats"])
 
     some = bounded(rows, most, F.col(key)).select(F.col(label).cast("double").alias("y"), F.array(*_meta(list(meta))).alias("m") if meta else F.array().cast("array<double>").alias("m"), extract(F.col(text).cast("binary")).alias("x"))
-    got = sorted(some.select("y", "m", "x.*").collect(), key=lambda r: (r["y"], len(r["words"]), r["words"][:4], r["stats"]))
+    got = sorted(some.select("y", "m", "x.*").collect(), key=lambda r: (r["y"], r["words"], r["counts"], r["stats"]))
     machine = Machine(len(meta))
-    data = [(np.array(r["words"], np.int64), np.array(r["counts"], float), [*r["stats"], *(np.nan if v is None else v for v in r["m"])]) for r in got]
+    data = [(np.frombuffer(r["words"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(float), [*r["stats"], *(np.nan if v is None else v for v in r["m"])]) for r in got]
     machine.fit(data, np.array([r["y"] for r in got]))
     return machine
 

@@ -35,7 +35,7 @@ class Encoder:
         self.letter_class = np.full(0x110000, -1, np.int32)  # -1: not looked at yet; 0: no letter; else a letter's class
         self.letters: list[np.ndarray] = [self._random(0)]  # class 0 is the boundary between words
         self.of_trigram = np.full(TABLE_LETTERS**3, -1, np.int32)
-        self.rows = np.empty((0, dim), np.float32)
+        self.rows = np.empty((0, dim), np.int8)
         self.n_rows = 0
 
     def _random(self, code: int) -> np.ndarray:
@@ -98,7 +98,7 @@ class Encoder:
             n = TABLE_LETTERS
             made = self._bind(new // n // n, new // n % n, new % n)
             if self.n_rows + len(new) > len(self.rows):
-                grown = np.empty((max(2 * len(self.rows), self.n_rows + len(new), SLICE), self.dim), np.float32)
+                grown = np.empty((max(2 * len(self.rows), self.n_rows + len(new), SLICE), self.dim), np.int8)
                 grown[: self.n_rows] = self.rows[: self.n_rows]
                 self.rows = grown
             self.rows[self.n_rows : self.n_rows + len(new)] = made
@@ -113,10 +113,10 @@ class Encoder:
         used = np.flatnonzero(counts.any(axis=0))
         for at in range(0, len(used), SLICE):
             own = used[at : at + SLICE]
-            out += counts[:, own] @ self.rows[own]
+            out += counts[:, own] @ self.rows[own].astype(np.float32)
         if self.n_rows > 8 * SLICE:  # rare letters have filled it; common trigrams come back at once
             self.of_trigram[:] = -1
-            self.rows, self.n_rows = np.empty((0, self.dim), np.float32), 0
+            self.rows, self.n_rows = np.empty((0, self.dim), np.int8), 0
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}
