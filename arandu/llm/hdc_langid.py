@@ -211,6 +211,15 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return Prototypes(langs, vectors, dim, seed)
 
 
+def with_random_letters(model: Prototypes, words: int = 20_000) -> Prototypes:
+    """model with one more prototype, "und", of words of 2 to 9 random letters a-z: what is nearest to it is no language."""
+    rng = np.random.default_rng(model.seed)
+    letters = rng.integers(ord("a"), ord("z") + 1, (words, 9), dtype=np.uint8)
+    text = " ".join(bytes(row[:n]).decode() for row, n in zip(letters, rng.integers(2, 10, words), strict=True))
+    own = unit_bundles(_encoder(model.dim, model.seed), [text])
+    return Prototypes([*model.langs, "und"], np.concatenate((model.vectors, own)), model.dim, model.seed)
+
+
 def identify(docs: DataFrame, model: Prototypes, text: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names that docs has already are replaced."""
     tmp = free_name(docs, "langid")

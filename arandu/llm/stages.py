@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold_of, free_name
+from .hdc_langid import DIM
 
-#: A document's cosine with its language below which it resembles no known language.
-LEAST_COSINE = 0.02
+#: A document's cosine with its language below which it resembles no known language: four deviations of the noise.
+LEAST_COSINE = 4 / DIM**0.5
+#: Chance that two trigrams of one language are equal, and the part of the cosine so expected that a short text must reach.
+SAME_TRIGRAM, LEAST_PART = 0.005, 1 / 3
 #: The word share of each source, language and topic is its share raised to this, the budget a share of all words.
 ALPHA, KEEP = 0.5, 0.6
 
@@ -25,14 +28,26 @@ def words_in(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
 
 
+def least_cosine(text):
+    """LEAST_COSINE, or less for a text of n < 30 or so trigrams: LEAST_PART of the cosine that n trigrams of a language are expected to have with it."""
+    n = F.length(F.regexp_replace(text, r"\P{L}+", " ")) * F.lit(SAME_TRIGRAM)
+    return F.least(F.lit(LEAST_COSINE), F.sqrt(n / (1 + n)) * LEAST_PART)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents of no known language. The profiles are learned from the stage's own input."""
-    from .hdc_langid import learn
+    """Reject documents of no known language. The profiles are learned from the stage's own input.
+
+    Rejected are texts without letters, those nearer to random letters than to any language, and those whose cosine
+    is that of noise. Of texts of one or two words some in no known language stay, as their cosines are alike.
+    """
+    from .hdc_langid import learn, with_random_letters
 
-    model = learn(docs.where(F.coalesce(fold_of("doc_id", 5) != 0, F.lit(True))))
+    model = with_random_letters(learn(docs.where(F.coalesce(fold_of("doc_id", 5) != 0, F.lit(True)))))
     name = free_name(docs, "langid")
     found = docs.withColumn(name, model.column(F.col("text")))
-    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_COSINE)).select(docs.columns)
+    score = F.col(f"{name}.score")
+    enough = F.when(score >= LEAST_COSINE, True).otherwise(score >= least_cosine(F.col("text")))
+    return found.where((F.col(f"{name}.lang_pred") != "und") & enough).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

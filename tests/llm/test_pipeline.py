@@ -1,9 +1,11 @@
+import random
 from hashlib import sha256
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from arandu.llm import stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +30,21 @@ def test_stages_work_on_what_the_one_before_kept(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_unknown_languages_go_and_short_clean_texts_stay(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(1)
+
+    def made(letters, words):
+        return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9))) for _ in range(words))
+
+    scripts = ["".join(map(chr, range(lo, hi))) for lo, hi in ((0x430, 0x450), (0x3B1, 0x3CA), (0x627, 0x64B))]
+    unknown = [made(s, 300) for s in scripts for _ in range(20)] + [made("abcdefghijklmnopqrstuvwxyz", n) for n in (30, 300) for _ in range(30)]
+    clean = ["und der", "the thing and of the", "les des", "the", "der und die"]
+    rows = [(-1 - i, t) for i, t in enumerate(unknown)] + [(-1001 - i, t) for i, t in enumerate(clean)] + [(-2000, "12 !?"), (-2001, None)]
+    docs = known.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r["doc_id"] for r in stages.language_id(spark, docs, SF).select("doc_id").collect()}
+    assert sum(i >= 0 for i in kept) == known.count()
+    assert {i for i in kept if i < -1000} == {-1001 - i for i in range(len(clean))}
+    assert sum(-1000 <= i < 0 for i in kept) <= 0.03 * len(unknown)
