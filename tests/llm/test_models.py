@@ -156,3 +156,24 @@ def test_license_scan_against_wordings(spark):
     for r in QUERIES["op8_license_scan"](spark, SF).collect():
         expected = {k for k, v in notices.items() if v in docs[r["doc_id"]]}
         assert expected <= set((r["licenses"] or "").split(",")), r["doc_id"]
+
+
+def spans_of(text):
+    return [(text[lo:hi], name) for lo, hi, name, _, _ in license_scan.Scanner().scan(text)[1]]
+
+
+@pytest.mark.parametrize("filler", ["", "word and " * 60])
+def test_all_notices_of_a_line_of_any_length(filler):
+    mit, apache = "Released under the MIT License", "Licensed under the Apache License, Version 2.0"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"
+    assert spans_of(f"{filler}{mit}. {apache}. {filler}") == [(mit, "MIT"), (apache, "Apache-2.0")]
+    assert spans_of(f"{filler}{mpl}. {filler}") == [(mpl, "MPL-2.0")]
+    assert spans_of(f"{filler}{mit}. {filler}{mit}; {mpl}. All rights reserved.") == [(mit, "MIT"), (mit, "MIT"), (mpl, "MPL-2.0"), ("All rights reserved", "all-rights-reserved")]
+
+
+def test_each_notice_is_found_within_other_text(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect() if r["text"]]
+    for k, (name, notices) in enumerate(license_scan.TEMPLATES.items()):
+        for n, notice in enumerate(notices):
+            around = " ".join(texts[(7 * k + n) % len(texts)].split()[:150])
+            assert name in {x for _, x in spans_of(f"{around} {notice} {around}")}, notice
