@@ -177,3 +177,25 @@ def test_each_notice_is_found_within_other_text(spark):
         for n, notice in enumerate(notices):
             around = " ".join(texts[(7 * k + n) % len(texts)].split()[:150])
             assert name in {x for _, x in spans_of(f"{around} {notice} {around}")}, notice
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this",
+    "all-rights-reserved": "Copyright 2020 Someone. All rights\nreserved.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "//", "-- ", "    "])
+def test_wrapped_notices(mark):
+    blank = mark.rstrip() + "\n"
+    for name, notice in WRAPPED.items():
+        text = "x = 1\n\n" + "".join(mark + line + "\n" for line in ["A file.", "", *notice.split("\n"), "", "More of it."])
+        assert {x for _, x in spans_of(text)} == {name}, text
+        assert [x for _, x in spans_of(text + blank + text)] == [name] * 2
+    assert spans_of("Licensed under the Apache\n\nLicense, Version 2.0.") == []
+    assert spans_of(WRAPPED["GPL-3.0"].replace("GNU General", "GNU Lesser General")) == []
+    crlf = "Licensed under the\r\nApache License, Version 2.0"
+    assert spans_of(f"é\r\n{crlf}.\r\n") == [(crlf, "Apache-2.0")]
