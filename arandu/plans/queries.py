@@ -43,6 +43,12 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("*", F.concat(F.lit("doc_"), "doc_id").alias("file_name"), F.lit(ARCHETYPES[-1]).alias("archetype"), F.array("heading").alias("heading_path"), F.lit("chunk").alias("source_kind"), F.concat_ws("_", "doc_id", "grp").alias("chunk_id"))
 
 
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with the vectors of their contexts, as a collection embeds them."""
+    rows = line_chunks(spark, sf_dir).withColumn("locator_path", F.lit(None).cast("string")).withColumn("heading_path_text", F.col("heading"))
+    return rows.withColumn("context", vectors.context_text(rows)).withColumn("vector", vectors.embed("context"))
+
+
 # Text
 
 
@@ -482,6 +488,32 @@ def multi_query_search(spark, sf_dir):
     return retrieval.search_many(line_chunks(spark, sf_dir), _MANY, 3, "generic").select(F.col("n").alias("n_query"), "rank", "doc_id", "text_score")
 
 
+# The same with vectors. SQL has no feature hashing: tests hold these against brute force.
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str, filters: dict | None = None) -> DataFrame:
+    return retrieval.hybrid_candidates(embedded_chunks(spark, sf_dir), TOPIC, filters, vectors.embed_plain(TOPIC), "generic")
+
+
+@query()
+def hybrid_candidates_vectors(spark, sf_dir):
+    """Chunks with a text score, or a cosine with the query of 0.12 or more."""
+    return _with_vectors(spark, sf_dir, {"file_type": "en"}).select("doc_id", "grp", "text_score", "vector_score")
+
+
+@query()
+def rerank_generic_vectors(spark, sf_dir):
+    """rerank_generic, the cosine among the signals."""
+    return retrieval.rerank(_with_vectors(spark, sf_dir), TOPIC, 6, "generic").select("doc_id", "grp", "text_score", "vector_score", F.round("score", 3).alias("score"))
+
+
+@query()
+def multi_query_search_vectors(spark, sf_dir):
+    """multi_query_search, with chunks that only the cosine finds."""
+    found = retrieval.search_many(embedded_chunks(spark, sf_dir), _MANY, 3, "generic")
+    return found.select(F.col("n").alias("n_query"), "rank", "doc_id", "grp", "text_score", "vector_score")
+
+
 _STOP = ", ".join(map(q.quoted, PREVIEW_STOPWORDS))
 
 
@@ -513,6 +545,21 @@ def embed_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", vectors.embed("text").alias("v")).select("item_id", F.posexplode("v").alias("k", "x"))
 
 
+@query()
+def embed_hash_chunks(spark, sf_dir):
+    """Vectors of all chunks of documents."""
+    return embedded_chunks(spark, sf_dir).select("chunk_id", F.col("vector").alias("v"))
+
+
+@query()
+def embedding_reuse_chunks(spark, sf_dir):
+    """Chunks of documents whose stored vectors can be kept: those of even documents were stored, every third one's text has changed since."""
+    rows = embedded_chunks(spark, sf_dir).select("chunk_id", "doc_id", "context", "vector")
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("context", F.lit(" x"))).otherwise(F.col("context"))
+    stored = rows.where(F.col("doc_id") % 2 == 0).select("chunk_id", text.fingerprint(changed).alias("text_fingerprint"), "vector")
+    return vectors.plan_embeddings(rows.select("chunk_id", "context"), stored).select("chunk_id", "text_fingerprint", "reused")
+
+
 _FP = lambda t: f"sha1({q.fold(t)})"
 
 
@@ -558,6 +605,14 @@ def grounding(spark, sf_dir):
     return answers.grounding(top, order).select("id", "reference")
 
 
+@query()
+def grounding_vectors(spark, sf_dir):
+    """grounding, the cosine among the signals."""
+    top = retrieval.rerank(_with_vectors(spark, sf_dir), TOPIC, 6, "generic")
+    order = [F.desc("score"), F.desc("text_score"), F.desc("vector_score"), F.col("text_length"), F.col("file_name"), F.col("heading_path_text"), F.col("chunk_id")]
+    return answers.grounding(top, order).select("id", "reference")
+
+
 @query(
     f"""with a as (select answer_id, answer_text, ids, list_filter(list_transform(regexp_extract_all(answer_text, '\\[(\\d+)\\]', 1), lambda x: x::int), lambda x: list_contains(ids, x)) as hit from {q.values(fx.ANSWERS, ['answer_id', 'answer_text', 'ids'])})
     select answer_id, case when length(hit) > 0 then array_to_string(list_filter(hit, lambda x, i: list_position(hit, x) = i), ',') else array_to_string(ids, ',') end as cited from a"""
