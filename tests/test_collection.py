@@ -132,3 +132,13 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     (inbox / "b.txt").write_text("dois")
     ingest(spark, str(inbox), out, mark, "b2").awaitTermination()
     assert sorted((r["file_name"], r["batch"]) for r in spark.read.parquet(out).collect()) == [("a.txt", "b1"), ("b.txt", "b2")]
+
+
+def test_counters_of_merged_records():
+    long = "a line of more than enough characters " * 5
+    rows = [("a", long, 1, 2), ("b", long + "and more", 5, 0), ("a", long, 9, 1), ("b", long + "and more", 20, 3), ("c", "another", 1, 4)]
+    names = ["_exact", "_long", "_length", "_removed_exact"]
+    frame = pd.DataFrame([dict(zip(names, r, strict=True)) | {"_order": str(i), "_removed_near": 0, "_priority": 1, "_located": 0, "_path_length": 0, "text": r[1]} | {c: None for c in records._FILLED} for i, r in enumerate(rows)])
+    got = _merge(frame)
+    assert sorted(zip(got["_removed_exact"], got["_removed_near"], strict=True)) == [(4, 0), (7, 2)]
+    assert len(got) + got["_removed_exact"].sum() + got["_removed_near"].sum() == sum(1 + r[3] for r in rows)
