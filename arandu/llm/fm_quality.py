@@ -70,7 +70,7 @@ class Machine:
     def __init__(self, n_meta: int = 0, seed: int = 5):
         rng = np.random.default_rng(seed)
         n = BUCKETS + len(STATS) + n_meta
-        self.n_meta, self.bias = n_meta, 0.0
+        self.n_meta, self.bias, self.fitted = n_meta, 0.0, False
         self.linear, self.factors = np.zeros(n), rng.normal(0, 0.01, (n, RANK))
         self.mean, self.scale = np.zeros(len(STATS) + n_meta), np.ones(len(STATS) + n_meta)
 
@@ -94,6 +94,7 @@ class Machine:
         """rows: (words, counts, stats with metadata). Adagrad on the logistic loss."""
         if not len(rows):
             return
+        self.fitted = True
         dense = np.array([r[2] for r in rows], float)
         with np.errstate(all="ignore"):
             self.mean = np.nan_to_num(np.nanmean(dense, axis=0))

@@ -51,11 +51,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents that the classifier, fitted on labelled documents, finds of low quality."""
+    """Reject documents that the classifier, fitted on labelled documents, finds of low quality. Without a labelled document in docs all stay."""
     from .fm_quality import scored
     from .queries import quality_model
 
     model = quality_model(spark, docs, sf_dir)
+    if not model.fitted:
+        return docs
     return scored(docs.select(F.struct("*").alias("row"), "text", "n_chars"), model, meta=("n_chars",)).where("predicted = 1").select("row.*")
 
 

@@ -48,3 +48,11 @@ def test_unknown_languages_go_and_short_clean_texts_stay(spark):
     assert sum(i >= 0 for i in kept) == known.count()
     assert {i for i in kept if i < -1000} == {-1001 - i for i in range(len(clean))}
     assert sum(-1000 <= i < 0 for i in kept) <= 0.03 * len(unknown)
+
+
+def test_without_labels_no_document_is_of_low_quality(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, rows in {"empty": labels.limit(0), "others": labels.withColumn("doc_id", -1 - labels["doc_id"])}.items():
+        rows.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert stages.quality(spark, docs, f"{tmp_path}/{name}").count() == docs.count()
