@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, hash_fraction
+from .common import drop_stored, free_name, hash_fraction, small_side, stored
 
 DIM = 1024
 SEED = 20_011
@@ -154,14 +154,14 @@ class Prototypes:
     """Languages in alphabetical order and their unit prototype vectors."""
 
     def __init__(self, langs: list[str], vectors: np.ndarray, dim: int = DIM, seed: int = SEED):
-        self.langs, self.vectors, self.dim, self.seed = langs, vectors, dim, seed
+        self.langs, self.vectors, self.dim, self.seed = langs, vectors.astype(np.float32), dim, seed
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         encoder, out, scores = _encoder(self.dim, self.seed), [], np.zeros(len(texts))
         if not self.langs:
             return ["und"] * len(texts), scores
         own = unit_bundles(encoder, texts)
-        cosines = own @ self.vectors.T.astype(np.float32)
+        cosines = own @ self.vectors.T
         best = cosines.argmax(axis=1)
         known = own.any(axis=1)
         scores = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0).astype(float)
@@ -169,43 +169,49 @@ class Prototypes:
         return out, scores
 
     def column(self, text: str | Column) -> Column:
-        """struct<lang_pred string, score double> of a text column."""
+        """struct<lang_pred string, score double> of a text column. The prototypes, 4 * dim bytes a language, go to each worker once."""
+        shared = SparkSession.active().sparkContext.broadcast(self)
 
         @F.pandas_udf("lang_pred string, score double")
         def predict(texts: pd.Series) -> pd.DataFrame:
-            langs, scores = self.predict([t or "" for t in texts])
+            langs, scores = shared.value.predict([t or "" for t in texts])
             return pd.DataFrame({"lang_pred": langs, "score": scores})
 
         return predict(text)
 
 
-def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, max_langs: int = 500, dim: int = DIM, seed: int = SEED) -> Prototypes:
-    """Prototypes from labelled rows.
+def _added(frames: Iterator[pd.DataFrame], vectors) -> Iterator[pd.DataFrame]:
+    """One row (lang, vector) for each language: the sum of vectors(rows of the language)."""
+    total: dict[str, np.ndarray] = {}
+    for frame in frames:
+        for lang, group in frame.groupby("lang"):
+            total[lang] = total.get(lang, 0) + vectors(group)
+    if total:
+        yield pd.DataFrame({"lang": list(total), "vector": [v.astype("<f8").tobytes() for v in total.values()]})
+
 
-    Bounds: about per_lang rows of each language, chosen by a hash of key and text, and the max_langs most frequent languages. Rows with null text or language, or without a letter, teach nothing.
+def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, dim: int = DIM, seed: int = SEED) -> Prototypes:
+    """Prototypes from labelled rows, of every language that occurs.
+
+    Bound: about per_lang rows of each language, chosen by a hash of key and text. Rows with null text or language, or
+    without a letter, teach nothing. Texts are bundled where they are read; only sums, one a task and language, are
+    shuffled, and one for each language comes to the driver.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return Prototypes([], np.zeros((0, dim)), dim, seed)
-    chosen = F.lit(False)
-    for r in sizes:
-        own = F.col("lang") == r["lang"]
-        chosen = chosen | (own if r["count"] <= per_lang else own & hash_fraction(per_lang / r["count"], F.col("key"), F.col("text")))
-
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, total = _encoder(dim, seed), {}
-        for frame in frames:
-            for one, group in frame.groupby("lang"):
-                total[one] = total.get(one, 0) + unit_bundles(encoder, group["text"].tolist()).sum(axis=0, dtype=np.float64)
-        if total:
-            yield pd.DataFrame({"lang": list(total), "vector": [v.tolist() for v in total.values()]})
-
-    partial = rows.where(chosen).select("lang", "text").repartition(24).mapInPandas(sums, "lang string, vector array<double>").collect()
-    total: dict[str, np.ndarray] = {}
-    for r in partial:
-        total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["vector"])
-    total = {k: v for k, v in total.items() if v.any()}
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "hdc-langs")
+    part = (per_lang / F.col("n")).cast("double")
+    chosen = rows.join(small_side(sizes, sizes.count()), "lang").where(hash_fraction(part, F.col("key"), F.col("text"))).select("lang", "text")
+
+    def bundles(group: pd.DataFrame) -> np.ndarray:
+        return unit_bundles(_encoder(dim, seed), group["text"].tolist()).sum(axis=0, dtype=np.float64)
+
+    def sums(group: pd.DataFrame) -> np.ndarray:
+        return sum(np.frombuffer(v, "<f8") for v in group["vector"])
+
+    schema = "lang string, vector binary"
+    partial = chosen.mapInPandas(lambda frames: _added(frames, bundles), schema).repartition("lang").mapInPandas(lambda frames: _added(frames, sums), schema)
+    total = {r["lang"]: v for r in partial.collect() if (v := np.frombuffer(r["vector"], "<f8")).any()}
+    drop_stored(sizes)
     langs = sorted(total)
     vectors = np.array([total[k] / np.linalg.norm(total[k]) for k in langs]).reshape(len(langs), dim)
     return Prototypes(langs, vectors, dim, seed)
