@@ -28,7 +28,7 @@ STATS = ["log_words", "word_chars", "distinct", "top_word", "adjacent", "repeat_
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """(buckets of the distinct words, their counts, structure statistics) of a UTF-8 text."""
+    """(distinct buckets of the words, the words in each, structure statistics) of a UTF-8 text."""
     text = text or b""
     words = text.split()
     n = len(words)
@@ -37,6 +37,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
     codes = np.fromiter(map(crc32, words), np.int64, n)
     lengths = np.fromiter(map(len, words), np.int64, n)
     found, counts = np.unique(codes, return_counts=True)
+    buckets, which = np.unique(found % BUCKETS, return_inverse=True)  # words that share a bucket are one input
     pairs = codes[1:] * 31 + codes[:-1]
     size = len(text)
     lines = [x for x in text.split(b"\n") if x]
@@ -61,7 +62,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
         float((lengths > 30).mean()),
         0.0,
     ]
-    return found % BUCKETS, counts.astype(float), stats
+    return buckets, np.bincount(which, counts), stats
 
 
 class Machine:
