@@ -42,13 +42,14 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import stored
     from .ipf_mix import mix
     from .stages import ALPHA, KEEP, topic_of, words_in
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("words", words_in(F.col("text")))
-    docs = docs.withColumn("form", topic_of(F.col("text"), F.col("words"))).drop("text")
+    docs = stored(docs.withColumn("form", topic_of(F.col("text"), F.col("words"))).drop("text"), "mix-rows")
     mixed = mix(docs, F.col("words"), F.col("form"), alpha=ALPHA, keep=KEEP)
-    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), F.round("marginal_gap", 6).alias("marginal_gap"), "selected")
 
 
 @query
