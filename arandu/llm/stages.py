@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, free_name
+from .common import fold_of, free_name, stored
 from .hdc_langid import DIM
 
 #: A document's cosine with its language below which it resembles no known language: four deviations of the noise.
@@ -35,10 +35,12 @@ def least_cosine(text):
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents of no known language. The profiles are learned from the stage's own input.
+    """Reject documents of no known language; those that stay have the predicted one as lang, which the mixing stage uses.
 
-    Rejected are texts without letters, those nearer to random letters than to any language, and those whose cosine
-    is that of noise. Of texts of one or two words some in no known language stay, as their cosines are alike.
+    The profiles are learned from the stage's own input. Rejected are null and empty texts, texts without letters, those
+    nearer to random letters than to any language, and those whose cosine is that of noise. Of texts of one or two words
+    some in no known language stay, as their cosines are alike. Without a known language nothing stays; repeated rows
+    fare alike; further columns stay as they are.
     """
     from .hdc_langid import learn, with_random_letters
 
@@ -47,11 +49,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = docs.withColumn(name, model.column(F.col("text")))
     score = F.col(f"{name}.score")
     enough = F.when(score >= LEAST_COSINE, True).otherwise(score >= least_cosine(F.col("text")))
-    return found.where((F.col(f"{name}.lang_pred") != "und") & enough).select(docs.columns)
+    kept = found.where((F.col(f"{name}.lang_pred") != "und") & enough)
+    return kept.select(*(F.col(f"{name}.lang_pred").alias(c) if c.lower() == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents that the classifier, fitted on labelled documents, finds of low quality. Without a labelled document in docs all stay."""
+    """Reject documents that the classifier, fitted on labelled documents, finds of low quality.
+
+    Without a labelled document in docs all stay. Null and empty texts are scored by their (empty) structure; null
+    n_chars counts as the mean; repeated rows fare alike; an empty table gives an empty one; further columns stay.
+    """
     from .fm_quality import scored
     from .queries import quality_model
 
@@ -62,15 +69,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near copies (five words, similarity 0.8)."""
+    """Keep one document, that of the smallest id, of each group of near copies (five words, similarity 0.8).
+
+    Texts without a word are copies of nothing and stay. Of equal rows (id and text) one stays. Rows that share an id,
+    and those without one, are told apart by a key of their own, made from id and text, so that each is judged by its
+    own text; of a group of such copies the one of the smallest key stays. An empty table gives an empty one.
+    """
     from .oph_dedup import near_duplicates
 
-    found = near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_dropped"), "left_anti").select(docs.columns)
+    whole = F.col("text").isNotNull() & (words_in(F.col("text")) > 0)
+    key = free_name(docs, "dedup_key")
+    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").drop("count").limit(1).count()
+    if not again:
+        found = near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("_dropped"))
+        return docs.join(found, F.col("doc_id") == F.col("_dropped"), "left_anti").select(docs.columns)
+    rows = stored(docs.withColumn(key, F.when(whole, F.xxhash64("doc_id", "text"))), "pipeline-keys")
+    once = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
+    found = near_duplicates(once, key=key, percent=80).where("not kept").select(F.col(key).alias("_dropped"))
+    kept = once.join(found, F.col(key) == F.col("_dropped"), "left_anti").select(docs.columns)
+    return kept.unionByName(rows.where(F.col(key).isNull()).select(docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents by probabilities raked to source, language and topic shares."""
+    """Sample documents by probabilities raked to source, language and topic shares.
+
+    A null source or language is a value of its own; null and empty texts have no words and the probability of their
+    cell; rows that share an id (null ids share one) fare alike within a cell; an empty table gives an empty one.
+    """
     from .ipf_mix import mix
 
     words = words_in(F.col("text"))
@@ -81,7 +106,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and whether decoding them gives the tokenizer's own text."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded text of each document; a null text has no ids, repeated rows come back repeated."""
     import public_tokenizers
 
     from .bpe_automaton import round_trip
