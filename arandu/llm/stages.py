@@ -71,23 +71,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies (five words, similarity 0.8).
 
-    Texts without a word are copies of nothing and stay. Of equal rows (id and text) one stays. Rows that share an id,
-    and those without one, are told apart by a key of their own, made from id and text, so that each is judged by its
-    own text; of a group of such copies the one of the smallest key stays. An empty table gives an empty one.
+    Texts without a word are copies of nothing and stay. Rows that share an id, and those without one, get numbers of
+    their own, in the order of the ids, so that each is judged by its own text; of equal rows one stays. An empty table
+    gives an empty one.
     """
     from .oph_dedup import near_duplicates
 
-    whole = F.col("text").isNotNull() & (words_in(F.col("text")) > 0)
-    key = free_name(docs, "dedup_key")
-    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").drop("count").limit(1).count()
-    if not again:
-        found = near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("_dropped"))
-        return docs.join(found, F.col("doc_id") == F.col("_dropped"), "left_anti").select(docs.columns)
-    rows = stored(docs.withColumn(key, F.when(whole, F.xxhash64("doc_id", "text"))), "pipeline-keys")
-    once = rows.where(F.col(key).isNotNull()).dropDuplicates([key])
-    found = near_duplicates(once, key=key, percent=80).where("not kept").select(F.col(key).alias("_dropped"))
-    kept = once.join(found, F.col(key) == F.col("_dropped"), "left_anti").select(docs.columns)
-    return kept.unionByName(rows.where(F.col(key).isNull()).select(docs.columns))
+    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    key, rows = "doc_id", docs
+    if again:
+        key, place = free_name(docs, "dedup_key"), (F.col("doc_id"), F.xxhash64("text"))
+        rows = stored(docs.repartitionByRange(*place).sortWithinPartitions(*place).withColumn(key, F.monotonically_increasing_id()), "pipeline-keys")
+    found = near_duplicates(rows, key=key, percent=80).where("not kept").select(F.col(key).alias("_dropped"))
+    return rows.join(found, F.col(key) == F.col("_dropped"), "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
