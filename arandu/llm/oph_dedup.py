@@ -26,6 +26,8 @@ from .components import connected_components
 
 WORDS = 5
 BANDS, ROWS = 32, 5
+#: Pairs of a star that are confirmed in one place.
+MEMBERS = 256
 _rng = np.random.default_rng(7)
 _ODD = _rng.integers(1 << 62, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_ODD = _rng.integers(1 << 62, size=(256, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,14 +112,21 @@ def full_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity: 100 * intersection >= percent * union."""
+    """The pairs (a, b), all different, whose full sets reach the similarity: 100 * intersection >= percent * union.
+
+    The centre a of a large star is dealt out with its set to one more place for each MEMBERS of its pairs.
+    """
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "oph-ends")
     wanted = docs.select(key, text).join(small_side(ends, ends.count()).select(F.col("id").alias("_end")), F.col(key) == F.col("_end"), "left_semi")
     sets = stored(full_sets(wanted, key, text, k), "oph-sets")
     of_b, of_a = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b")), sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
+    hot = stored(pairs.groupBy("a").count().where(F.col("count") > MEMBERS).select(F.col("a").alias("_hot"), F.ceil(F.col("count") / MEMBERS).cast("int").alias("_salts")), "oph-hot")
+    hot = small_side(hot, hot.count())
+    salted = pairs.join(hot, F.col("a") == F.col("_hot"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("_salts")), F.lit(0)).cast("int").alias("salt"))
+    dealt = of_a.join(hot, F.col("a") == F.col("_hot"), "left").select("a", "own_a", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("salt"))
     both = F.size(F.array_intersect("own_a", "own_b"))
-    linked = pairs.join(of_b, "b").join(of_a, "a").where(100 * both >= percent * (F.size("own_a") + F.size("own_b") - both))
-    out = stored(linked.select("a", "b").distinct(), "oph-links")
+    linked = salted.join(of_b, "b").join(dealt, ["a", "salt"]).where(100 * both >= percent * (F.size("own_a") + F.size("own_b") - both))
+    out = stored(linked.select("a", "b"), "oph-links")
     drop_stored(ends, sets)
     return out
 
