@@ -199,3 +199,52 @@ def test_wrapped_notices(mark):
     assert spans_of(WRAPPED["GPL-3.0"].replace("GNU General", "GNU Lesser General")) == []
     crlf = "Licensed under the\r\nApache License, Version 2.0"
     assert spans_of(f"é\r\n{crlf}.\r\n") == [(crlf, "Apache-2.0")]
+
+
+def test_license_scan_finds_the_wordings_and_nothing_else(spark):
+    """Against a plain search for the exact words of every template; of those that overlap the longest counts."""
+    plain = [(name, license_scan.words_of(t)) for name, own in license_scan.TEMPLATES.items() for t in own]
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    hits = 0
+    for r in QUERIES["op8_license_scan"](spark, SF).collect():
+        words = " ".join(license_scan.words_of(docs[r["doc_id"]]))
+        expected = {name for name, t in plain if re.search(rf"(?<!\S){re.escape(' '.join(t))}(?!\S)", words)}
+        got = set(filter(None, (r["licenses"] or "").split(",")))
+        hits += bool(expected)
+        assert got == expected, (r["doc_id"], got, expected)
+    assert hits > 10
+
+
+def test_denied_notices_and_further_wordings():
+    assert spans_of("This is not released under the MIT License.") == []
+    assert spans_of("It was never licensed under the Apache License, Version 2.0.") == []
+    assert spans_of("Released under the MIT License does not hold here.") == []
+    assert [n for _, n in spans_of("We did not wait. Released under the MIT License. It is not hard.")] == ["MIT"]
+    assert [n for _, n in spans_of("licensed under the terms of the MIT License")] == ["MIT"]
+    assert [n for _, n in spans_of("Author: X\nLicense: MIT\n")] == ["MIT"]
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n3. Neither the name of the copyright holder nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission."
+    assert [n for _, n in spans_of(bsd)] == ["BSD", "BSD-3-Clause"]
+
+
+def test_license_scan_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.", "x", 1), (1, "Released under the MIT License.", "x", 1)], "doc_id long, text string, Spans string, licenses int")
+    got = license_scan.scanned(docs).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["licenses"] == ["MIT"] and got[0]["candidates"] == 1
+    assert license_scan.scanned(docs.limit(0)).count() == 0
+
+
+def test_words_in_one_bucket_are_one_input():
+    words, n = {}, 0
+    while True:  # two words of one bucket
+        word = f"w{n}"
+        other = words.setdefault(crc32(word.encode()) % fm_quality.BUCKETS, word)
+        if other != word:
+            break
+        n += 1
+    m = fm_quality.Machine()
+    m.factors = np.random.default_rng(1).normal(size=m.factors.shape)
+    buckets, counts, stats = fm_quality.features(f"{word} {other} {other} the".encode())
+    assert len(set(buckets.tolist())) == len(buckets) == 2 and sorted(counts) == [1, 3]
+    at, x = m.inputs(buckets, counts, np.array(stats))
+    pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(len(at)) for j in range(i + 1, len(at)))
+    assert m.raw(at, x) == pytest.approx(m.bias + m.linear[at] @ x + pairs)
