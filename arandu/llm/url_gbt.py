@@ -3,9 +3,12 @@
 The trees are trained from labelled URLs, by default those that the rules judge, and become nested Spark conditional
 expressions; features, rules and trees are DataFrame functions throughout.
 
+The suffix statistics are block rates of hosts' suffixes and paths' endings, in hashed places, so that every value has
+one. A labelled URL has the rates of the other folds' URLs when the trees are fitted, a URL to judge those of all.
+
 Defined cases: a null url or one without "://" has empty host and path, fits no rule, and is judged by its features
 (null counts as empty); without labelled URLs the verdict is allow, with one class only that class; repeated rows are
-judged alike; of rules of equal length the first in order of host and path wins.
+judged alike; of rules of equal length the first in order of host and path wins; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,12 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, free_name
+from .common import bounded, free_name, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "host_length", "segment_length", "suffix_rate", "ending_rate"]
-#: Suffixes whose block rates are kept, at most; others have the rate of all.
-MOST_SUFFIXES = 200
+#: Places that suffixes and endings are hashed to, folds of the labelled URLs, and URLs' worth that a rate is drawn to that of all.
+PLACES, FOLDS, DRAWN = 1024, 5, 20.0
 
 
 @dataclass(frozen=True)
@@ -67,23 +70,31 @@ def ending_of(path: Column) -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    n = F.greatest(F.length(text), F.lit(1))
-    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.when(c == "", F.lit(0.0)).otherwise((F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n))
-    return F.aggregate(shares, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    """Shannon entropy of the characters, in bits: runs of the sorted characters are counted in one pass."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    weigh = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
+    start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        same = s["c"] == c
+        return F.struct(c.alias("c"), F.when(same, s["n"] + 1).otherwise(1.0).alias("n"), F.when(same, s["sum"]).otherwise(s["sum"] + weigh(s["n"])).alias("sum"))
+
+    size = F.greatest(F.length(text), F.lit(1)).cast("double")
+    return F.log2(size) - F.aggregate(chars, start, step, lambda s: s["sum"] + weigh(s["n"])) / size
+
 
+def place_of(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(PLACES)).cast("int")
 
-def features(url: Column, host: Column, path: Column, rates: dict[str, dict[str, float]]) -> Column:
-    """struct of FEATURES, all double."""
+
+def features(url: Column, host: Column, path: Column, rates: dict[str, list[float]]) -> Column:
+    """struct of FEATURES, all double; rates: the block rate of each place of "suffix" and "ending", 0.5 where not given."""
     url = F.coalesce(url, F.lit(""))
     length = F.length(url)
     depth = occurrences(path, "/")
 
     def rate(name: str, key: Column) -> Column:
-        own = rates.get(name) or {}
-        out = F.lit(own.get("", 0.5))
-        known = [k for k in own if k]
-        return F.coalesce(F.create_map(*[x for k in known for x in (F.lit(k), F.lit(own[k]))])[key], out) if known else out
+        return F.get(F.lit(rates[name]), place_of(key)) if rates.get(name) else F.lit(0.5)
 
     values = {
         "length": length,
@@ -101,12 +112,10 @@ def features(url: Column, host: Column, path: Column, rates: dict[str, dict[str,
     return F.struct(*(values[f].cast("double").alias(f) for f in FEATURES))
 
 
-def smoothed(counts: dict[str, tuple[int, int]], weight: float = 20.0) -> dict[str, float]:
-    """Block rate of each value, drawn towards the rate of all, which is under the empty string."""
-    total, blocked = sum(n for n, _ in counts.values()), sum(b for _, b in counts.values())
-    base = blocked / total if total else 0.5
-    top = sorted(counts, key=lambda k: (-counts[k][0], k))[:MOST_SUFFIXES]
-    return {"": base} | {k: (counts[k][1] + weight * base) / (counts[k][0] + weight) for k in top if k}
+def smoothed(place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Block rate of each place, drawn towards the rate of all."""
+    base = y.mean() if len(y) else 0.5
+    return (np.bincount(place, y, PLACES) + DRAWN * base) / (np.bincount(place, minlength=PLACES) + DRAWN)
 
 
 @dataclass
@@ -151,7 +160,7 @@ def _values(node: Node, x: np.ndarray) -> np.ndarray:
 class Booster:
     bias: float
     trees: list[Node]
-    rates: dict[str, dict[str, float]]
+    rates: dict[str, list[float]]
     rate: float = 0.3
 
     @classmethod
@@ -184,22 +193,31 @@ class Booster:
 
 
 def train(labelled: DataFrame, url: str, label: str, most: int = 20_000) -> Booster:
-    """From rows with a url and a label (block or allow): about `most` distinct ones at most, chosen by a hash of the url."""
+    """From rows with a url and a label (block or allow): `most` distinct ones at most, chosen by a hash of both.
+
+    The sample is read once; its features, places and folds come to the driver, where the trees are fitted.
+    """
     host, path = host_of(F.col(url)), path_of(F.col(url))
-    block = (F.col(label) == "block").cast("int")
-    rows = bounded(labelled.where(F.col(label).isin("block", "allow")).select(url, label).distinct(), most, F.col(url))
-    rates = {}
-    for name, of in (("suffix", suffix_of(host)), ("ending", ending_of(path))):
-        counts = rows.groupBy(of.alias("k")).agg(F.count("*").alias("n"), F.sum(block).alias("b")).orderBy(F.desc("n"), "k").limit(MOST_SUFFIXES + 1).collect()
-        rates[name] = smoothed({r["k"] or "": (r["n"], r["b"]) for r in counts})
-    got = sorted(tuple(r) for r in rows.select(features(F.col(url), host, path, rates).alias("f"), block.alias("y")).select("f.*", "y").collect())
+    rows = stored(labelled.where(F.col(label).isin("block", "allow")).select(url, label).distinct(), "url-labelled")
+    rows = bounded(rows, most, F.col(url), F.col(label)).select(
+        features(F.col(url), host, path, {}).alias("f"),
+        F.struct(place_of(suffix_of(host)).alias("suffix"), place_of(ending_of(path)).alias("ending"), F.pmod(F.xxhash64(F.lit("fold"), F.col(url)), F.lit(FOLDS)).alias("fold")).alias("p"),
+        (F.col(label) == "block").cast("double").alias("y"),
+    )
+    got = sorted(tuple(r) for r in rows.select("f.*", "p.*", "y").collect())
     if not got:
-        return Booster(-30.0, [], rates)
+        return Booster(-30.0, [], {})
     data = np.array(got, float)
-    y = data[:, -1]
+    x, places, fold, y = data[:, : len(FEATURES)], data[:, len(FEATURES) : -2].astype(int).T, data[:, -2], data[:, -1]
+    rates = {}
+    for name, place in zip(("suffix", "ending"), places, strict=True):
+        rates[name] = smoothed(place, y).tolist()
+        for k in range(FOLDS):
+            own = fold == k
+            x[own, FEATURES.index(f"{name}_rate")] = smoothed(place[~own], y[~own])[place[own]]
     if y.min() == y.max():
         return Booster(30.0 if y[0] else -30.0, [], rates)
-    return Booster.fit(data[:, :-1], y, rates)
+    return Booster.fit(x, y, rates)
 
 
 def judged(pages: DataFrame, rules: list[Rule], model: Booster, url: str = "url") -> DataFrame:
