@@ -5,7 +5,9 @@ rows by the gain in information, pruned on the other part, and emitted if it sti
 covers are taken away and the next rule is learned. The list becomes one ordered Spark conditional expression.
 
 Defined cases: null text counts as empty; without labelled rows, or with one class only, the list is empty and every
-document that passes the base rules is kept; null statistics meet no condition; texts are read whole.
+document that passes the base rules is kept; rows with a null label teach nothing; null statistics meet no condition;
+repeated rows are judged alike; an empty table gives no rows; columns named as the new ones are replaced, others stay;
+texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ from .common import bounded, free_name
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 #: The statistics of a text: counts, all whole numbers.
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper", "n_caps_words", "n_bars", "n_distinct", "n_adjacent", "n_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_upper", "n_caps_words", "n_bars", "n_distinct", "n_adjacent", "n_lines", "n_window_words", "n_window_distinct"]
+#: Words of a window in which distinct words are counted: the share of distinct words in a whole text falls with its length alone.
+WINDOW = 50
 
 
 def counts_of(text: str | None) -> tuple[int, ...]:
     """COUNTS of a text: see the query's contract for the first five; the others are !/? characters, A-Z letters,
-    words without lower-case letters, words that are a bar, distinct words, words equal to the one before, lines with a word."""
+    words without lower-case letters, words that are a bar, distinct words, words equal to the one before, lines with a
+    word, words of whole windows of WINDOW words (a shorter text is one window), and the distinct words of each."""
     text = text or ""
     data = text.encode("utf-8", "replace")
     words = data.split()
@@ -46,6 +51,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
         for k in range(3):
             mask[k : n - 2 + k] |= often
         covered = int(mask.sum())
+    windows = np.sort(at[: n - n % WINDOW].reshape(-1, WINDOW) if n >= WINDOW else at.reshape(1, n), axis=1)
     raw = np.frombuffer(data, np.uint8)
     spaces = int((((raw >= 9) & (raw <= 13)) | (raw == 32)).sum())
     return (
@@ -61,6 +67,8 @@ def counts_of(text: str | None) -> tuple[int, ...]:
         len(ids),
         int((at[1:] == at[:-1]).sum()),
         len(lines),
+        windows.size,
+        int((windows[:, 1:] != windows[:, :-1]).sum()) + len(windows) * (n > 0),
     )
 
 
@@ -72,7 +80,7 @@ def counts_column(text: str | Column) -> Column:
     return count(text)
 
 
-#: name -> (numerator, denominator) of the statistics that rules test.
+#: name -> (numerator, denominator) of the statistics that rules test: shares and means, none a matter of length.
 RATIOS = {
     "symbols_per_word": ("n_symbols", "n_words"),
     "dup_lines": ("n_dup_lines", "n_lines"),
@@ -81,18 +89,16 @@ RATIOS = {
     "upper_chars": ("n_upper", "word_chars"),
     "caps_words": ("n_caps_words", "n_words"),
     "bars_per_word": ("n_bars", "n_words"),
-    "distinct_words": ("n_distinct", "n_words"),
+    "window_distinct": ("n_window_distinct", "n_window_words"),
     "adjacent_words": ("n_adjacent", "n_words"),
     "word_length": ("word_chars", "n_words"),
     "words_per_line": ("n_words", "n_lines"),
-    "n_words": ("n_words", None),
 }
 
 
 def ratio(name: str, stats: Column) -> Column:
     top, bottom = RATIOS[name]
-    value = stats[top].cast("double")
-    return value if bottom is None else value / F.greatest(stats[bottom], F.lit(1))
+    return stats[top].cast("double") / F.greatest(stats[bottom], F.lit(1))
 
 
 @dataclass(frozen=True)
@@ -138,22 +144,31 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, longest: int, cuts: int) ->
                         best, gain = c, g
         if best is None:
             break
-        rule.append(best)
-        inside &= best.holds(x)
+        rule.append(_widened(best, x[best.stat][inside & ~bad]))
+        inside &= rule[-1].holds(x)
     return rule
 
 
+def _widened(c: Condition, good: np.ndarray) -> Condition:
+    """The condition with its threshold half-way to the next good value that it does not cover."""
+    beyond = good[good < c.threshold] if c.over else good[good >= c.threshold]
+    if not len(beyond):
+        return c
+    return Condition(c.stat, c.over, float((c.threshold + (beyond.max() if c.over else beyond.min())) / 2))
+
+
 def _worth(rule: list[Condition], x: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, int, int]:
     hit = covers(rule, x, len(bad))
     p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
     return ((p - n) / (p + n) if p + n else -1.0), p, n
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 12, longest: int = 4, cuts: int = 24, least: int = 3, precision: float = 0.95, seed: int = 9) -> list[list[Condition]]:
-    """Ordered rules for the bad rows: two thirds of the rows grow a rule, the others prune and judge it."""
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 12, longest: int = 4, cuts: int = 24, least: int = 3, precision: float = 0.95, seed: int = 9, tries: int = 6) -> list[list[Condition]]:
+    """Ordered rules for the bad rows: two thirds of the rows grow a rule, the others prune and judge it. A rule that is
+    not precise there, or covers fewer than `least` bad rows, is tried again from other thirds, `tries` times in a row."""
     rng = np.random.default_rng(seed)
-    left, rules = np.arange(len(bad)), []
-    while len(rules) < most and bad[left].any() and not bad[left].all():
+    left, rules, failed = np.arange(len(bad)), [], 0
+    while len(rules) < most and failed < tries and bad[left].any() and not bad[left].all():
         order = rng.permutation(left)
         part = len(order) * 2 // 3
         sets = [({k: v[i] for k, v in x.items()}, bad[i]) for i in (order[:part], order[part:])]
@@ -161,15 +176,17 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, most: int = 12, longe
         while len(rule) > 1 and (shorter := max((rule[:i] + rule[i + 1 :] for i in range(len(rule))), key=lambda r: _worth(r, *sets[1])[0])) and _worth(shorter, *sets[1])[0] >= _worth(rule, *sets[1])[0]:
             rule = shorter
         _, p, n = _worth(rule, *sets[1])
-        if not rule or p < least or p < precision * (p + n):
-            break
+        if not rule or not p or p < precision * (p + n) or _worth(rule, {k: v[left] for k, v in x.items()}, bad[left])[1] < least:
+            failed += 1
+            continue
+        failed = 0
         rules.append(rule)
         left = left[~covers(rule, {k: v[left] for k, v in x.items()}, len(left))]
     return rules
 
 
 def train(rows: DataFrame, label: str, text: str = "text", key: str = "doc_id", most: int = 8000) -> list[list[Condition]]:
-    """Rules for rows whose label is 0, from about `most` labelled rows at most, chosen by a hash of the key."""
+    """Rules for rows whose label is 0, from `most` labelled rows at most, chosen by a hash of the key."""
     rows = bounded(rows.where(F.col(label).isNotNull()), most, F.col(key))
     got = rows.select(F.col(label).cast("int").alias("y"), counts_column(F.col(text)).alias("s")).select("y", *(ratio(r, F.col("s")).alias(r) for r in RATIOS)).collect()
     got = sorted(got, key=tuple)

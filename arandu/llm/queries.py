@@ -70,14 +70,21 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_id, quality of the labels that are learned from: those whose crc32(doc_id as text) mod 4 is not 2, MOST_LABELS at
+    most. Of several labels of a document the highest counts; null labels and ids teach nothing."""
+    from .common import bounded, fold_of
+
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality").where(F.col("quality").isNotNull() & (fold_of("doc_id", 4) != 2))
+    return bounded(labels.groupBy("_id").agg(F.max("quality").alias("quality")), MOST_LABELS, F.col("_id"))
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
-    """Fitted on documents of docs that labels.quality marks and whose crc32(doc_id as text) mod 4 is not 2."""
-    from .common import bounded, fold_of, small_side
+    """Fitted on the labelled documents of docs."""
+    from .common import small_side
     from .fm_quality import train
 
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality").where(F.col("quality").isNotNull() & (fold_of("doc_id", 4) != 2))
-    labels = bounded(labels, MOST_LABELS, F.col("_id")).groupBy("_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", "text", "n_chars").join(small_side(labels, MOST_LABELS), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text", "n_chars").join(small_side(labels_of(spark, sf_dir), MOST_LABELS), F.col("doc_id") == F.col("_id"))
     return train(rows, "quality", meta=("n_chars",), most=MOST_LABELS)
 
 
@@ -105,14 +112,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import bounded, small_side
+    from .common import fold_of, small_side
     from .decision_list import judged, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality").where("quality is not null")
-    labels = bounded(labels, MOST_LABELS, F.col("_id")).groupBy("_id").agg(F.max("quality").alias("quality"))
-    rules = train(docs.join(small_side(labels, MOST_LABELS), F.col("doc_id") == F.col("_id")), "quality")
-    return judged(docs, rules).drop("text")
+    rules = train(docs.join(small_side(labels_of(spark, sf_dir), MOST_LABELS), F.col("doc_id") == F.col("_id")), "quality", most=MOST_LABELS)
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    return judged(docs.withColumn("held_out", held_out), rules).drop("text")
 
 
 @query

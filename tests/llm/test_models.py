@@ -248,3 +248,57 @@ def test_words_in_one_bucket_are_one_input():
     at, x = m.inputs(buckets, counts, np.array(stats))
     pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(len(at)) for j in range(i + 1, len(at)))
     assert m.raw(at, x) == pytest.approx(m.bias + m.linear[at] @ x + pairs)
+
+
+def test_decision_list_on_held_out_rows(spark):
+    got = QUERIES["op5_decision_list"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out and not base_failed").collect()
+    rejected = [r["quality"] for r in got if not r["kept"]]
+    assert all(crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in got)
+    assert len(got) > 30 and sum(rejected) <= 0.1 * len(rejected)  # precision
+    assert sum(r["quality"] == 1 or not r["kept"] for r in got) / len(got) > 0.9
+
+
+def test_window_counts():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 49, 50, 51, 120, 333):
+        words = [f"w{rng.integers(40)}" for _ in range(n)]
+        windows = [words[i : i + 50] for i in range(0, n - n % 50, 50)] if n >= 50 else [words]
+        got = dict(zip(decision_list.COUNTS, decision_list.counts_of(" ".join(words)), strict=True))
+        assert (got["n_window_words"], got["n_window_distinct"]) == (sum(map(len, windows)), sum(len(set(w)) for w in windows)), n
+
+
+def test_decision_list_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b " * 60, 1, "old", 0), (1, "a b " * 60, 1, "old", 0), (2, None, None, "old", 0)], "doc_id long, text string, quality int, kept string, N_WORDS int")
+    for rows in (docs.limit(0), docs.where("quality is null"), docs):  # none, no label, one class
+        assert decision_list.train(rows, "quality") == []
+    got = sorted(tuple(r) for r in decision_list.judged(docs, []).select("doc_id", "n_words", "base_failed", "kept").collect())
+    assert got == [(1, 120, True, False), (1, 120, True, False), (2, 0, True, False)]
+    assert decision_list.judged(docs.limit(0), []).count() == 0
+
+
+def test_entropy_and_rates(spark):
+    urls = ["", "a", "aa", "ab", "http://x.com/a1b2/c?d=e", "é" * 3 + "z" * 500]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i long, url string").select("url", url_gbt.entropy(F.col("url")).alias("h")).collect()
+    for r in rows:
+        shares = [r["url"].count(c) / len(r["url"]) for c in set(r["url"])]
+        assert r["h"] == pytest.approx(-sum(p * np.log2(p) for p in shares), abs=1e-9)
+    rates = url_gbt.smoothed(np.array([3, 3, 7]), np.array([1.0, 1.0, 0.0]))
+    assert len(rates) == url_gbt.PLACES and rates[0] == pytest.approx(2 / 3) and rates[3] > rates[0] > rates[7]
+
+
+def test_url_verdicts_of_held_out_urls(spark):
+    labelled = url_gbt.label_by_rules(spark.read.parquet(f"{SF}/pages.parquet"), RULES).distinct()
+    held = F.pmod(F.xxhash64("url"), F.lit(4)) == 0
+    model = url_gbt.train(labelled.where(~held), "url", "label")
+    got = url_gbt.judged(labelled.where(held), [], model).collect()
+    assert len(got) > 20 and sum(r["label"] == r["verdict"] for r in got) / len(got) > 0.9
+    assert url_gbt.judged(labelled.limit(0), RULES, model).count() == 0
+
+
+def test_rules_of_equal_length_and_odd_columns(spark):
+    rules = [url_gbt.Rule("b.com", "/x", "allow"), url_gbt.Rule("b.com", "/x", "block"), url_gbt.Rule("com", "/x/yy", "block")]
+    pages = spark.createDataFrame([(1, "http://b.com/x/yy", "s"), (1, "http://b.com/x/yy", "s")], "page_id long, url string, Score string")
+    got = url_gbt.judged(pages, rules, url_gbt.Booster(30.0, [], {})).collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("com/x/yy", "block")] * 2
+    got = url_gbt.judged(pages.limit(1), rules[:2], url_gbt.Booster(30.0, [], {})).collect()
+    assert [(r["rule"], r["verdict"], r["score"] > 0.99) for r in got] == [("b.com/x", "allow", True)]
