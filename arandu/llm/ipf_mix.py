@@ -32,7 +32,7 @@ CELL = ["source", "lang", "topic"]
 DRIVER_CELLS = 100_000
 U32 = float(1 << 32)
 #: Rounds at most, the change of a factor at which raking has converged, and the marginal gap that is no rounding error.
-ROUNDS, STOP, CLOSE = 200, 1e-10, 1e-6
+ROUNDS, STOP, CLOSE = 60, 1e-10, 1e-6
 
 
 def tempered(tokens: Mapping[str, float], alpha: float) -> dict[str, float]:
