@@ -36,6 +36,8 @@ MAGIC = b"BITSHRD1"
 GROUP = 64
 BLOCK = GROUP * 1024
 CACHE_WORDS = 800_000
+#: Longer words are not kept beyond their batch, so that what a worker keeps is bounded.
+LONGEST_KEPT = 100
 #: Texts of these characters are split at spaces here and their words looked up; others go to the library whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ſ]*")
 UNEVEN = re.compile(r" [\t\n\r ]|[\t\n\r] ")
@@ -226,7 +228,11 @@ class Encoder:
         if missing:
             needed = {c for chunks in split if chunks for c in chunks} if len(kept) + len(missing) > CACHE_WORDS else missing
             self._learn(list(needed))
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) if chunks is None else np.frombuffer(b"".join([kept[c] for c in chunks]), self.kind) for t, chunks in zip(texts, split, strict=True)]
+        out = [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) if chunks is None else np.frombuffer(b"".join([kept[c] for c in chunks]), self.kind) for t, chunks in zip(texts, split, strict=True)]
+        for c in missing:
+            if len(c) > LONGEST_KEPT:
+                kept.pop(c, None)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -7,11 +7,13 @@ with an a arc an ab arc to where p's b arc leads. All arcs of one token therefor
 state, and a state is stored as its parent and the arc it lacks.
 
 A prefix of an accepted sequence is accepted too, and each string has one accepted sequence, so that for each position
-of a word exactly one token ends there: the one whose arc exists in the state after the token before it. Decoding emits
-the labels of the arcs.
+of a word exactly one token ends there: the one whose arc exists in the state after the token before it. The transition
+table is filled as words need its entries, since 49,000 tokens have far too many pairs to list. Decoding emits the
+labels of the arcs.
 
 Defined cases: null text counts as empty and has no ids; special tokens in a text become their ids; texts of any length
-are read whole.
+are read whole; an empty table gives no rows; further columns, whatever their names, are not read; repeated rows come
+back repeated.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .common import free_name
 
 #: Most words a worker keeps the ids of.
 CACHE_WORDS = 250_000
+#: Longer words are not kept, so that what a worker keeps is bounded; entries of the transition table, at most.
+LONGEST_KEPT, TRANSITIONS = 100, 2_000_000
 #: Texts of these characters are split here; others by the tokenizer file's own normaliser and pre-tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ]*")
 
@@ -46,6 +50,7 @@ class Automaton:
         self.target, self.left, self.token_born = [0] * size, [-1] * size, [-1] * size
         self.arcs: dict[str, int] = dict(base)
         self._lacks: dict[int, dict[int, int]] = {}
+        self.table: dict[int, int] = {}  # state * tokens + token -> next state, or -1
         self._tries: dict[str, tuple] = {}
         never: set[str] = set()  # tokens whose parts never stand side by side
         for k, (a, b) in enumerate(merges):
@@ -86,9 +91,18 @@ class Automaton:
         self._lacks[state] = lacks
         return lacks
 
-    def follows(self, before: int, token: int) -> bool:
-        """allows() for the state after a token, from the compiled table."""
-        state = self.target[before]
+    def step(self, state: int, token: int) -> int:
+        """The state that the token's arc leads to, or -1 if the state has none; each transition is worked out once."""
+        key = state * len(self.label) + token
+        to = self.table.get(key)
+        if to is None:
+            if len(self.table) >= TRANSITIONS:
+                self.table.clear()
+            to = self.table[key] = self.target[token] if self._has(state, token) else -1
+        return to
+
+    def _has(self, state: int, token: int) -> bool:
+        """allows(), from the state's compiled list of the arcs it lacks."""
         if not state:
             return True
         lacks, later = self._lacks.get(state) or self._compile(state), 1 << 60
@@ -115,8 +129,8 @@ class Automaton:
         if end not in self._tries:
             self._tries[end] = self._trie(end, False), self._trie(end, True) if end else None
         inner, final = self._tries[end]
-        n, follows = len(word), self.follows
-        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        n, step = len(word), self.step
+        state, arc, begin = [0] + [-1] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             node, j = final if end and i == n else inner, i
             while j:
@@ -125,14 +139,14 @@ class Automaton:
                     break
                 j -= 1
                 token = node.get("")
-                if token is not None and (j == 0 or (last[j] >= 0 and follows(last[j], token))):
-                    last[i], begin[i] = token, j
+                if token is not None and state[j] >= 0 and (to := step(state[j], token)) >= 0:
+                    state[i], arc[i], begin[i] = to, token, j
                     break
-            if last[i] < 0:  # a symbol outside the alphabet splits the word
+            if state[i] < 0:  # a symbol outside the alphabet splits the word
                 return self.encode(word[: i - 1]) + self.encode(word[i:], end)
         out, i = [], n
         while i:
-            out.append(last[i])
+            out.append(arc[i])
             i = begin[i]
         return out[::-1]
 
@@ -176,9 +190,11 @@ class Codec:
         """Ids of a pre-split word, given in byte letters."""
         ids = self.pieces.get(piece)
         if ids is None:
+            ids = np.array(self.automaton.encode(piece, self.end), self.kind).tobytes()
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
-            ids = self.pieces[piece] = np.array(self.automaton.encode(piece, self.end), self.kind).tobytes()
+            if len(piece) <= LONGEST_KEPT:
+                self.pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
@@ -190,9 +206,11 @@ class Codec:
         for w in text.lower().split():
             ids = words.get(w)
             if ids is None:
+                ids = self._word(w)
                 if len(words) >= CACHE_WORDS:
                     words.clear()
-                ids = words[w] = self._word(w)
+                if len(w) <= LONGEST_KEPT:
+                    words[w] = ids
             out.append(ids)
         return b"".join(out)
 

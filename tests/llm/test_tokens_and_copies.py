@@ -217,3 +217,70 @@ def test_mixing(spark):
     got = ipf_mix.mix(docs, F.col("n"), F.lit("t")).collect()
     assert len(got) == 3 and all(0 <= r["probability"] <= 1 for r in got)
     assert ipf_mix.mix(docs.limit(0), F.col("n"), F.lit("t")).count() == 0
+
+
+def test_round_trip_of_odd_tables(spark):
+    from arandu.llm.bpe_automaton import round_trip
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "a b", "x", 1), (1, "a b", "x", 1), (2, None, "x", 1)], "doc_id long, text string, bpe string, N_TOKENS int")
+    got = sorted(tuple(r) for r in round_trip(docs, path).collect())
+    assert len(got) == 3 and got[0] == got[1] and got[2][1] == 0
+    assert round_trip(docs.limit(0), path).count() == 0
+
+
+def test_shards_of_odd_tables(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b " + "z" * 5000, "k", 1), (big, "a b " + "z" * 5000, "k", 1), (None, "c", "k", 1), (big + 1, None, "k", 1)], "doc_id long, text string, key string, ids int")
+    got = sorted(bitpack.read_shards(spark, bitpack.write_shards(docs, f"{tmp_path}/s", path, 2)).collect(), key=lambda r: r["start"])
+    assert [r["key"] for r in got] == [None, big, big, big + 1] and got[1]["ids"] == got[2]["ids"] and got[3]["ids"] == [2]
+    assert bitpack.filesystem("dbfs:/a/b")[1] == "/dbfs/a/b" and bitpack.filesystem("file:///a")[1] == "/a"
+
+
+def test_raking_of_sparse_cells_and_of_unmet_targets(spark, monkeypatch):
+    monkeypatch.setattr(ipf_mix, "ROUNDS", 3)  # the same in both ways, however far they have come
+    rng = np.random.default_rng(6)
+    names = sorted({(f"s{rng.integers(30)}", f"g{rng.integers(12)}", f"t{rng.integers(6)}") for _ in range(150)})
+    cells = spark.createDataFrame([(*n, int(rng.integers(1, 5000))) for n in names], "source string, lang string, topic string, tokens long")
+    key = lambda df: {(r["source"], r["lang"], r["topic"]): r for r in df.collect()}
+    with pytest.warns(UserWarning, match="cannot meet"):
+        one, two = (key(ipf_mix.cell_probabilities(cells, None, 0.7, 0.6, driver_cells=n)) for n in (1000, 1))
+    assert max(abs(one[k]["probability"] - two[k]["probability"]) for k in one) < 1e-8 and len(one) == len(two) == len(names)
+    apart = spark.createDataFrame([("a", "x", "t", 70), ("b", "y", "t", 30)], "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.2, "y": 0.8}, "topic": {"t": 1.0}}
+    for n in (1000, 1):
+        with pytest.warns(UserWarning, match="cannot meet"):
+            got = ipf_mix.cell_probabilities(apart, targets, 0.5, 0.6, driver_cells=n).collect()
+        assert got[0]["marginal_gap"] > 0.1
+    with pytest.raises(ValueError, match="cannot meet"):
+        ipf_mix.cell_probabilities(apart, targets, 0.5, 0.6, strict=True)
+
+
+def test_samples_are_bounded_and_never_vanish(spark):
+    from pyspark.sql import functions as F
+
+    from arandu.llm.common import bounded, hash_fraction
+
+    df = spark.range(20_000).select((F.col("id") % 7_000).alias("k"))
+    some = bounded(df, 500, F.col("k"))
+    assert some.count() == 500 and some.columns == ["k"]
+    assert bounded(spark.range(9_000).select(F.lit(1).alias("k")), 500, F.col("k")).count() == 500
+    assert 700 < spark.range(100_000).where(hash_fraction(0.01, F.col("id"))).count() < 1300
+    text = spark.range(1).select(hash_fraction(1e-9, F.col("id")))._jdf.queryExecution().analyzed().toString()
+    assert str(int(1e-9 * (1 << 63))) in text  # not zero
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    from arandu.llm import common
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    assert common.shared_dir(spark).endswith("/tmp/checkpoints")
