@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,41 +100,65 @@ def block_paths(blocks: DataFrame, key: str = "doc_id", hierarchy: Column | None
     return heading_stack(blocks, key).withColumn("path", F.filter(path, lambda x: x != ""))
 
 
-def _amending_levels(blocks: list[dict]) -> list[int | None]:
-    """Level of each block of an amending act; devices of the changed act lie under the article that changes it."""
+#: States of an amending act's reader: outside a change, under an article that announces one, inside the changed text;
+#: (state, event) -> (whether the block is of the changed act, next state).
+_PLAIN, _ANNOUNCED, _INSIDE = "plain", "announced", "inside"
+_STEPS = {
+    (_PLAIN, "announcing"): (False, _ANNOUNCED),
+    (_ANNOUNCED, "quoted"): (True, _INSIDE),
+    (_ANNOUNCED, "scope"): (True, _INSIDE),
+    (_ANNOUNCED, "elsewhere"): (True, _ANNOUNCED),
+    (_INSIDE, "quoted"): (True, _INSIDE),
+    (_INSIDE, "scope"): (True, _INSIDE),
+    (_INSIDE, "elsewhere"): (True, _INSIDE),
+    (_INSIDE, "device"): (True, _INSIDE),
+    **{(s, "reset"): (False, _PLAIN) for s in (_PLAIN, _ANNOUNCED, _INSIDE)},
+    **{(s, "opening"): (False, _ANNOUNCED) for s in (_PLAIN, _ANNOUNCED, _INSIDE)},
+    **{(s, "closing"): (False, _PLAIN) for s in (_PLAIN, _ANNOUNCED, _INSIDE)},
+}
+_ARTICLE_NUMBER = re.compile(r"Art\.\s*(\d+)", re.IGNORECASE)
+
+
+def _event(b: dict, state: str, title: str | None, number: int | None) -> str:
+    """What a block does to the reader, under the act's article of that title and number."""
     from .lines import amends
 
-    import re
+    opens = bool(b["amendment_context"]) or amends(b["text"] or "")
+    if b["kind"] == "preamble":
+        return "reset"
+    if b["kind"] == "article":
+        own = _article_number(b)
+        leaps = own is not None and number is not None and own > number + 1
+        if state != _PLAIN and (b["starts_with_quote"] or leaps):
+            return "quoted"
+        return "opening" if opens else "closing"
+    if b["kind"] in HEADING_KINDS:
+        return "reset" if state == _PLAIN else "scope" if title else "device"
+    if state == _PLAIN:
+        return "announcing" if title and opens else "device"
+    return "elsewhere" if title and b["article"] and b["article"] != title else "device"
+
 
-    number_of = lambda b: int(m[1]) if (m := re.search(r"Art\.\s*(\d+)", b["title"] or b["text"] or "", re.IGNORECASE)) else None
-    opens = lambda b: bool(b["amendment_context"]) or amends(b["text"] or "")
-    act_title: str | None = None
-    act_number: int | None = None
-    announced = inside = False
-    out: list[int | None] = []
+def _article_number(b: dict) -> int | None:
+    found = _ARTICLE_NUMBER.search(b["title"] or b["text"] or "")
+    return int(found[1]) if found else None
+
+
+def _amending_levels(blocks: list[dict]) -> list[int | None]:
+    """Level of each block of an amending act; devices of the changed act lie under the article that changes it."""
+    state, title, number, out = _PLAIN, None, None, []
     for b in blocks:
-        kind = b["kind"]
-        level = NORMATIVE_LEVELS.get(kind)
-        if level is None:
+        if b["kind"] not in NORMATIVE_LEVELS:
             out.append(None)
             continue
-        if kind == "preamble" or (kind in HEADING_KINDS and not announced):
-            act_title = act_number = None
-            announced = inside = False
-        elif kind == "article":
-            number = number_of(b)
-            quoted_in = announced and (bool(b["starts_with_quote"]) or (None not in (number, act_number) and number > act_number + 1))
-            if quoted_in:
-                level, inside = EMBEDDED_LEVELS[kind], True
-            else:
-                act_title, act_number, announced, inside = b["title"], number, opens(b), False
-        else:
-            elsewhere = b["article"] and b["article"] != act_title
-            embedded = bool(announced and act_title and (kind in HEADING_KINDS or elsewhere or inside))
-            level = EMBEDDED_LEVELS.get(kind, level) if embedded else level
-            inside |= embedded and kind in HEADING_KINDS
-            announced |= bool(act_title and not inside and opens(b))
-        out.append(level)
+        event = _event(b, state, title, number)
+        changed, state = _STEPS.get((state, event), (False, state))
+        if event == "reset":
+            title = number = None
+        elif event in ("opening", "closing"):
+            title, number = b["title"], _article_number(b)
+        levels = EMBEDDED_LEVELS if changed else NORMATIVE_LEVELS
+        out.append(levels.get(b["kind"], NORMATIVE_LEVELS[b["kind"]]))
     return out
 
 

@@ -14,7 +14,9 @@ _I = re.IGNORECASE
 _PHRASES = [re.compile(p, _I) for p in V.PDF_PHRASES]
 _SKIPPED = [re.compile(p, _I) for p in (V.PDF_HEADER, V.PDF_PAGE_NUMBER, V.PDF_PAGE_LABEL, V.PDF_SEPARATOR, *V.PDF_LINES)]
 _SIGNED, _HOME = re.compile(V.PDF_SIGNATURE_PAGE, _I), re.compile(V.PDF_HOME, _I)
-_QUESTION, _QUESTION_ARTICLE = re.compile(V.QUESTION, _I), re.compile(V.QUESTION_ARTICLE)
+_QUESTION = re.compile(V.QUESTION, _I)
+#: The first ? comes early; greedy reading up to it leaves the last article that is not too near.
+_ARTICLE_QUESTION = re.compile(rf"(?=[^?]{{0,360}}\?)[^?]*((?=[^?]{{23,259}}\?){V.QUESTION_ARTICLE}[^?]*\?)")
 _EDGE = " -–:.;"
 
 
@@ -41,16 +43,10 @@ def page_text(text: str) -> str:
 
 
 def question(text: str) -> tuple[int, int, str] | None:
-    """(start, end, question) of the first question: by its first word, else back from the first ? to an article."""
-    if found := _QUESTION.search(text):
-        return found.start(1), found.end(1), squeeze_plain(found[1])
-    end = text.find("?")
-    if not 0 <= end <= 360:
-        return None
-    for start in reversed([m.start() for m in _QUESTION_ARTICLE.finditer(text, 0, end + 1)]):
-        if 24 <= len(own := squeeze_plain(text[start : end + 1])) <= 260:
-            return start, end + 1, own
-    return None
+    """(start, end, question) of the first question: by its first word, else from the last article before an early ?
+    from which 24 to 260 characters lead up to it."""
+    found = _QUESTION.search(text) or _ARTICLE_QUESTION.match(text)
+    return (found.start(1), found.end(1), squeeze_plain(found[1])) if found else None
 
 
 def _whole(pages: Sequence[str]) -> str:
@@ -59,8 +55,10 @@ def _whole(pages: Sequence[str]) -> str:
 
 def looks_faq(pages: Sequence[str]) -> bool:
     """At most four pages that begin with a question."""
-    found = question(_whole(pages)) if len(pages) <= 4 else None
-    return found is not None and found[0] <= 260 and 24 <= len(found[2]) <= 260
+    if len(pages) > 4 or not (found := question(_whole(pages))):
+        return False
+    start, _, asked = found
+    return start <= 260 and len(asked) in range(24, 261)
 
 
 def faq_blocks(pages: Sequence[str]) -> list[Block]:
