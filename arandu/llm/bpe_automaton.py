@@ -33,7 +33,7 @@ from .common import free_name
 #: Most words a worker keeps the ids of.
 CACHE_WORDS = 250_000
 #: Longer words are not kept, so that what a worker keeps is bounded; entries of the transition table, at most.
-LONGEST_KEPT, TRANSITIONS = 100, 2_000_000
+LONGEST_KEPT, TRANSITIONS = 100, 1 << 17
 #: Texts of these characters are split here; others by the tokenizer file's own normaliser and pre-tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ]*")
 
