@@ -169,7 +169,10 @@ class Prototypes:
         return out, scores
 
     def column(self, text: str | Column) -> Column:
-        """struct<lang_pred string, score double> of a text column. The prototypes, 4 * dim bytes a language, go to each worker once."""
+        """struct<lang_pred string, score double> of a text column. The prototypes, 4 * dim bytes a language, go to each worker once.
+
+        Spark is told not to move or repeat the call, so that a filter on the answer does not work it out a second time.
+        """
         shared = SparkSession.active().sparkContext.broadcast(self)
 
         @F.pandas_udf("lang_pred string, score double")
@@ -177,7 +180,7 @@ class Prototypes:
             langs, scores = shared.value.predict([t or "" for t in texts])
             return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-        return predict(text)
+        return predict.asNondeterministic()(text)
 
 
 def _added(frames: Iterator[pd.DataFrame], vectors) -> Iterator[pd.DataFrame]:
