@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -9,17 +10,21 @@ from pyspark.sql import functions as F
 
 Text = Column | str
 
-#: Letters with marks and compatibility letters that one plain letter stands for, by the rule of NFKD without combining marks.
-_RANGES = [(0xA0, 0x250), (0x1E00, 0x1F00), (0x2070, 0x209D), (0xFF01, 0xFF5F)]
+#: The white space that str.split() knows, but the blank, as a character class.
+_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space that is not a single blank, so that a squeezed text has no match.
+_RUNS = rf"[{_SPACE}][{_SPACE} ]*| [{_SPACE} ]+"
 
 
-def _folded(c: str) -> str:
-    return "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+def _marks() -> str:
+    """The combining characters, as ranges of a character class."""
+    codes = [i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))]
+    starts = [i for i in codes if not unicodedata.combining(chr(i - 1))]
+    ends = [i for i in codes if not unicodedata.combining(chr(i + 1))]
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in zip(starts, ends, strict=True)) + "]+"
 
 
-_TABLE = {chr(i): _folded(chr(i)) for lo, hi in _RANGES for i in range(lo, hi)} | {chr(i): _folded(chr(i)) for i in range(0xFB00, 0xFB07)}
-_ONE = {c: f for c, f in _TABLE.items() if len(f) == 1 and f != c and c == c.lower()}
-_MANY = {c: f for c, f in _TABLE.items() if len(f) > 1 and c == c.lower() and " " not in f}
+_MARKS = _marks()
 
 #: The letters of a word for \W, and the limits of previews.
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -36,23 +41,20 @@ def col(c: Text) -> Column:
 
 def squeeze(c: Text) -> Column:
     """Runs of white space as one blank, none at the ends; null stays null."""
-    return F.trim(F.regexp_replace(col(c), r"(?U)[\s\u001c-\u001f\u0085 ]+", " "))
+    return F.trim(F.regexp_replace(col(c), _RUNS, " "))
 
 
 def fold(c: Text) -> Column:
-    """squeeze, lower case, no accents: for comparing."""
-    out = F.translate(F.lower(squeeze(F.coalesce(col(c), F.lit("")))), "".join(_ONE), "".join(_ONE.values()))
-    marked = F.regexp_replace(out, r"[\u0300-\u036f]", "")
-
-    def spelled(x: Column) -> Column:
-        for letter, plain in _MANY.items():
-            if letter in "½¼¾ﬁﬂĳǆǉǌ":
-                x = F.replace(x, F.lit(letter), F.lit(plain))
-        return x
-
-    rare = "[" + "".join(_MANY) + "]"
-    #: An array of one, so that the text is worked out once for the test and the replacements.
-    return F.transform(F.array(marked), lambda x: F.when(x.rlike(rare), spelled(x)).otherwise(x))[0]
+    """squeeze, lower case, compatibility letters and accents as plain letters (NFKD without combining characters): for
+    comparing. Null counts as empty.
+
+    ASCII texts, whose bytes are as many as their letters, are done after lower(); the others are decomposed by the ICU
+    library that Spark ships, in the JVM. Spark holds such a call for one that may change its answer, so that it is
+    evaluated once in a projection and not moved.
+    """
+    lowered = F.lower(squeeze(F.coalesce(col(c), F.lit(""))))
+    plain = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), lowered, F.lit(True))
+    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(F.regexp_replace(plain, _MARKS, ""))
 
 
 def tokens(c: Text) -> Column:

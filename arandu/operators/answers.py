@@ -63,6 +63,21 @@ def service_url(endpoint: str | None) -> str:
     return own + "/openai/v1/"
 
 
+def service_model(endpoint: str, key: str, name: str, timeout: float = 60.0, opener: Callable[..., Any] | None = None) -> Callable[[str, str], str]:
+    """A model behind an HTTP service that takes chat messages and gives choices; opener is urllib's, or one for tests."""
+    import json
+    import urllib.request
+
+    def ask(instructions: str, text: str) -> str:
+        body = {"model": name, "messages": [{"role": "system", "content": instructions}, {"role": "user", "content": text}]}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key}", "api-key": key}
+        request = urllib.request.Request(service_url(endpoint) + "chat/completions", json.dumps(body).encode(), headers)
+        with (opener or urllib.request.urlopen)(request, timeout=timeout) as got:
+            return json.load(got)["choices"][0]["message"]["content"]
+
+    return ask
+
+
 @dataclass
 class Answer:
     status: str

@@ -9,6 +9,8 @@ from ..functions.text import filled, has_letter_or_digit
 from ..functions.values import ARCHETYPES, LEGAL_KINDS
 
 TOP_TITLES, ROOTS, OUTLINE, PREVIEWS, PREVIEW_CHARS = 8, 6, 14, 5, 300
+#: Files of a kind that a collection's summary names.
+FILES_SHOWN = 200
 
 # Devices in the plural, in summaries.
 PLURALS = {"preamble": "preâmbulo(s)", "part": "parte(s)", "book": "livro(s)", "title": "título(s)", "chapter": "capítulo(s)", "section": "seção(ões)", "subsection": "subseção(ões)", "article": "artigo(s)", "legal_paragraph": "parágrafo(s)", "inciso": "inciso(s)", "alinea": "alínea(s)", "item": "item(ns)"}
@@ -126,10 +128,17 @@ def document_summaries(documents: DataFrame, entries: DataFrame, blocks: DataFra
 
 
 def collection_summary(name: str, counts: DataFrame, titles: DataFrame, rows: DataFrame, entry_count: int) -> str:
-    """Prose about a collection from its counts, top titles and catalog; reads only their few first rows."""
+    """Prose about a collection from its counts, top titles and catalog; reads only their first rows, FILES_SHOWN of a
+    kind of files at most, and says how many more there are (files_of_types has them all)."""
     c = counts.first()
     named = lambda label, values, joint=", ": [f"{label}: {joint.join(values)}."] if values else []
-    files = lambda kinds: [r["file_name"] for r in files_of_types(rows, kinds).collect()]
+
+    def files(kinds: list[str]) -> list[str]:
+        own = files_of_types(rows, kinds)
+        first = [r["file_name"] for r in own.limit(FILES_SHOWN).collect()]
+        more = own.count() - FILES_SHOWN if len(first) == FILES_SHOWN else 0
+        return [*first, f"e mais {more}"] if more else first
+
     out = [f"Coleção `{name}` com {c['file_count']} arquivo(s) processado(s).", f"Total de blocos extraídos: {c['total_block_count']}. Entradas no índice mestre: {entry_count}."]
     out += named("Arquivos por tipo", [f"{k}: {n}" for k, n in (c["file_type_counts"] or {}).items()])
     out += named("Arquivos por arquétipo", [f"{k}: {n}" for k, n in (c["archetype_counts"] or {}).items()])

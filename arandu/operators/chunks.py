@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import filled, locator_path, position_text
 from ..functions.values import ARCHETYPES
+from .numbering import numbered
 from .structure import heading_stack
 
 GROUP = 3
@@ -123,7 +124,8 @@ def manual_roots(entries: DataFrame, blocks: DataFrame, key: str = "doc_id") ->
 
 
 def document_chunks(documents: DataFrame, entries: DataFrame, blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Chunks of all documents (key, archetype): by devices, steps or headings as the archetype asks, in groups of three
+    """Chunks of all documents (key, archetype): by devices, steps or headings as the archetype asks (a
+    manual that gives no step by its headings from level 2), in groups of three
     blocks where that gives nothing. Chunks of a document with the same positions are one. blocks have a path column."""
     types = documents.select(key, "archetype")
     typed = blocks.join(types, key)
@@ -133,33 +135,31 @@ def document_chunks(documents: DataFrame, entries: DataFrame, blocks: DataFrame,
         missing = {"part": "int", "act_pos": "int", "act_title": "string", "manual_group": "string", "interface_context": "string"}
         return df.withColumns({c: F.lit(1 if c == "part" else None).cast(t) for c, t in missing.items() if c not in df.columns}).select(common)
 
+    plain = {"act_pos": F.lit(None).cast("int"), "act_title": F.lit(None).cast("string")}
     legal = index_chunks(entries.where(F.col("archetype").isin(ARCHETYPES[:2])), typed, key)
     manual = manual_chunks(typed.where(F.col("archetype") == ARCHETYPES[2]), key)
     generic = span_chunks(typed.where(F.col("archetype") == ARCHETYPES[-1]), key)
-    plain = {"act_pos": F.lit(None).cast("int"), "act_title": F.lit(None).cast("string")}
     others = entries.where(F.col("archetype").isin(ARCHETYPES[3:-1]) & (F.col("kind") == "heading"))
     single = index_chunks(others, typed, key, roots=others.withColumns(plain))
-    made = same(legal).unionByName(same(manual)).unionByName(same(generic)).unionByName(same(single))
+    headed = entries.where((F.col("archetype") == ARCHETYPES[2]) & (F.col("kind") == "heading")).join(manual.select(key).distinct(), key, "left_anti")
+    fallback = index_chunks(headed, typed, key, roots=manual_roots(headed, typed, key).withColumns(plain))
+    made = same(legal).unionByName(same(manual)).unionByName(same(fallback)).unionByName(same(generic)).unionByName(same(single))
     made = made.withColumn("_first", F.row_number().over(Window.partitionBy(key, "positions").orderBy("part", "first_pos"))).where("_first = 1").drop("_first")
     rest = generic_groups(typed.join(made.select(key).distinct(), key, "left_anti"), key)
     return made.unionByName(same(rest))
 
 
-def with_chunk_ids(chunks: DataFrame, documents: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
-    """chunks with chunk_seq and chunk_id, which count on over the collection in order of documents.
+def with_chunk_ids(chunks: DataFrame, documents: DataFrame, key: str = "doc_id", order: str | None = None, before: int = 0) -> DataFrame:
+    """chunks with chunk_seq and chunk_id, which count on over the collection in order of documents, after the number before.
 
     Chunks are numbered within their documents; a document's start is a sum over the documents before, taken on the small
     table of counts: partial sums of ranges of documents first, then within each range.
     """
     order = order or key
-    numbered = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("part", "first_pos")) if "part" in chunks.columns else F.row_number().over(Window.partitionBy(key).orderBy("first_pos")))
+    own = chunks.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("part", "first_pos")) if "part" in chunks.columns else F.row_number().over(Window.partitionBy(key).orderBy("first_pos")))
     counts = documents.select(key, *({order} - {key})).join(chunks.groupBy(key).agg(F.count("*").alias("_count")), key)
-    ranges = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, so that both uses see the same ranges
-    ranged = counts.repartitionByRange(ranges, F.col(order), F.col(key)).withColumn("_range", F.spark_partition_id())
-    totals = ranged.groupBy("_range").agg(F.sum("_count").alias("_total"))
-    before = totals.select("_range", (F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")).alias("_before"))
-    start = ranged.join(F.broadcast(before), "_range").withColumn("_start", F.col("_before") + F.sum("_count").over(Window.partitionBy("_range").orderBy(order, key)) - F.col("_count"))
-    out = numbered.join(start.select(key, "_start"), key).withColumn("chunk_seq", (F.col("_start") + F.col("_n")).cast("long"))
+    start = numbered(counts, [order, *({key} - {order})], "_start", "_count")
+    out = own.join(start.select(key, "_start"), key).withColumn("chunk_seq", (F.col("_start") + F.col("_n") + before).cast("long"))
     return out.withColumn("chunk_id", F.format_string("chunk_%05d", "chunk_seq")).drop("_n", "_start")
 
 

@@ -40,7 +40,7 @@ def occurrences(folded: Column, word: str) -> Column:
     """Whole-word occurrences; if there are none, occurrences anywhere."""
     whole = F.regexp_count(folded, F.lit(r"(?<![\p{L}\p{N}_])" + re.escape(word) + r"(?![\p{L}\p{N}_])"))
     anywhere = ((F.length(folded) - F.length(F.replace(folded, F.lit(word), F.lit("")))) / len(word)).cast("int")
-    return F.when(whole > 0, whole).otherwise(anywhere)
+    return F.when(folded.contains(word), F.when(whole > 0, whole).otherwise(anywhere)).otherwise(0)
 
 
 def with_lexical_inputs(df: DataFrame, title: Column, heading: Column, text: Column, file_name: Column, archetype: Column) -> DataFrame:

@@ -23,23 +23,26 @@ def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def _own_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, own: the lines with text of each document, in order, as (line, text)."""
+    at = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), text.squeeze(x).alias("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.filter(at, lambda x: x["text"] != "").alias("own"))
+    return docs.where(F.size("own") > 0)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with text of documents, with their number in the file (line) and among those with text (pos)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
-    rows = docs.select("doc_id", "lang", "source", (F.col("i") + 1).alias("line"), text.squeeze("raw").alias("text")).where("text <> ''")
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")))
+    """Lines with text of documents, with their number in the file (line) and among those with text (pos). Nothing is shuffled."""
+    rows = _own_lines(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode("own").alias("i", "x"))
+    return rows.select("doc_id", "lang", "source", "x.line", "x.text", (F.col("i") + 1).alias("pos"))
 
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of three lines of documents as chunks."""
-    rows = lines(spark, sf_dir)
-    title = text.shortened("text", text.TITLE_LIMIT)
-    out = rows.groupBy("doc_id", F.floor((F.col("pos") - 1) / chunks.GROUP).alias("grp")).agg(
-        F.min("pos").alias("first_pos"),
-        F.min("lang").alias("file_type"),
-        F.min(F.struct("pos", title.alias("t")))["t"].alias("heading"),
-        chunks.joined_text(F.collect_list(F.struct("pos", "text"))).alias("text"),
-    )
+    """Groups of three lines of documents as chunks, cut from each document's own lines: nothing is shuffled."""
+    groups = F.sequence(F.lit(0), F.floor((F.size("own") - 1) / chunks.GROUP))
+    rows = _own_lines(spark, sf_dir).select("doc_id", F.col("lang").alias("file_type"), "own", F.explode(groups).alias("grp"))
+    rows = rows.withColumn("own", F.slice("own", F.col("grp").cast("int") * chunks.GROUP + 1, chunks.GROUP))
+    heading = text.shortened(F.col("own")[0]["text"], text.TITLE_LIMIT)
+    out = rows.select("doc_id", "grp", (F.col("grp") * chunks.GROUP + 1).cast("int").alias("first_pos"), "file_type", heading.alias("heading"), F.array_join(F.transform("own", lambda x: x["text"]), "\n\n").alias("text"))
     return out.select("*", F.concat(F.lit("doc_"), "doc_id").alias("file_name"), F.lit(ARCHETYPES[-1]).alias("archetype"), F.array("heading").alias("heading_path"), F.lit("chunk").alias("source_kind"), F.concat_ws("_", "doc_id", "grp").alias("chunk_id"))
 
 

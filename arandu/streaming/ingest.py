@@ -22,3 +22,15 @@ def ingest(spark: SparkSession, folder: str, table: str, checkpoint: str, batch:
     """
     documents = parse_files(inbox(spark, folder)).withColumn("batch", F.lit(batch) if batch else F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))
     return documents.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow(spark: SparkSession, folder: str, collection: str, checkpoint: str, embeddings: bool = False) -> StreamingQuery:
+    """Add what is new in a folder to a collection: each micro-batch is parsed and its tables are added; ends when all
+    files are read. A batch that is run again replaces its own documents, so that it may fail and be tried anew."""
+    from ..collection import Collection
+
+    def add(batch: DataFrame, number: int) -> None:
+        if batch.limit(1).count():
+            Collection(batch.sparkSession, collection).add(batch, embeddings)
+
+    return parse_files(inbox(spark, folder)).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

