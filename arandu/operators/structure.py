@@ -42,8 +42,9 @@ def parents(rows: DataFrame, key: str | list[str] = "doc_id", level: str = "leve
     """
     past, future = _past(key), _future(key)
     seen = F.array(*(F.max(F.when(F.col(level) == k, F.struct("pos", F.coalesce(filled(title), F.lit("Sem título")).alias("title")))).over(past) for k in levels))
-    ends = F.array(*(F.min(F.when(F.col(level) == k, F.col("pos"))).over(future) for k in levels))
-    out = rows.withColumn("_seen", seen).withColumn("_ends", ends).withColumn("_count", F.max("pos").over(Window.partitionBy(*([key] if isinstance(key, str) else key))))
+    before = F.lag("pos").over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("pos"))
+    ends = F.array(*(F.min(F.when(F.col(level) == k, F.struct("pos", "_before"))).over(future) for k in levels))
+    out = rows.withColumn("_before", before).withColumn("_seen", seen).withColumn("_ends", ends).withColumn("_count", F.max("pos").over(Window.partitionBy(*([key] if isinstance(key, str) else key))))
     above = F.filter(F.slice("_seen", 1, F.greatest(F.col(level) - levels[0], F.lit(0))), lambda x: x.isNotNull())
     #: Of those, the ones that no later row of a smaller level has closed.
     stack = F.filter(above, lambda x, i: ~F.exists(F.slice(above, 1, i), lambda y: y["pos"] > x["pos"]))
@@ -54,7 +55,7 @@ def parents(rows: DataFrame, key: str | list[str] = "doc_id", level: str = "leve
         F.get(F.col("_stack"), F.size("_stack") - 1)["pos"].alias("parent_pos"),
         F.transform("_stack", lambda x: x["pos"]).alias("ancestors"),
         F.concat(F.transform("_stack", lambda x: x["title"]), F.array(F.coalesce(filled(title), F.lit("Sem título")))).alias("path"),
-        F.coalesce(end - 1, F.col("_count")).alias("last_pos"),
+        F.coalesce(end["_before"], F.col("_count")).alias("last_pos"),
     )
 
 

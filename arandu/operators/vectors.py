@@ -62,7 +62,7 @@ def embed_plain(text: object, size: int = VECTOR_SIZE) -> list[float] | None:
         vector[first] += weight * sign
         vector[second] += weight * 0.45 * sign
     norm = math.sqrt(float(vector @ vector))
-    return [round(float(v), 6) for v in (vector / norm if norm > 0 else vector)]
+    return [round(float(v), 6) + 0.0 for v in (vector / norm if norm > 0 else vector)]  # + 0.0: no negative zeros
 
 
 def embed(text: Text, size: int = VECTOR_SIZE) -> Column:

@@ -41,6 +41,9 @@ _AMENDING = [
 _PLAIN = ["Relato de viagem pelo rio.", "Choveu durante três dias.", "O barco parou na página 3 do diário.", "Fim."]
 LINES = [(1, i, t) for i, t in enumerate(_ACT, 1)] + [(2, i, t) for i, t in enumerate(_AMENDING, 1)] + [(3, i, t) for i, t in enumerate(_PLAIN, 1)]
 
+#: A manual: title, marker, steps, an action, a list item, an interface.
+MANUAL_LINES = [(1, i, t) for i, t in enumerate(["Manual do Porto", "Objetivo", "Descrever o uso do porto.", "ETAPA 1 - Entrada", "Clique em entrar", "a) primeiro item", "Portal do Porto", "ETAPA 2 - Saída", "Texto final do manual."], 1)]
+
 OFX = [
     (1, "<OFX><BANKID>7<ACCTID>99<BANKTRANLIST>" + "".join(f"<STMTTRN><TRNTYPE>{'CREDIT' if i % 2 else 'DEBIT'}<DTPOSTED>202803{i % 28 + 1:02d}<TRNAMT>{i}.50<MEMO>Lanc {i}</STMTTRN>" for i in range(1, 204)) + "</BANKTRANLIST></OFX>"),
     (2, "<OFX><BANKTRANLIST><STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20280101<TRNAMT>-3.00<MEMO>Porto</STMTTRN></BANKTRANLIST></OFX>"),

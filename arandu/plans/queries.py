@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import legal, text
 from ..functions.values import ARCHETYPES, PREVIEW_STOPWORDS, RERANK_WEIGHTS
-from ..operators import answers, catalog, chunks, classify, records, retrieval, structure, vectors
+from ..operators import answers, catalog, chunks, classify, payloads, records, retrieval, structure, vectors
 from ..sources import files, ocr
+from ..sources.pages import blocks_of_pages
+from ..sources.parsers import Parsed
+from . import expected
 from . import fixtures as fx
 from . import sql as q
 from .registry import query, table
@@ -112,6 +115,21 @@ def tabular_rows(spark, sf_dir):
     return rows.withColumn("title", text.shortened("text", text.TITLE_LIMIT))
 
 
+@query(
+    f"""with n as (select region, row_number() over (partition by region order by k) as i, k, name from (select n_regionkey as region, n_nationkey as k, n_name as name from nation)),
+    r as (select region, 1 as pos, 'table_header' as kind, 'key | name, of the nation' as text from n group by region union all select region, i + 1, 'table_row', k || case when k % 3 = 0 then '' else ' | ' || {q.squeeze('name')} end from n)
+    select region, pos::int as pos, kind, text from r"""
+)
+def csv_rows(spark, sf_dir):
+    """A CSV file of the nations of each region, with a quoted comma, an empty cell and an empty row, through the parser."""
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.lit("")).otherwise(F.col("n_name"))
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(","), name)
+    own = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))).alias("rows"))
+    content = F.concat(F.lit('key,"name, of the nation"\n'), F.array_join(F.transform("rows", lambda x: x["l"]), "\n"), F.lit("\n,\n"))
+    parsed = own.select("region", files.parse_column(content.cast("binary"), F.lit("csv")).alias("p"))
+    return parsed.select("region", F.explode("p.blocks").alias("b")).select("region", "b.pos", "b.kind", "b.text")
+
+
 @query(
     """with r as (select l_orderkey as doc_id, l_linenumber as row, [l_returnflag, nullif(l_linestatus, 'O'), null] as cells from lineitem),
     t as (select doc_id, row, length(cells) as w, length(list_filter(cells, lambda c: c is not null and trim(c) <> '')) > 0 as filled from r)
@@ -172,7 +190,7 @@ def file_routing(spark, sf_dir):
     return frame(spark, fx.PATHS, "path string").select("path", files.is_ignored(F.col("path")).alias("ignored"), files.parser_of(F.col("path")).alias("parser"))
 
 
-@query()
+@query(f"with {q.LINES} select d.doc_id, 'ok' as status, 'line_text' as mode, count(n.pos)::int as n_blocks from documents d left join numbered n on n.doc_id = d.doc_id group by d.doc_id")
 def parse_documents(spark, sf_dir):
     """Every document as a TXT file through the parser, with its outcome and numbers of blocks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", files.parse_column(F.coalesce("text", F.lit("")).cast("binary"), F.lit("txt")).alias("p"))
@@ -182,11 +200,15 @@ def parse_documents(spark, sf_dir):
 # Legal and manual structure
 
 
-def legal_documents(spark: SparkSession) -> DataFrame:
-    """The fixture's legal and manual lines as documents with blocks."""
-    rows = frame(spark, fx.LINES, "doc_id int, pos int, text string")
+def _read_pages(data: bytes) -> Parsed:
+    return Parsed(*blocks_of_pages(data.decode().split("\f")))
+
+
+def legal_documents(spark: SparkSession, given: list[tuple] = fx.LINES, parser: str = "txt") -> DataFrame:
+    """A fixture's lines as documents with blocks, read as a TXT file or as page texts of a PDF ("pages")."""
+    rows = frame(spark, given, "doc_id int, pos int, text string")
     whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    parsed = whole.select("doc_id", files.parse_column(F.col("t").cast("binary"), F.lit("txt")).alias("p"))
+    parsed = whole.select("doc_id", files.parse_column(F.col("t").cast("binary"), F.lit(parser), {"pages": _read_pages}).alias("p"))
     own = parsed.select("doc_id", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("file_name"), F.concat(F.lit("doc_"), "doc_id").alias("file_stem"), F.lit("txt").alias("file_type"), F.lit("").alias("source_path"), F.col("p.mode"), F.col("p.root_tag"), F.col("p.transaction_count"), F.col("p.blocks"))
     made = classify.archetypes(own)
     return spark.createDataFrame(made.collect(), made.schema)  # three documents: a plain table keeps later plans small
@@ -203,26 +225,49 @@ def legal_refs(spark, sf_dir):
     return frame(spark, fx.LINES, "doc_id int, pos int, text string").withColumn("refs", F.array_join(F.array_sort(legal.references("text")), ","))
 
 
-@query()
+@query(f"select * from {q.values(expected.LEGAL_BLOCKS, ['doc_id', 'archetype', 'pos', 'kind', 'title', 'text', 'locator_path', 'display_title'])}")
 def legal_blocks(spark, sf_dir):
-    """Blocks of the fixture's documents; the expected rows are in the tests."""
+    """Blocks of the fixture's documents, against rows written from the rules."""
     return files.blocks_of(legal_documents(spark), "doc_id", "archetype").select("doc_id", "archetype", "pos", "kind", "title", "text", text.locator_path(F.col("locator")).alias("locator_path"), "display_title")
 
 
-@query()
+@query(f"select * from {q.values(expected.LEGAL_INDEX, ['doc_id', 'pos', 'kind', 'title', 'level', 'parent_pos', 'path', 'last_pos'])}")
 def legal_index(spark, sf_dir):
-    """Index of the fixture's documents; the expected rows are in the tests."""
+    """Index of the fixture's documents, against rows written from the rules."""
     return structure.index_entries(legal_documents(spark)).select("doc_id", "pos", "kind", "title", "level", "parent_pos", F.array_join("path", " > ").alias("path"), "last_pos")
 
 
-@query()
-def legal_chunks(spark, sf_dir):
-    """Chunks of the fixture's documents with ids over the collection; the expected rows are in the tests."""
-    docs = legal_documents(spark)
+def _fixture_chunks(spark: SparkSession, given: list[tuple], parser: str = "txt") -> DataFrame:
+    docs = legal_documents(spark, given, parser)
     local = lambda df: spark.createDataFrame(df.collect(), df.schema)  # noqa: E731  34 lines: plain tables keep the plan small
     blocks, entries = local(structure.block_paths(files.blocks_of(docs, "doc_id")).drop("stack")), local(structure.index_entries(docs))
-    made = chunks.document_chunks(docs, entries, blocks)
-    return chunks.with_chunk_ids(made, docs).select("doc_id", "chunk_id", "heading", F.array_join("heading_path", " > ").alias("heading_path"), F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"), "text_length", "token_count", "act_title", "manual_group")
+    return chunks.with_chunk_ids(chunks.document_chunks(docs, entries, blocks), docs)
+
+
+@query(f"select * from {q.values(expected.MANUAL_BLOCKS, ['doc_id', 'pos', 'kind', 'title', 'heading_level', 'grp'])}")
+def manual_blocks(spark, sf_dir):
+    """Blocks of the manual, against rows written from the rules."""
+    blocks = files.blocks_of(legal_documents(spark, fx.MANUAL_LINES, "pages"), "doc_id")
+    return blocks.select("doc_id", "pos", "kind", "title", "heading_level", F.coalesce("heading_group", "manual_group").alias("grp"))
+
+
+@query(f"select * from {q.values(expected.MANUAL_INDEX, ['doc_id', 'pos', 'title', 'level', 'parent_pos', 'path', 'last_pos'])}")
+def manual_index(spark, sf_dir):
+    """Index of the manual, against rows written from the rules."""
+    return structure.index_entries(legal_documents(spark, fx.MANUAL_LINES, "pages")).select("doc_id", "pos", "title", "level", "parent_pos", F.array_join("path", " > ").alias("path"), "last_pos")
+
+
+@query(f"select * from {q.values(expected.MANUAL_CHUNKS, ['doc_id', 'chunk_id', 'heading', 'positions', 'manual_group', 'text'])}")
+def manual_chunks(spark, sf_dir):
+    """Chunks of the manual, against rows written from the rules."""
+    made = _fixture_chunks(spark, fx.MANUAL_LINES, "pages")
+    return made.select("doc_id", "chunk_id", "heading", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"), "manual_group", "text")
+
+
+@query(f"select * from {q.values(expected.LEGAL_CHUNKS, ['doc_id', 'chunk_id', 'heading', 'heading_path', 'positions', 'text_length', 'token_count', 'act_title', 'manual_group'])}")
+def legal_chunks(spark, sf_dir):
+    """Chunks of the fixture's documents with ids over the collection, against rows written from the rules."""
+    return _fixture_chunks(spark, fx.LINES).select("doc_id", "chunk_id", "heading", F.array_join("heading_path", " > ").alias("heading_path"), F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"), "text_length", "token_count", "act_title", "manual_group")
 
 
 @query(
@@ -253,6 +298,13 @@ def batch_routing(spark, sf_dir):
     return frame(spark, fx.BATCH_FILES, "name string, folder string").select("name", "folder", classify.legislation_folder(F.col("name"), F.col("folder")).alias("target"), classify.year_folder(F.col("name")).alias("year"))
 
 
+_LINE_CATALOG = f"""{q.LINES}, cat as (
+    select d.doc_id, 'doc_' || d.doc_id as file_name, d.lang as file_type, case when d.source = 'src1' then 'manual_procedural' else 'generic_document' end as archetype, 'catalog_' || printf('%04d', d.doc_id) as catalog_id,
+    count(n.pos) as block_count, count(n.pos) as index_entry_count, coalesce(string_agg({q.shortened('n.text', 90)}, '|' order by n.pos) filter (n.pos <= 8), '') as top_titles
+    from documents d left join numbered n on n.doc_id = d.doc_id group by d.doc_id, d.lang, d.source)"""
+_CATALOG = _LINE_CATALOG
+
+
 # Hierarchy, on conversations: a conversation is a document, a turn a block, its level from its length
 
 
@@ -322,6 +374,45 @@ def heading_chunks(spark, sf_dir):
     return made.select("doc_id", "first_pos", F.size("positions").cast("long").alias("n_blocks"), F.array_max("positions").alias("last_pos"), "text")
 
 
+@query(
+    f"""{_ABOVE}, split as (select distinct doc_id, parent_pos as pos from parents where level = 3),
+    marked as (select p.doc_id, p.pos, p.level >= 2 and p.title not like 'system %' and not (p.level = 2 and s.pos is not null) as fine from parents p left join split s on s.doc_id = p.doc_id and s.pos = p.pos)
+    select doc_id, pos from marked m where fine or not exists (select 1 from marked o where o.doc_id = m.doc_id and o.fine)"""
+)
+def manual_roots(spark, sf_dir):
+    """Turns as headings of manuals without paragraphs, those of the system as interfaces: where their chunks begin."""
+    rows = structure.parents(_levels(spark, sf_dir), levels=range(1, 6)).withColumn("kind", F.lit("heading"))
+    blocks = rows.select("doc_id", "pos", F.when(F.col("title").startswith("system "), "interface").otherwise("marker").alias("heading_group"), F.lit(None).cast("string").alias("manual_group"))
+    return chunks.manual_roots(rows, blocks).select("doc_id", "pos")
+
+
+# Payloads, on lines as blocks
+
+
+@query(
+    f"""with {_LINE_CATALOG} select doc_id, file_name, block_count, index_entry_count, first_block, first_entry, length(context) as context_length from (
+    select c.*, coalesce((select 'block_' || printf('%04d', n.pos) || ' ' || {q.shortened('n.text', 220)} from numbered n where n.doc_id = c.doc_id and n.pos = 1), '') as first_block,
+    coalesce((select 'idx_0001 block_0001 ' || {q.shortened('n.text', 90)} from numbered n where n.doc_id = c.doc_id and n.pos = 1), '') as first_entry,
+    array_to_string(list_filter([
+        '# ' || file_name, 'Tipo: ' || coalesce(file_type, '') || ' | Arquétipo: ' || archetype, '## Resumo' || chr(10) || chr(10) || 'resumo',
+        (select '## Índice' || chr(10) || chr(10) || string_agg('- [line] ' || {q.shortened('n.text', 90)}, chr(10) order by n.pos) from numbered n where n.doc_id = c.doc_id and n.pos <= 14),
+        (select '## Conteúdo' || chr(10) || chr(10) || string_agg('### ' || {q.shortened('n.text', 90)} || chr(10) || '_Linha ' || n.line || '_' || chr(10) || chr(10) || n.text, chr(10) || chr(10) order by n.pos) from numbered n where n.doc_id = c.doc_id)
+    ], lambda x: x is not null), chr(10) || chr(10)) as context from cat c)"""
+)
+def document_payloads(spark, sf_dir):
+    """Metadata, content, index and AI context of every document, its lines as blocks."""
+    docs, entries, rows = _catalog(spark, sf_dir)
+    nothing = F.lit(None).cast("string")
+    title = text.shortened("text", text.TITLE_LIMIT)
+    place = F.struct(F.lit(None).cast("int").alias("page"), nothing.alias("sheet"), F.col("line").cast("int").alias("line_start"), F.col("line").cast("int").alias("line_end"), *(nothing.alias(k) for k in text.LOCATOR_KEYS))
+    blocks = rows.select("doc_id", "pos", F.lit("line").alias("kind"), title.alias("title"), nothing.alias("display_title"), "text", F.array(title).alias("path"), place.alias("locator"))
+    entries = entries.withColumn("ancestors", F.array().cast("array<int>"))
+    made = payloads.payloads(docs, blocks, entries, docs.select("doc_id", F.lit("resumo").alias("summary")))
+    item = lambda c, *names: F.concat_ws(" ", *(F.get_json_object(c, f"$[0].{n}") for n in names))
+    meta = lambda n: F.get_json_object("metadata", f"$.{n}")
+    return made.select("doc_id", meta("file_name").alias("file_name"), meta("block_count").cast("long").alias("block_count"), meta("index_entry_count").cast("long").alias("index_entry_count"), item("content", "block_id", "preview").alias("first_block"), item("index", "entry_id", "anchor", "title").alias("first_entry"), F.length("ai_context").alias("context_length"))
+
+
 # Aggregates
 
 
@@ -344,12 +435,6 @@ def _catalog(spark, sf_dir):
     return docs, entries, rows
 
 
-_CATALOG = f"""{q.LINES}, cat as (
-    select d.doc_id, 'doc_' || d.doc_id as file_name, d.lang as file_type, case when d.source = 'src1' then 'manual_procedural' else 'generic_document' end as archetype, 'catalog_' || printf('%04d', d.doc_id) as catalog_id,
-    count(n.pos) as block_count, count(n.pos) as index_entry_count, coalesce(string_agg({q.shortened('n.text', 90)}, '|' order by n.pos) filter (n.pos <= 8), '') as top_titles
-    from documents d left join numbered n on n.doc_id = d.doc_id group by d.doc_id, d.lang, d.source)"""
-
-
 @query(f"with {_CATALOG} select * from cat")
 def catalog_rows(spark, sf_dir):
     docs, entries, rows = _catalog(spark, sf_dir)
@@ -542,9 +627,9 @@ def cosine_topk(spark, sf_dir):
     return vectors.cosine_top(rows, list(first["embedding"]) if first else [], 10, "embedding", "vec_id").select("vec_id", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"select id as item_id, k, x from ({q.hashed_vectors('select item_id as id, text from benchmark', 192)})")
 def embed_hash(spark, sf_dir):
-    """Vectors of all benchmark texts; held against a plain version in the tests."""
+    """Vectors of all benchmark texts."""
     return table(spark, sf_dir, "benchmark").select("item_id", vectors.embed("text").alias("v")).select("item_id", F.posexplode("v").alias("k", "x"))
 
 

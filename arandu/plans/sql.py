@@ -119,3 +119,19 @@ def values(rows: list[tuple], columns: list[str]) -> str:
         return quoted(v) if isinstance(v, str) else repr(v)
 
     return "(values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") as t({', '.join(columns)})"
+
+
+def hashed_vectors(rows: str, size: int) -> str:
+    """id, k, x of the feature-hashed unit vectors of rows (id, text): words, ends of words, pairs, pieces of 3 and 4 characters."""
+    h = lambda kind: f"(('0x' || substr(sha1('{kind}::' || feature), 1, 8))::hugeint * 4294967296 + ('0x' || substr(sha1('{kind}::' || feature), 9, 8))::hugeint)"
+    run = "replace(f, ' ', '_')"
+    pieces = " union all ".join(f"select id, 'char::' || substr({run}, i, {n}), {weight} from (select id, f, unnest(range(1, length(f) - {n} + 2)) as i from t where length(w) > 0)" for n, weight in ((3, 0.18), (4, 0.12)))
+    return f"""with t as (select id, {fold('text')} as f, {tokens('text')} as w from ({rows})), each_ as (select id, unnest(w) as x from t),
+    feats as (
+        select id, 'word::' || x as feature, (1.0::double + least(length(x), 12) / 24.0::double) as weight from each_
+        union all select id, 'prefix::' || left(x, 4), 0.28 from each_ where length(x) >= 4 union all select id, 'suffix::' || right(x, 4), 0.28 from each_ where length(x) >= 4
+        union all select id, 'bigram::' || w[i] || '_' || w[i + 1], 1.35 from (select id, w, unnest(range(1, length(w))) as i from t) union all {pieces}
+    ), signed as (select id, weight::double * case when {h('sign')} % 2 = 0 then 1 else -1 end as v, ({h('primary')} % {size})::int as a, ({h('secondary')} % {size})::int as b from feats),
+    sums as (select id, k, sum(v) as v from (select id, a as k, v from signed union all select id, b, v * 0.45::double from signed) group by id, k),
+    norms as (select id, sqrt(sum(v * v)) as n from sums group by id)
+    select id, k::int as k, round(coalesce(s.v, 0) / n, 6) + 0.0::double as x from norms cross join (select unnest(range({size})) as k) left join sums s using (id, k)"""
