@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,11 @@ def squeeze(c: Text) -> Column:
     return F.trim(F.regexp_replace(col(c), _RUNS, " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), in which the value is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def fold(c: Text) -> Column:
     """squeeze, lower case, compatibility letters and accents as plain letters (NFKD without combining characters): for
     comparing. Null counts as empty.
@@ -52,9 +58,11 @@ def fold(c: Text) -> Column:
     library that Spark ships, in the JVM. Spark holds such a call for one that may change its answer, so that it is
     evaluated once in a projection and not moved.
     """
-    lowered = F.lower(squeeze(F.coalesce(col(c), F.lit(""))))
-    plain = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), lowered, F.lit(True))
-    return F.when(F.octet_length(lowered) == F.length(lowered), lowered).otherwise(F.regexp_replace(plain, _MARKS, ""))
+    def decomposed(x: Column) -> Column:
+        plain = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), x, F.lit(True))
+        return F.when(F.octet_length(x) == F.length(x), x).otherwise(F.regexp_replace(plain, _MARKS, ""))
+
+    return once(F.lower(squeeze(F.coalesce(col(c), F.lit("")))), decomposed)
 
 
 def tokens(c: Text) -> Column:
@@ -145,8 +153,7 @@ def snippet(text: Text, query: str, most: int = SNIPPET_LIMIT) -> Column:
     prefix = F.substring(compact, 1, most)
     if not whole:
         return prefix
-    hits = [F.nullif(F.instr(folded, F.lit(w)), F.lit(0)) for w in [whole, *tokens_plain(query)]]
-    at = F.coalesce(*hits) - 1
+    at = once(folded, lambda f: F.coalesce(*(F.nullif(F.instr(f, F.lit(w)), F.lit(0)) for w in [whole, *tokens_plain(query)]))) - 1
     start = F.greatest(at - SNIPPET_LEAD, F.lit(0))
     cut = F.trim(F.substring(compact, start + 1, F.lit(most)))
     window = F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), cut, F.when(start + most < F.length(compact), F.lit("...")).otherwise(F.lit("")))

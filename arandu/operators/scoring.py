@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.legal import match_counts, primary_reference, references, references_plain
 from ..functions.plain import fold_plain, tokens_plain
-from ..functions.text import fold, squeeze
+from ..functions.text import fold, once, squeeze
 from ..functions.values import ARCHETYPE_BONUS, ARCHETYPES, FULL_TEXT_SCORE, OTHER_BONUS, RERANK_WEIGHTS, SOURCE_BOOST, SOURCE_PRIORITY
 
 PROFILES = ("legal", "generic")
@@ -128,14 +128,14 @@ def rerank_signals(query: str, text_score: Column, vector_score: Column, path: C
     """Signals between 0 and 1. path: the heading path as text."""
     profile, whole = profile_name(profile), fold_plain(query)
     archetype, path = F.coalesce(archetype, F.lit("")), F.coalesce(path, F.lit(""))
-    folded_path, folded_type = fold(path), F.replace(fold(archetype), F.lit("_"), F.lit(" "))
+    folded_type = F.replace(fold(archetype), F.lit("_"), F.lit(" "))
     clamp = lambda c: F.greatest(F.least(c.cast("double"), F.lit(1.0)), F.lit(0.0))
     signals = {
         "textual": clamp(text_score / FULL_TEXT_SCORE),
         "vector": clamp(vector_score),
         "legal_reference": F.lit(0.0),
-        "heading": F.when(folded_path == "", 0.0).when(F.lit(bool(whole)) & folded_path.contains(whole), 1.0).otherwise(clamp(_share(query, folded_path))),
-        "document_archetype": F.when(folded_type == "", 0.0).otherwise(clamp(lookup(ARCHETYPE_BONUS[profile], archetype, OTHER_BONUS[profile]) + _share(query, folded_type) * 0.4)),
+        "heading": once(fold(path), lambda p: F.when(p == "", 0.0).when(F.lit(bool(whole)) & p.contains(whole), 1.0).otherwise(clamp(_share(query, p)))),
+        "document_archetype": once(folded_type, lambda t: F.when(t == "", 0.0).otherwise(clamp(lookup(ARCHETYPE_BONUS[profile], archetype, OTHER_BONUS[profile]) + _share(query, t) * 0.4))),
         "source_kind": lookup(SOURCE_PRIORITY, F.coalesce(source_kind, F.lit("chunk")), 1) / max(SOURCE_PRIORITY.values()),
         "chunk_size": F.when(text_length <= 0, 0.0)
         .when(text_length.between(80, 900), 1.0)

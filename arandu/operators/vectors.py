@@ -56,11 +56,10 @@ def embed_plain(text: object, size: int = VECTOR_SIZE) -> list[float] | None:
     found = weighted_features(fold_plain(text))
     if not found:
         return None
-    vector = np.zeros(size)
-    for feature, weight in found:
-        first, second, sign = _place(feature, size)
-        vector[first] += weight * sign
-        vector[second] += weight * 0.45 * sign
+    places = np.array([_place(feature, size) for feature, _ in found])
+    signed = np.array([weight for _, weight in found]) * places[:, 2]
+    first, second = places[:, 0].astype(np.int64), places[:, 1].astype(np.int64)
+    vector = np.bincount(first, signed, size) + np.bincount(second, 0.45 * signed, size)
     norm = math.sqrt(float(vector @ vector))
     return [round(float(v), 6) + 0.0 for v in (vector / norm if norm > 0 else vector)]  # + 0.0: no negative zeros
 

@@ -86,3 +86,15 @@ def read_image(content: bytes, engines: dict[str, Engine], provider: str | None
             if provider_sequence(provider) == [name]:
                 raise
     raise ProviderUnavailable("no OCR provider is available: " + ", ".join(tried))
+
+
+def image_parser(engines: dict[str, Engine], provider: str | None = "auto") -> Callable[[bytes], object]:
+    """A parser of images for parse_files(..., {"image": ...}): the first engine that is available reads the lines."""
+
+    def parse(content: bytes) -> object:
+        from .parsers import parse_ocr_lines
+
+        name, lines, _ = read_image(content, engines, provider)
+        return parse_ocr_lines(lines, name)
+
+    return parse

@@ -142,3 +142,103 @@ def test_counters_of_merged_records():
     got = _merge(frame)
     assert sorted(zip(got["_removed_exact"], got["_removed_near"], strict=True)) == [(4, 0), (7, 2)]
     assert len(got) + got["_removed_exact"].sum() + got["_removed_near"].sum() == sum(1 + r[3] for r in rows)
+
+
+def test_outputs_of_a_collection(spark, tmp_path, capsys):
+    source, folder = tmp_path / "in", str(tmp_path / "cols" / "20300101_c")
+    source.mkdir()
+    (source / "a.txt").write_text("LEI N. 1\nTrata de taxas.\nArt. 1º A taxa é anual.\nArt. 2º O imposto é devido por barco.\n")
+    (source / "b.csv").write_text("nome,valor\nporto,3\n")
+    c = Collection(spark, folder)
+    assert c.ingest(str(source)) == {"ok": 2}
+    rows = {json.loads(r["metadata"])["file_name"]: r for r in c.table("payloads").collect()}
+    content, index = json.loads(rows["a.txt"]["content"]), json.loads(rows["a.txt"]["index"])
+    assert json.loads(rows["a.txt"]["metadata"])["block_count"] == len(content) == 3 and [b["block_id"] for b in content] == ["block_0001", "block_0002", "block_0003"]
+    assert content[1]["reference"].startswith("Art. 1º") and index[1]["anchor"] == "block_0002"
+    assert rows["a.txt"]["ai_context"].startswith("# a.txt\n\nTipo: txt | Arquétipo: legislation_normative") and "O imposto é devido por barco." in rows["a.txt"]["ai_context"]
+    pages = {r["html"][: r["html"].index("</h1>")]: r["html"] for r in c.table("reports").collect()}
+    assert len(pages) == 2 and any('id="block_0003"' in p and "Artigo: Art. 2º" in p for p in pages.values())
+    assert "a.txt" in (tmp_path / "cols/20300101_c/summary.md").read_text() and "<table>" in (tmp_path / "cols/20300101_c/report.html").read_text()
+    assert json.loads((tmp_path / "cols/20300101_c/preview.json").read_text())
+    meta = c.table("metadata").first()
+    assert (meta["file_count"], meta["state"]) == (2, "not_built")
+    c.context("imposto", persist=True)
+    assert json.loads((tmp_path / "cols/20300101_c/query_results.json").read_text())["total_hits"] >= 1
+    fs, path = c._at("chunks")
+    ids = sorted(r["chunk_id"] for r in c.table("chunks").collect())
+    fs.delete(path, True)
+    assert sorted(r["chunk_id"] for r in c.ensure_chunks().collect()) == ids
+    from arandu.cli import main
+
+    assert main([str(tmp_path / "cols"), "--latest", "--query", "imposto por barco", "--answer"], model=lambda i, p: "Por barco [1].") == 0
+    assert "status: ok" in capsys.readouterr().out
+    assert "Por barco [1]." in (tmp_path / "cols/20300101_c/answer_results.md").read_text()
+
+
+def test_files_added_to_a_collection(spark, tmp_path):
+    from arandu.streaming.ingest import follow
+
+    source, folder, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    source.mkdir()
+    (source / "a.txt").write_text("um texto sobre portos\n")
+    follow(spark, str(source), folder, mark).awaitTermination()
+    (source / "b.txt").write_text("outro texto sobre canais\ne mais uma linha\n")
+    follow(spark, str(source), folder, mark).awaitTermination()
+    c = Collection(spark, folder)
+    assert sorted((r["file_name"], r["seq"]) for r in c.table("documents").collect()) == [("a.txt", 1), ("b.txt", 2)]
+    assert sorted(r["chunk_id"] for r in c.table("chunks").collect()) == ["chunk_00001", "chunk_00002"]
+    assert c.search("canais").first()["file_name"] == "b.txt" and c.table("metadata").first()["file_count"] == 2
+    (source / "a.txt").write_text("um texto novo sobre lagoas\n")
+    from arandu.sources.files import parse_files, scan
+
+    c.add(parse_files(scan(spark, str(source / "a.txt"))))
+    assert c.table("documents").count() == 2 and c.search("lagoas").first()["file_name"] == "a.txt"
+    assert c.search("portos").count() == 0 and c.table("files").count() == 2 and c.table("payloads").count() == 2
+
+
+def test_output_names_of_one_stem(spark):
+    from arandu.operators.numbering import numbered
+    from arandu.sinks.writers import output_dirs
+
+    docs = spark.createDataFrame([(i, "a b" if i % 2 else "c") for i in range(1, 60)], "seq long, file_stem string")
+    got = {r["seq"]: r["output_name"] for r in output_dirs(docs).collect()}
+    assert got == {i: ("a_b" if i % 2 else "c") + ("" if (i - 1) // 2 == 0 else f"_{(i - 1) // 2 + 1}") for i in range(1, 60)}
+    rows = numbered(docs.withColumn("n", F.lit(3)), ["seq"], "start", "n").collect()
+    assert all(r["start"] == 3 * (r["seq"] - 1) for r in rows)
+
+
+def test_records_against_an_independent_fold(spark):
+    """The rules, read line by line with plain lists: signature equal, or the beginning equal and one signature in the other."""
+    rows = _line_records(spark, "/root/testdata/sf0.001").orderBy("seq").limit(1500)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    keyed = [r.asDict() for r in records.with_keys(rows).orderBy("seq").collect()]
+    groups: dict[tuple, list[dict]] = {}
+    for r in keyed:
+        own = groups.setdefault((r["_file"], r["_path"], r["_exact"][:140]), [])
+        same = [k for k in own if r["_exact"] in k["seen"]]
+        last = own[-1] if own else None
+        short, long = sorted((last["long"], r["_long"]), key=len) if last else ("", "")
+        if same:
+            kept = same[0]
+            kept["seen"].append(r["_exact"])
+        elif last and short and (short == long or (len(short) >= 48 and short in long)):
+            kept = last
+        else:
+            own.append({"seen": [r["_exact"]], "long": r["_long"], "n": 1})
+            continue
+        kept["n"] += 1
+    stats = records.dedup_stats(records.deduplicate(rows)).first()
+    assert stats["raw_record_count"] == 1500 and stats["deduplicated_record_count"] == sum(map(len, groups.values()))
+
+
+def test_a_chat_service(tmp_path):
+    from arandu.operators.answers import service_model
+
+    asked = []
+
+    def opener(request, timeout):
+        asked.append((request.full_url, json.loads(request.data), request.headers))
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": "sim [1]"}}]}).encode())
+
+    assert service_model("https://h/openai", "k", "m", opener=opener)("regras", "pergunta") == "sim [1]"
+    assert asked[0][0] == "https://h/openai/v1/chat/completions" and asked[0][1]["model"] == "m" and asked[0][1]["messages"][1]["content"] == "pergunta"
