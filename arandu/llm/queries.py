@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .url_gbt import Rule
+
+#: The rules of op6_url_trees.
+URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -123,11 +127,10 @@ def op5_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_gbt import Rule, judged, label_by_rules, train
+    from .url_gbt import judged, label_by_rules, train
 
-    rules = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return judged(pages, rules, train(label_by_rules(pages, rules), "url", "label")).drop("url")
+    return judged(pages, URL_RULES, train(label_by_rules(pages, URL_RULES), "url", "label")).drop("url")
 
 
 @query
@@ -171,3 +174,72 @@ with recursive words as (
 select s.doc_id, len(s.s) as n_shingles, c.component_id, s.doc_id = c.component_id as kept
 from sets s join (select node, min(other) as component_id from reach group by node) c on c.node = s.doc_id
 """
+
+
+# The parts of operators that SQL can express, as queries of their own
+
+
+@query
+def mix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and words of each cell that op2_mixing rakes."""
+    from .stages import topic_of, words_in
+
+    docs = table(spark, sf_dir, "documents").withColumn("words", words_in(F.col("text")))
+    cell = ("source", "lang", topic_of(F.col("text"), F.col("words")).alias("topic"))
+    return docs.groupBy(*cell).agg(F.count("*").alias("n_docs"), F.sum("words").cast("long").alias("n_tokens"))
+
+
+ORACLE_SQL["mix_cells"] = """
+with d as (select source, lang, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as words, length(text) - length(replace(text, '|', '')) as bars, length(text) - length(replace(text, '!', '')) as marks from documents)
+select source, lang, case when bars * 8 > words then 'table' when marks * 8 > words then 'exclamation' when words < 100 then 'note' when words < 800 then 'article' else 'long' end as topic,
+       count(*) as n_docs, sum(words)::bigint as n_tokens from d group by all
+"""
+
+
+@query
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base rules of op5_decision_list, without learned rules."""
+    from .decision_list import judged
+
+    docs = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "base_failed")
+
+
+ORACLE_SQL["quality_base_counts"] = """
+with d as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as lines from documents
+), windows as (
+    select doc_id, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] as x from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)
+), often as (
+    select doc_id, i from (select *, count(*) over (partition by doc_id, x) as n from windows) where n >= 2
+), inside as (
+    select doc_id, count(distinct i + k) as n from often cross join (values (0), (1), (2)) as o(k) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+       (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words, len(list_distinct(w))::bigint as n_distinct, len(lines)::bigint as n_lines,
+       len(w) < 50 or 100 * coalesce(n, 0) > 50 * len(w) as base_failed
+from d left join inside i on i.doc_id = d.doc_id
+"""
+
+
+@query
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page, and the verdict of those that a rule judges."""
+    from .url_gbt import Booster, judged
+
+    pages = judged(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, Booster(-30.0, [], {}))
+    return pages.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+ORACLE_SQL["url_rules"] = """
+with u as (
+    select page_id, case when contains(coalesce(url, ''), '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), p as (
+    select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') as path from u
+), r as (
+    select * from (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) as t(h, s, verdict)
+)
+select p.page_id, p.host, p.path, arg_max(r.h || r.s, length(r.h || r.s)) as rule, arg_max(r.verdict, length(r.h || r.s)) as verdict
+from p left join r on (p.host = r.h or ends_with(p.host, '.' || r.h)) and starts_with(p.path, r.s) group by p.page_id, p.host, p.path
+"""

@@ -302,3 +302,18 @@ def test_rules_of_equal_length_and_odd_columns(spark):
     assert [(r["rule"], r["verdict"]) for r in got] == [("com/x/yy", "block")] * 2
     got = url_gbt.judged(pages.limit(1), rules[:2], url_gbt.Booster(30.0, [], {})).collect()
     assert [(r["rule"], r["verdict"], r["score"] > 0.99) for r in got] == [("b.com/x", "allow", True)]
+
+
+@pytest.mark.parametrize("name", ["mix_cells", "quality_base_counts", "url_rules"])
+def test_parts_that_sql_can_express(spark, name):
+    import duckdb
+
+    from arandu.llm.queries import ORACLE_SQL
+
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df, other = QUERIES[name](spark, SF), duck.sql(ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(other.columns)
+    order = [other.columns.index(c) for c in df.columns]
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in other.fetchall())
