@@ -8,8 +8,8 @@ state, and a state is stored as its parent and the arc it lacks.
 
 A prefix of an accepted sequence is accepted too, and each string has one accepted sequence, so that for each position
 of a word exactly one token ends there: the one whose arc exists in the state after the token before it. The transition
-table is filled as words need its entries, since 49,000 tokens have far too many pairs to list. Decoding emits the
-labels of the arcs.
+table is sparse: all arcs of a token lead to one state, so that a state's row lists only the arcs it lacks, and rows are
+compiled as words reach their states. Decoding emits the labels of the arcs.
 
 Defined cases: null text counts as empty and has no ids; special tokens in a text become their ids; texts of any length
 are read whole; an empty table gives no rows; further columns, whatever their names, are not read; repeated rows come
@@ -32,8 +32,8 @@ from .common import free_name
 
 #: Most words a worker keeps the ids of.
 CACHE_WORDS = 250_000
-#: Longer words are not kept, so that what a worker keeps is bounded; entries of the transition table, at most.
-LONGEST_KEPT, TRANSITIONS = 100, 1 << 17
+#: Longer words are not kept, so that what a worker keeps is bounded.
+LONGEST_KEPT = 100
 #: Texts of these characters are split here; others by the tokenizer file's own normaliser and pre-tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ]*")
 
@@ -49,8 +49,7 @@ class Automaton:
         self.parent, self.removed, self.state_born = [0], [-1], [-1]
         self.target, self.left, self.token_born = [0] * size, [-1] * size, [-1] * size
         self.arcs: dict[str, int] = dict(base)
-        self._lacks: dict[int, dict[int, int]] = {}
-        self.table: dict[int, int] = {}  # state * tokens + token -> next state, or -1
+        self.rows: dict[int, dict[int, int]] = {}
         self._tries: dict[str, tuple] = {}
         never: set[str] = set()  # tokens whose parts never stand side by side
         for k, (a, b) in enumerate(merges):
@@ -83,31 +82,22 @@ class Automaton:
         return True
 
     def _compile(self, state: int) -> dict[int, int]:
-        """The arcs that a state lacks, with the merge that removed each."""
-        lacks, at = {}, state
+        """A state's row of the transition table, which is sparse: the arcs that it lacks, with the merge that removed
+        each. All other arcs of a token lead to the token's target, whatever the state."""
+        row, at = {}, state
         while at:
-            lacks[self.removed[at]] = self.state_born[at]
+            row[self.removed[at]] = self.state_born[at]
             at = self.parent[at]
-        self._lacks[state] = lacks
-        return lacks
-
-    def step(self, state: int, token: int) -> int:
-        """The state that the token's arc leads to, or -1 if the state has none; each transition is worked out once."""
-        key = state * len(self.label) + token
-        to = self.table.get(key)
-        if to is None:
-            if len(self.table) >= TRANSITIONS:
-                self.table.clear()
-            to = self.table[key] = self.target[token] if self._has(state, token) else -1
-        return to
-
-    def _has(self, state: int, token: int) -> bool:
-        """allows(), from the state's compiled list of the arcs it lacks."""
+        self.rows[state] = row
+        return row
+
+    def has(self, state: int, token: int) -> bool:
+        """allows(), from the state's row."""
         if not state:
             return True
-        lacks, later = self._lacks.get(state) or self._compile(state), 1 << 60
+        row, later = self.rows.get(state) or self._compile(state), 1 << 60
         while token >= 0:
-            if later >= lacks.get(token, 1 << 61):
+            if later >= row.get(token, 1 << 61):
                 return False
             later, token = self.token_born[token], self.left[token]
         return True
@@ -129,7 +119,7 @@ class Automaton:
         if end not in self._tries:
             self._tries[end] = self._trie(end, False), self._trie(end, True) if end else None
         inner, final = self._tries[end]
-        n, step = len(word), self.step
+        n, has, target = len(word), self.has, self.target
         state, arc, begin = [0] + [-1] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
             node, j = final if end and i == n else inner, i
@@ -139,8 +129,8 @@ class Automaton:
                     break
                 j -= 1
                 token = node.get("")
-                if token is not None and state[j] >= 0 and (to := step(state[j], token)) >= 0:
-                    state[i], arc[i], begin[i] = to, token, j
+                if token is not None and state[j] >= 0 and has(state[j], token):
+                    state[i], arc[i], begin[i] = target[token], token, j
                     break
             if state[i] < 0:  # a symbol outside the alphabet splits the word
                 return self.encode(word[: i - 1]) + self.encode(word[i:], end)
