@@ -141,6 +141,29 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "candidates", F.size("spans").alias("n_licensed_blocks"), F.concat_ws(",", "licenses").alias("licenses"), F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))).alias("spans"))
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least_docs=30, most=50)
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crc_resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+@query
+def op13_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_transducer import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 ORACLE_SQL["op7_embedding_dedup"] = """
 with recursive fine as (
     select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
@@ -175,6 +198,71 @@ select s.doc_id, len(s.s) as n_shingles, c.component_id, s.doc_id = c.component_
 from sets s join (select node, min(other) as component_id from reach group by node) c on c.node = s.doc_id
 """
 
+ORACLE_SQL["op11_source_divergence"] = """
+with docs as (
+    select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms from documents
+), words as (
+    select i, lang, source, unnest(terms) as term from docs
+), kept as (
+    select lang, term from words group by lang, term having count(distinct i) >= 30
+), groups as (
+    select distinct lang, source from docs
+), found as (
+    select lang, source, term, count(*)::hugeint as n from words semi join kept using (lang, term) group by all
+), full_ as (
+    select g.lang, g.source, k.term, coalesce(f.n, 0) as n from groups g join kept k on k.lang = g.lang left join found f on f.lang = g.lang and f.source = g.source and f.term = k.term
+), shares as (
+    select lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * count(*) over (partition by lang, source)) as p from full_
+), of_lang as (
+    select lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) over (partition by lang) + 5 * count(*) over (partition by lang)) as q from (select lang, term, sum(n) as n from full_ group by all)
+), pairs as (
+    select a.lang, a.source, b.source as item, coalesce(sum(abs(p.p - q.p)), 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join shares p on p.lang = a.lang and p.source = a.source left join shares q on q.lang = b.lang and q.source = b.source and q.term = p.term group by all
+), terms as (
+    select s.lang, s.source, s.term as item, s.p - l.q as value from shares s join of_lang l on l.lang = s.lang and l.term = s.term where s.n > 0 and s.p > l.q
+)
+select lang, source, 'pair' as part, item, value::bigint as value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+union all
+select lang, source, 'term' as part, item, value::bigint as value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from terms qualify rank <= 50
+"""
+
+_RUNS = """
+    select i, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]), list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])))) as run from
+"""
+_HASHED_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: DuckDB has no crc32: a table of the 256 remainders, and a fold over the bytes.
+ORACLE_SQL["op12_importance_resampling"] = f"""
+with recursive steps as (
+    select b, b::bigint as x, 0 as k from range(256) t(b) union all select b, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, k + 1 from steps where k < 8
+), remainders as (
+    select list(x order by b) as r from steps where k = 8
+), own as (
+    select row_number() over () as i, doc_id, {_HASHED_WORDS} as w from documents
+), wanted as (
+    select row_number() over () as i, {_HASHED_WORDS} as w from benchmark
+), runs as ({_RUNS} own), wanted_runs as ({_RUNS} wanted), all_runs as (
+    select distinct run from (select run from runs union all select run from wanted_runs)
+), hashed as (
+    select run, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(run)), '..'), lambda h: ('0x' || h)::bigint)), lambda c, b: xor(c >> 8, r[xor(c & 255, b) + 1])), 4294967295) % 10000 as bucket from all_runs, remainders
+), source_counts as (
+    select bucket, count(*) as n from runs join hashed using (run) group by bucket
+), wanted_counts as (
+    select bucket, count(*) as n from wanted_runs join hashed using (run) group by bucket
+), gains as (
+    select bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from source_counts) + 10000)::double / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from wanted_counts) + 10000)::double)))::bigint as gain
+    from range(10000) b(bucket) left join source_counts s using (bucket) left join wanted_counts t using (bucket)
+), weights as (
+    select i, count(*) as n_features, sum(gain)::bigint as weight from runs join hashed using (run) join gains using (bucket) group by i
+), scored as (
+    select doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+           (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::bigint + 0.5) / 4294967296::double))))::bigint as score from own left join weights using (i)
+), placed as (
+    select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id nulls last, n_features) as place, count(*) filter (n_words >= 20) over () as n from scored
+)
+select doc_id, n_features, weight, score, (case when n_words >= 20 and place <= 5 * n // 100 then place end)::bigint as rank from placed
+"""
+
 
 # The parts of operators that SQL can express, as queries of their own
 
