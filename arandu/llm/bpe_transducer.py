@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 #: States, remembered pairs of tokens and words that a worker keeps, at most.
-MOST_STATES, MOST_PAIRS, MOST_WORDS = 60_000, 300_000, 250_000
+MOST_STATES, MOST_PAIRS, MOST_WORDS = 250_000, 400_000, 600_000
 #: Tokens beyond a node of the trie that are looked at to drop a guess early.
 FEW = 12
 #: Longer words are not kept, so that what a worker keeps is bounded.
