@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,12 +43,11 @@ def references_plain(value: str, bare: bool = True) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def match_counts(query: str, refs: Column) -> tuple[Column, Column]:
-    """How many of the query's references refs holds, and of how many it holds only the number without the letter."""
+def match_counts(asked: list[str], has: Callable[[str], Column]) -> tuple[Column, Column]:
+    """How many of the asked references are there, and of how many only the number without the letter is."""
     exact = partial = F.lit(0)
-    for r in references_plain(query):
-        has = F.array_contains(refs, r)
-        exact = exact + has.cast("int")
+    for r in asked:
+        exact = exact + has(r).cast("int")
         if "-" in r:
-            partial = partial + (~has & F.array_contains(refs, r.split("-")[0])).cast("int")
+            partial = partial + (~has(r) & has(r.split("-")[0])).cast("int")
     return exact, partial

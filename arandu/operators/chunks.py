@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import filled, locator_path, position_text
 from ..functions.values import ARCHETYPES
 from .numbering import numbered
-from .structure import heading_stack
+from .structure import future, heading_stack
 
 GROUP = 3
 
@@ -23,6 +23,13 @@ def _sizes(chunks: DataFrame) -> DataFrame:
     return chunks.where("text <> ''").withColumn("text_length", F.length("text")).withColumn("token_count", F.size(F.filter(F.split("text", r"(?U)\s+"), lambda t: t != "")))
 
 
+def in_groups(rows: Column | str, size: int = GROUP) -> Column:
+    """An array's items in arrays of `size`, the last with the rest: what an explode of it copies is linear in the items."""
+    own = F.col(rows) if isinstance(rows, str) else rows
+    starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.slice(own, at, size))
+
+
 def generic_groups(blocks: DataFrame, key: str = "doc_id", size: int = GROUP) -> DataFrame:
     """Groups of three blocks with text, the rest kept: key, first_pos, positions, heading, heading_path, text, sizes."""
     own = blocks.where("trim(coalesce(text, '')) <> ''")
@@ -86,7 +93,7 @@ def manual_chunks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     part is 1 for paragraphs and 2 for headings; chunks are in order of part and position.
     """
     order = Window.partitionBy(key).orderBy("pos")
-    past, future = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    past, later = order.rowsBetween(Window.unboundedPreceding, 0), future(key)
     own = heading_stack(blocks, key)
     group = F.coalesce(F.col("heading_group"), F.col("manual_group"), F.lit(""))
     body = F.coalesce(F.col("manual_group"), F.lit("body"))
@@ -97,7 +104,7 @@ def manual_chunks(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
         {
             "_at_interface": F.max(F.when(interface, F.struct("pos", shown.alias("title")))).over(past),
             "_at_heading": F.max(F.when(heading & (group != "interface"), F.col("pos"))).over(past),
-            "_next": F.min(F.when(heading & (group != "interface"), F.struct("pos", level.alias("level")))).over(future)["level"],
+            "_next": F.min(F.when(heading & (group != "interface"), F.struct("pos", level.alias("level")))).over(later)["level"],
             "_under": F.get("stack", F.size("stack") - 1)["pos"],
         }
     )

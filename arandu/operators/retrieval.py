@@ -38,11 +38,17 @@ def search_records(records: DataFrame, query: str, filters: Mapping[str, Any] |
     """The best records: score descending, then shorter texts, file and heading. One narrow stage and a top k."""
     text = F.coalesce(filled("text"), F.col("title"))
     path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ")
-    terms = lexical_terms(query, F.col("source_kind"), profile)
     rows = with_lexical_inputs(records.where(matches(filters)), F.col("title"), path, text, F.col("file_name"), F.col("archetype"))
+    return best_records(rows, query, limit, profile)
+
+
+def best_records(rows: DataFrame, query: str, limit: int, profile: str) -> DataFrame:
+    """search_records over rows that have what with_lexical_inputs gives, worked out or stored."""
+    terms = lexical_terms(query, F.col("source_kind"), profile)
     found = rows.withColumn("_terms", terms_struct(terms)).withColumn("score", lexical_score(F.col("_terms"), list(terms))).where("score > 0")
-    shown = F.coalesce(filled("heading"), F.col("title")) if "heading" in records.columns else F.col("title")
-    top = found.withColumn("heading", shown).orderBy(F.desc("score"), "_lex_length", "file_name", "heading", *(c for c in ("seq", "record_id") if c in records.columns)).limit(limit)
+    shown = F.coalesce(filled("heading"), F.col("title")) if "heading" in rows.columns else F.col("title")
+    top = found.withColumn("heading", shown).orderBy(F.desc("score"), "_lex_length", "file_name", "heading", *(c for c in ("seq", "record_id") if c in rows.columns)).limit(limit)
+    text = F.coalesce(filled("text"), F.col("title"))
     return without_lexical_inputs(top.withColumns({"score_breakdown": breakdown(F.col("_terms"), list(terms)), "snippet": snippet(text, query)})).drop("_terms")
 
 

@@ -58,20 +58,44 @@ def without_lexical_inputs(df: DataFrame) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.startswith(("_lex_", "_ref_"))))
 
 
-def lexical_terms(query: str, source_kind: Column, profile: str = "legal") -> dict[str, Column]:
-    """The terms of the score over with_lexical_inputs, each an int column that is 0 where it does not apply."""
-    profile, whole, words = profile_name(profile), fold_plain(query), tokens_plain(query)
+class FoldedFacts:
+    """What the score asks of a row, from the columns of with_lexical_inputs."""
+
+    fields = ("title", "heading", "body", "file", "archetype")
+
+    def has(self, field: str, word: str) -> Column:
+        return F.col(f"_lex_{field}").contains(word).cast("int")
+
+    def phrase(self, field: str, whole: str) -> Column:
+        return self.has(field, whole)
+
+    def count(self, word: str) -> Column:
+        return occurrences(F.col("_lex_body"), word)
+
+    def has_reference(self, field: str, reference: str) -> Column:
+        """Whether a field has a reference, or ("primary") the title begins with it."""
+        return F.col("_ref_primary").eqNullSafe(reference) if field == "primary" else F.array_contains(F.col(f"_ref_{field}"), reference)
+
+    def length(self) -> Column:
+        return F.col("_lex_length")
+
+    def archetype(self) -> Column:
+        return F.col("_lex_type")
+
+
+def lexical_terms(query: str, source_kind: Column, profile: str = "legal", facts: FoldedFacts | None = None) -> dict[str, Column]:
+    """The terms of the score over with_lexical_inputs (or other facts), each an int column that is 0 where it does not apply."""
+    profile, whole, words, facts = profile_name(profile), fold_plain(query), tokens_plain(query), facts or FoldedFacts()
     if not whole:
         return {}
-    folded = {k: F.col(f"_lex_{k}") for k in ("title", "heading", "body", "file", "archetype")}
-    has = lambda k, w: folded[k].contains(w).cast("int")
-    hits = {k: _sum([has(k, w) for w in words]) for k in folded}
-    counts = [occurrences(folded["body"], w) for w in words]
+    hits = {k: _sum([facts.has(k, w) for w in words]) for k in facts.fields}
+    phrase = {k: facts.phrase(k, whole) for k in ("title", "heading", "body", "file")}
+    counts = [facts.count(w) for w in words]
     terms = {
-        "title_phrase": has("title", whole) * 12,
-        "heading_phrase": has("heading", whole) * F.when(has("title", whole) == 1, 4).otherwise(10),
-        "body_phrase": has("body", whole) * 4,
-        "file_name_phrase": has("file", whole) * 5,
+        "title_phrase": phrase["title"] * 12,
+        "heading_phrase": phrase["heading"] * F.when(phrase["title"] == 1, 4).otherwise(10),
+        "body_phrase": phrase["body"] * 4,
+        "file_name_phrase": phrase["file"] * 5,
         "title_tokens": hits["title"] * 6,
         "heading_tokens": hits["heading"] * 5,
         "body_tokens": F.least(_sum([F.least(n, F.lit(3)) for n in counts]), F.lit(3 * max(len(words), 1))) * 2,
@@ -81,18 +105,17 @@ def lexical_terms(query: str, source_kind: Column, profile: str = "legal") -> di
     asked = references_plain(query)
     if profile == "legal" and asked:
         for name, exact_score, partial_score in (("title", 26, -14), ("heading", 24, -12), ("body", 8, -4)):
-            exact, partial = match_counts(query, F.col(f"_ref_{name}"))
+            exact, partial = match_counts(asked, lambda r, name=name: facts.has_reference(name, r))
             terms[f"legal_ref_{name}_exact"] = exact * exact_score
             terms[f"legal_ref_{name}_partial_penalty"] = partial * partial_score
-        primary = F.col("_ref_primary")
-        same = [primary.eqNullSafe(r) for r in asked]
-        terms["legal_ref_primary_title_exact"] = _sum([s.cast("int") for s in same]) * 42
-        terms["legal_ref_primary_title_partial_penalty"] = _sum([(~s & primary.eqNullSafe(r.split("-")[0])).cast("int") for s, r in zip(same, asked, strict=True) if "-" in r]) * -20
-    hit = (hits["title"] + hits["heading"] + hits["body"] + hits["file"] + has("body", whole)) > 0
+        exact, partial = match_counts(asked, lambda r: facts.has_reference("primary", r))
+        terms["legal_ref_primary_title_exact"] = exact * 42
+        terms["legal_ref_primary_title_partial_penalty"] = partial * -20
+    hit = (hits["title"] + hits["heading"] + hits["body"] + hits["file"] + phrase["body"]) > 0
     terms["source_kind"] = F.when(hit, lookup(SOURCE_BOOST, source_kind, 0)).otherwise(0)
     if profile == "legal":
-        terms["archetype_specificity"] = F.col("_lex_type").isin(ARCHETYPES[:-1]).cast("int")
-    n = F.col("_lex_length")
+        terms["archetype_specificity"] = facts.archetype().isin(ARCHETYPES[:-1]).cast("int")
+    n = facts.length()
     terms["length_fit"] = n.between(80, 900).cast("int") * 2
     terms["length_penalty"] = F.when((n > 0) & (n < 40), -1).when(n > 2200, -4).when(n > 1400, -2).otherwise(0)
     terms["repetition_penalty"] = -F.least(_sum([F.greatest(k - 6, F.lit(0)) for k in counts]), F.lit(6))
@@ -147,7 +170,7 @@ def rerank_signals(query: str, text_score: Column, vector_score: Column, path: C
     if profile == "legal" and asked:
         primary = primary_reference(F.element_at(F.split(path, " > "), -1))
         own, base = [primary.eqNullSafe(r) for r in asked], [primary.eqNullSafe(r.split("-")[0]) for r in asked if "-" in r]
-        (path_exact, path_partial), (body_exact, body_partial) = (match_counts(query, references(c)) for c in (path, text))
+        (path_exact, path_partial), (body_exact, body_partial) = (match_counts(asked, lambda r, c=c: F.array_contains(references(c), r)) for c in (path, text))
         mentions = (path_exact - path_partial) * 0.6 + (body_exact - body_partial) * 0.1
         any_of = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
         signals["legal_reference"] = F.when(any_of(own), 1.0).when(any_of(base), 0.0).otherwise(F.greatest(F.least(mentions, F.lit(0.45)), F.lit(0.0)))

@@ -21,9 +21,11 @@ def _past(key: str | list[str], order: str = "pos", own: bool = False):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
 
 
-def _future(key: str | list[str], order: str = "pos"):
+def future(key: str | list[str], order: str = "pos"):
+    """The rows after the own one. In the reversed order they come before it: such a frame grows row by row, while one
+    that reaches from the own row to the end is worked out anew for each row."""
     keys = [key] if isinstance(key, str) else key
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    return Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _least(columns: list[Column]) -> Column:
@@ -38,12 +40,13 @@ def parents(rows: DataFrame, key: str | list[str] = "doc_id", level: str = "leve
     """rows (key, pos, level, title) with parent_pos, ancestors (positions, outermost first), path (titles, the own last)
     and last_pos (of the last descendant).
 
-    The parent is the nearest row before with a smaller level. One sort by key and position serves all windows.
+    The parent is the nearest row before with a smaller level. One shuffle by key serves all windows, and a sort by
+    position in either direction.
     """
-    past, future = _past(key), _future(key)
+    past, later = _past(key), future(key)
     seen = F.array(*(F.max(F.when(F.col(level) == k, F.struct("pos", F.coalesce(filled(title), F.lit("Sem título")).alias("title")))).over(past) for k in levels))
     before = F.lag("pos").over(Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy("pos"))
-    ends = F.array(*(F.min(F.when(F.col(level) == k, F.struct("pos", "_before"))).over(future) for k in levels))
+    ends = F.array(*(F.min(F.when(F.col(level) == k, F.struct("pos", "_before"))).over(later) for k in levels))
     out = rows.withColumn("_before", before).withColumn("_seen", seen).withColumn("_ends", ends).withColumn("_count", F.max("pos").over(Window.partitionBy(*([key] if isinstance(key, str) else key))))
     above = F.filter(F.slice("_seen", 1, F.greatest(F.col(level) - levels[0], F.lit(0))), lambda x: x.isNotNull())
     #: Of those, the ones that no later row of a smaller level has closed.

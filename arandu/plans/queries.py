@@ -41,9 +41,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of three lines of documents as chunks, cut from each document's own lines: nothing is shuffled."""
-    groups = F.sequence(F.lit(0), F.floor((F.size("own") - 1) / chunks.GROUP))
-    rows = _own_lines(spark, sf_dir).select("doc_id", F.col("lang").alias("file_type"), "own", F.explode(groups).alias("grp"))
-    rows = rows.withColumn("own", F.slice("own", F.col("grp").cast("int") * chunks.GROUP + 1, chunks.GROUP))
+    rows = _own_lines(spark, sf_dir).select("doc_id", F.col("lang").alias("file_type"), F.posexplode(chunks.in_groups("own")).alias("grp", "own")).withColumn("grp", F.col("grp").cast("long"))
     heading = text.shortened(F.col("own")[0]["text"], text.TITLE_LIMIT)
     out = rows.select("doc_id", "grp", (F.col("grp") * chunks.GROUP + 1).cast("int").alias("first_pos"), "file_type", heading.alias("heading"), F.array_join(F.transform("own", lambda x: x["text"]), "\n\n").alias("text"))
     return out.select("*", F.concat(F.lit("doc_"), "doc_id").alias("file_name"), F.lit(ARCHETYPES[-1]).alias("archetype"), F.array("heading").alias("heading_path"), F.lit("chunk").alias("source_kind"), F.concat_ws("_", "doc_id", "grp").alias("chunk_id"))
@@ -492,9 +490,21 @@ def exact_dedup_counts(spark, sf_dir):
     return records.exact_duplicates(_line_records(spark, sf_dir))
 
 
-@query()
+_SIGNATURE = f"trim(regexp_replace(regexp_replace(regexp_replace({q.fold('text')}, '\\bpagina\\s+\\d+\\b', ' ', 'g'), '\\blinhas?\\s+\\d+(?:-\\d+)?\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' |-')"
+
+
+@query(
+    f"""with {q.LINES}, s as (select doc_id * 100000 + pos as seq, lang, text, length({q.fold('text')}) as n, substr({_SIGNATURE}, 1, 320) as long from numbered),
+    classes as (select lang, substr(long, 1, 240) as exact, count(*) as n, min(seq) as first, (list(long order by length(long) desc, long desc))[1] as long from s group by all),
+    held as (select a.lang, a.exact, (list(b.exact order by length(b.long), b.exact))[1] as root from classes a join classes b on a.lang = b.lang and substr(a.exact, 1, 140) = substr(b.exact, 1, 140) and a.exact <> b.exact
+             where length(a.long) >= 140 and length(b.long) >= 140 and contains(a.long, b.long) group by all),
+    rooted as (select c.*, coalesce(h.root, c.exact) as root from classes c left join held h using (lang, exact)),
+    best as (select r.lang, r.root, (list({{'text': s.text, 'seq': s.seq}} order by s.n desc, s.seq))[1] as x from s join rooted r on r.lang = s.lang and r.exact = substr(s.long, 1, 240) group by all),
+    counts as (select lang, root, sum(n) as all_, arg_min(n, first) as own from rooted group by all)
+    select lang as file_name, x.text as text, printf('%019d', x.seq) as seq, own - 1 as exact_removed, (all_ - own)::bigint as near_removed from best join counts using (lang, root)"""
+)
 def near_dedup_records(spark, sf_dir):
-    """All lines merged as search records; the merging is held against a plain fold in the tests."""
+    """All lines merged as search records."""
     return records.deduplicate(_line_records(spark, sf_dir)).select("file_name", "text", "seq", "exact_removed", "near_removed")
 
 

@@ -2,7 +2,6 @@ import io
 import json
 import zipfile
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from arandu.cli import parser
@@ -10,7 +9,6 @@ from arandu.collection import Collection
 from arandu.config import read_env, settings
 from arandu.operators import records, retrieval
 from arandu.operators.answers import answer, citations, service_url
-from arandu.operators.records import _merge
 from arandu.plans.queries import _line_records
 from arandu.plans.registry import QUERIES
 from arandu.sinks.writers import json_text, report_html, result_lines
@@ -85,15 +83,54 @@ def test_reference_with_letter_stands_above(spark):
     assert ids[0] == "c1" and ("c2" not in ids or ids.index("c2") > ids.index("c1"))
 
 
-def test_merging_equals_a_plain_fold(spark):
-    rows = _line_records(spark, "/root/testdata/sf0.001").limit(400)
-    rows = spark.createDataFrame(rows.collect(), rows.schema)
+def plain_merging(keyed):
+    """The rules of records.deduplicate over rows with their keys, by comparison of all classes."""
+    classes = {}
+    for r in sorted(keyed, key=lambda r: r["seq"]):
+        classes.setdefault((r["_file"], r["_path"], r["_exact"]), []).append(r)
+    long = {k: max((r["_long"] for r in rows), key=lambda x: (len(x), x)) for k, rows in classes.items()}
+    groups = {}
+    for k in classes:
+        inside = [o for o in classes if o != k and o[:2] == k[:2] and o[2][:140] == k[2][:140] and min(len(long[o]), len(long[k])) >= 140 and long[o] in long[k]]
+        groups.setdefault((*k[:2], min(inside, key=lambda o: (len(long[o]), o[2]))[2] if inside else k[2]), []).append(k)
+    out = []
+    for own in groups.values():
+        rows = sorted((r for k in own for r in classes[k]), key=lambda r: r["seq"])
+        best = max(rows, key=lambda r: (r["_priority"], r["_located"], r["_length"], r["_path_length"], -r["seq"]))
+        text = max((r for r in rows if r["_priority"] >= best["_priority"] - 1), key=lambda r: (r["_length"], -r["seq"]))
+        first = next(k for k in own if rows[0] in classes[k])
+        filled = {c: best[c] or next((r[c] for r in rows if r[c]), best[c]) for c in records._FILLED}
+        out.append((best["record_id"], text["text"] if text["_length"] > best["_length"] else best["text"], len(classes[first]) - 1, len(rows) - len(classes[first]), *map(str, filled.values())))
+    return sorted(out)
+
+
+def merged_rows(rows):
     got = records.deduplicate(rows)
-    keyed = records.with_keys(rows).withColumn("_begin", F.substring("_exact", 1, records.NEAR)).withColumn("_order", F.format_string("%019d", F.col("seq").cast("long"))).withColumns({"_removed_exact": F.lit(0), "_removed_near": F.lit(0)}).toPandas()
-    plain = pd.concat([_merge(g) for _, g in keyed.groupby(["_file", "_path", "_begin"])])
-    assert sorted(r["text"] for r in got.collect()) == sorted(plain["text"])
-    stats = records.dedup_stats(got).first()
-    assert stats["raw_record_count"] == 400 and stats["deduplicated_record_count"] == len(plain)
+    return sorted((r["record_id"], r["text"], r["exact_removed"], r["near_removed"], *(str(r[c]) for c in records._FILLED)) for r in got.collect())
+
+
+def test_merging_equals_a_comparison_of_all_classes(spark):
+    rows = _line_records(spark, "/root/testdata/sf0.001").where("seq < 6000000").withColumns({"record_id": F.col("seq").cast("string")}).withColumns({c: F.lit(None).cast("string") for c in ("position_text", "output_dir") if c not in _line_records(spark, "/root/testdata/sf0.001").columns})
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    assert merged_rows(rows) == plain_merging([r.asDict() for r in records.with_keys(rows).collect()])
+    stats = records.dedup_stats(records.deduplicate(rows)).first()
+    assert stats["raw_record_count"] == rows.count() and stats["deduplicated_record_count"] + stats["exact_duplicates_removed"] + stats["near_duplicates_removed"] == rows.count()
+
+
+def test_merging_of_kinds_and_contained_texts(spark):
+    import random
+
+    rng, rows = random.Random(8), []
+    base = ["".join(rng.choice("abcdefg ") for _ in range(330)).strip() for _ in range(4)] + ["ab" * 200, "short", ""]
+    for i in range(240):
+        text = rng.choice(base)
+        text = text[: rng.choice([20, 139, 140, 150, 200, 239, 241, 300, 320, 330])] + rng.choice(["", "", "!", " tail"])
+        rows.append((i, rng.choice(["block", "index", "metadata", "chunk", "catalog"]), f"r{i}", rng.choice(["f", "F"]), rng.choice([None, "txt"]), rng.choice(["", "a"]), "", "", rng.choice([[], ["p"]]), "p", text, rng.choice([None, "", "Art. 1"]), rng.choice([None, "Linha 2"]), rng.choice([None, "out"])))
+    schema = "seq long, source_kind string, record_id string, file_name string, file_type string, archetype string, title string, heading string, heading_path array<string>, heading_path_text string, text string, locator_text string, position_text string, output_dir string"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    found = merged_rows(df)
+    assert found == plain_merging([r.asDict() for r in records.with_keys(df).collect()])
+    assert len(found) < 120 and any(r[3] for r in found) and records.deduplicate(df.limit(0)).count() == 0
 
 
 def test_filters_never_add_rows(spark):
@@ -134,16 +171,6 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     assert sorted((r["file_name"], r["batch"]) for r in spark.read.parquet(out).collect()) == [("a.txt", "b1"), ("b.txt", "b2")]
 
 
-def test_counters_of_merged_records():
-    long = "a line of more than enough characters " * 5
-    rows = [("a", long, 1, 2), ("b", long + "and more", 5, 0), ("a", long, 9, 1), ("b", long + "and more", 20, 3), ("c", "another", 1, 4)]
-    names = ["_exact", "_long", "_length", "_removed_exact"]
-    frame = pd.DataFrame([dict(zip(names, r, strict=True)) | {"_order": str(i), "_removed_near": 0, "_priority": 1, "_located": 0, "_path_length": 0, "text": r[1]} | {c: None for c in records._FILLED} for i, r in enumerate(rows)])
-    got = _merge(frame)
-    assert sorted(zip(got["_removed_exact"], got["_removed_near"], strict=True)) == [(4, 0), (7, 2)]
-    assert len(got) + got["_removed_exact"].sum() + got["_removed_near"].sum() == sum(1 + r[3] for r in rows)
-
-
 def test_outputs_of_a_collection(spark, tmp_path, capsys):
     source, folder = tmp_path / "in", str(tmp_path / "cols" / "20300101_c")
     source.mkdir()
@@ -193,7 +220,17 @@ def test_files_added_to_a_collection(spark, tmp_path):
 
     c.add(parse_files(scan(spark, str(source / "a.txt"))))
     assert c.table("documents").count() == 2 and c.search("lagoas").first()["file_name"] == "a.txt"
-    assert c.search("portos").count() == 0 and c.table("files").count() == 2 and c.table("payloads").count() == 2
+    terms = [r["score_breakdown"] for r in c.search("portos").collect()]
+    assert all(set(t) <= {"length_fit", "length_penalty"} for t in terms), "records without the word may score by their length alone"
+    assert c.table("search_records").where("contains(text, 'portos')").count() == 0
+    assert c.table("files").count() == 2 and c.table("payloads").count() == 2
+
+
+def test_records_without_a_word_score_by_their_length_and_archetype_alone(spark):
+    rows = [(f"r{n}", "t" * 3, "x" * n, a) for n, a in ((10, "generic_document"), (60, "generic_document"), (80, "generic_document"), (900, "generic_document"), (1000, "manual_procedural"), (1500, "manual_procedural"), (85, "judicial_case"))]
+    df = spark.createDataFrame(rows, "record_id string, title string, text string, archetype string").withColumns({"file_name": F.lit("f"), "file_type": F.lit("txt"), "heading_path": F.array(F.lit("h")), "source_kind": F.lit("block")})
+    found = {p: {r["record_id"]: r["score"] for r in retrieval.search_records(df, "zzz", profile=p).collect()} for p in ("legal", "generic")}
+    assert found["legal"] == {"r80": 2, "r900": 2, "r1000": 1, "r85": 3} and found["generic"] == {"r80": 2, "r900": 2, "r85": 2}
 
 
 def test_output_names_of_one_stem(spark):
