@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import answers, catalog, chunks, payloads, records, retrieval, structure, vectors
 from .operators.classify import archetypes, domain, primary_structure
 from .operators.numbering import numbered
+from .operators.search_index import SearchIndex
 from .sinks import writers
 from .sources.files import blocks_of, parse_files, scan
 
@@ -84,6 +85,7 @@ class Collection:
 
     def derive(self, parsed: DataFrame, embeddings: bool = False, search: bool = True, build_chunks: bool = True) -> dict[str, int]:
         """All tables from parsed files, in place of those that are there, and the outputs."""
+        self._drop_index()
         files = self.save("files", parsed)
         made = self._tables(documents_of(files), search, build_chunks)
         for name, df in made:
@@ -96,6 +98,7 @@ class Collection:
         of unchanged chunks are kept."""
         if not self.is_collection():
             return self.derive(parsed, embeddings)
+        self._drop_index()
         files = self.save("files_added", parsed)
         again = self.table("documents").join(files.select("source_path"), "source_path", "left_semi").select("doc_id")
         last = self.table("documents").agg(F.max("seq")).first()[0] or 0
@@ -207,7 +210,20 @@ class Collection:
         own = self.ensure_chunks()
         return vectors.attach(own, self.table("embeddings")) if self.has("embeddings") else own.withColumn("vector", F.lit(None).cast("array<double>"))
 
+    def build_index(self) -> SearchIndex:
+        """Index the search records as they are now, so that searches read what their words need; it is dropped when records change."""
+        index = SearchIndex(self.spark, f"{self.folder}/search_index").build(self.table("search_records"))
+        self.write_text("search_index/built", "")
+        return index
+
+    def _drop_index(self) -> None:
+        fs, path = self._at("search_index")
+        fs.delete(path, True)
+
     def search(self, query: str, filters: Mapping[str, Any] | None = None, limit: int = 10, profile: str = "legal") -> DataFrame:
+        """The best records: from the index if there is one, else by a scan."""
+        if self.has("search_index/built"):
+            return SearchIndex(self.spark, f"{self.folder}/search_index").search(query, filters, limit, profile)
         return retrieval.search_records(self.table("search_records"), query, filters, limit, profile)
 
     def search_file(self, query: str, file_name: str, limit: int = 10) -> DataFrame:

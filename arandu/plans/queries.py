@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import legal, text
 from ..functions.values import ARCHETYPES, PREVIEW_STOPWORDS, RERANK_WEIGHTS
 from ..operators import answers, catalog, chunks, classify, payloads, records, retrieval, structure, vectors
+from ..operators.search_index import SearchIndex
+from ..operators.shared import shared_folder
 from ..sources import files, ocr
 from ..sources.pages import blocks_of_pages
 from ..sources.parsers import Parsed
@@ -526,12 +528,48 @@ def _search_sql(profile: str, topic: str, more: str = "") -> str:
     return f"with {q.FOLDED}{more}, scored as (select *, {q.lexical(topic, profile)} as score from folded) select doc_id, grp::bigint as grp, file_name, heading, score from scored where score > 0 order by score desc, n, file_name, heading, doc_id || '_' || grp limit 10"
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def chunk_index(spark: SparkSession, sf_dir: str, anew: bool = False) -> SearchIndex:
+    """The search index of all chunks of documents, built once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if anew or key not in _INDEXES:
+        rows = line_chunks(spark, sf_dir).withColumns({"title": F.col("heading"), "record_id": F.col("chunk_id")})
+        _INDEXES[key] = SearchIndex(spark, shared_folder(spark, "search-index")).build(rows)
+    return _INDEXES[key]
+
+
+@query(
+    f"""with {q.FOLDED}, w as (select distinct doc_id, grp, unnest(list_concat(list_concat(w_body, {q.words_of('f_title')}), list_concat({q.words_of('f_file')}, {q.words_of('f_type')}))) as word from folded)
+    select word, count(*) as chunks from w where word <> '' group by word"""
+)
+def search_index_words(spark, sf_dir):
+    """Builds the search index of all chunks; its words, and in how many chunks each is."""
+    return chunk_index(spark, sf_dir, anew=True).table("words").select("word", F.col("rows").alias("chunks"))
+
+
 @query(_search_sql("generic", TOPIC))
-def search_topk_generic(spark, sf_dir):
+def search_topk_scan(spark, sf_dir):
     rows = line_chunks(spark, sf_dir).withColumns({"title": F.col("heading"), "record_id": F.col("chunk_id")})
     return retrieval.search_records(rows, TOPIC, limit=10, profile="generic").select("doc_id", "grp", "file_name", "heading", "score")
 
 
+@query(_search_sql("generic", TOPIC))
+def search_topk_generic(spark, sf_dir):
+    """search_topk_scan from the stored index."""
+    return chunk_index(spark, sf_dir).search(TOPIC, limit=10, profile="generic").select("doc_id", "grp", "file_name", "heading", "score")
+
+
+_RARE = "schiffahrt 17 the"
+
+
+@query(_search_sql("legal", _RARE).replace(" from scored where", " from scored where file_type in ('en', 'de') and"))
+def search_topk_filtered(spark, sf_dir):
+    """A query whose words few chunks have, within two languages, from the stored index."""
+    return chunk_index(spark, sf_dir).search(_RARE, {"file_type": ["en", "de"]}, 10, "legal").select("doc_id", "grp", "file_name", "heading", "score")
+
+
 _LEGAL_ROWS = q.values(fx.CHUNKS, ["chunk_id", "file_name", "archetype", "heading", "text", "refs_heading", "refs_text", "primary_ref"])
 _LEGAL_FOLDED = f"folded as (select *, {q.fold('heading')} as f_title, {q.fold('heading')} as f_heading, {q.fold('text')} as f_body, {q.words_of(q.fold('text'))} as w_body, {q.fold('file_name')} as f_file, {q.fold('archetype')} as f_type, length({q.squeeze('text')}) as n, refs_heading as r_title, refs_heading as r_heading, refs_text as r_body, primary_ref as r_primary from {_LEGAL_ROWS})"
 
