@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
 A text is cut into paragraphs, at lines without a word. The words around words that licences use (hints), of one
-paragraph, are a block, however its lines are wrapped and marked as comments. Each template is aligned with the block,
-and its passages are confirmed by the exact differences in wording: few words may differ, and none that tells licences
-apart (names, versions). A passage, unwrapped, is compressed alone and with the template as a zstandard raw dictionary;
-it counts if the dictionary saves bytes, and if its clause does not deny it ("is not released under ..."). Whole blocks are not compressed, as in them a short notice saves less than the
-words around it add by chance.
+paragraph, are a block, however its lines are wrapped and marked as comments. A block is compressed alone, and with each
+template as a zstandard raw dictionary; the templates are ranked by the bytes they save. In that order their passages are
+confirmed by the exact differences in wording: few words may differ, and none that tells licences apart (names,
+versions), no clause may deny the passage ("is not released under ..."), and the dictionary must save bytes on the
+passage itself. The first template that is confirmed wins its place; the passage is masked, and the rest is compressed
+and ranked again, until no template is confirmed. So a short notice is found too, in which the words around it weigh more
+by chance: it is only tried later.
 
 Defined cases: null, empty and wordless texts have no blocks; a block may hold several passages, which have spans of
-their own and do not overlap: of two that do, the one with more words of its template stays, then the one with fewer
-differences, then more saved bytes, then the first by name; repeated rows are scanned alike; an empty table gives no
+their own and do not overlap: of two licences at one place the one that saves more bytes on the block wins (ties: the
+first by name), of two passages of it the one with more words, then with fewer differences, then the first; of two blocks
+that share words the longer passage stays; repeated rows are scanned alike; an empty table gives no
 rows; columns named candidates, spans or licenses are replaced, others stay; texts are read whole.
 """
 
@@ -125,6 +128,8 @@ DENIED_BEFORE = re.compile(r"(?i)\b(?:not|never|no|nor|neither|isn't|cannot|un)(
 DENIED_AFTER = re.compile(r"(?i)(?:\s+licen[cs]e)?\s+(?:does|do|did|is|are|was|has|will|can)(?:\s+not|n't|\s+never|\s+no)\b")
 #: Characters of the blocks whose answers a worker keeps.
 KEPT_CHARS = 20_000_000
+#: Stands for the words of a passage that has been found; nothing is aligned across it.
+MASK = "\0"
 #: The cost of a differing word that tells licences apart.
 NEVER = 1_000_000
 
@@ -162,7 +167,7 @@ class Scanner:
         most = int(self.share * len(passage))
         if not passage or len(lacking) > most or any(TELLING.match(w) for w in lacking):
             return []
-        extra = np.concatenate(([0], np.cumsum([NEVER if TELLING.match(w) else 1 for w in block])))
+        extra = np.concatenate(([0], np.cumsum([NEVER if w == MASK or TELLING.match(w) else 1 for w in block])))
         at: dict[str, list[int]] = {}
         for j, w in enumerate(block):
             at.setdefault(w, []).append(j)
@@ -190,20 +195,44 @@ class Scanner:
                 out.append((first, int(end), int(rows[-1][end])))
         return out
 
+    def ranked(self, text: str) -> list[str]:
+        """Templates by the bytes that they save on a text, most first; ties by name."""
+        data = WRAP.sub(" ", text).encode("utf-8", "replace")
+        alone = len(self.alone.compress(data))
+        return sorted(self.given, key=lambda name: (len(self.given[name].compress(data)) - alone, name))
+
+    def confirmed(self, name: str, text: str, words: list[str], spans: list[tuple[int, int]]) -> tuple[int, int, int, int, int] | None:
+        """(first word, word after the last, bytes saved, differing words, words found) of a template's best passage in a
+        block, by exact differences; None if there is none."""
+        best = None
+        for passage in self.passages[name]:
+            for first, end, differing in self.aligned(words, passage):
+                lo, hi = spans[first][0], spans[end - 1][1]
+                if DENIED_BEFORE.search(text, max(0, lo - 40), lo) or DENIED_AFTER.match(text, hi):
+                    continue
+                key = (differing - len(passage), differing, first)
+                if (best is None or key < best[0]) and (saved := self.saved(text[lo:hi], name)) > 0:
+                    best = key, (first, end, saved, differing, len(passage) - differing)
+        return best and best[1]
+
     def block(self, text: str) -> list[tuple[int, int, str, int, int, int]]:
-        """(start, end, licence, bytes saved, differing words, words of the template found) of all confirmed places of a block; they may overlap."""
+        """(start, end, licence, bytes saved, differing words, words of the template found) of the winners of a block, in
+        the order in which they won."""
         if text in self.kept:
             return self.kept[text]
         spans = [m.span() for m in WORD.finditer(text)]
-        words, out = [text[lo:hi].lower() for lo, hi in spans], []
-        for name, passages in self.passages.items():
-            for passage in passages:
-                for first, end, differing in self.aligned(words, passage):
-                    lo, hi = spans[first][0], spans[end - 1][1]
-                    if DENIED_BEFORE.search(text, max(0, lo - 40), lo) or DENIED_AFTER.match(text, hi):
-                        continue
-                    if (saved := self.saved(text[lo:hi], name)) > 0:
-                        out.append((lo, hi, name, saved, differing, len(passage) - differing))
+        words, rest, out = [text[lo:hi].lower() for lo, hi in spans], text, []
+        while True:
+            for name in self.ranked(rest):
+                if found := self.confirmed(name, text, words, spans):
+                    break
+            else:
+                break
+            first, end, *more = found
+            lo, hi = spans[first][0], spans[end - 1][1]
+            out.append((lo, hi, name, *more))
+            words[first:end] = [MASK] * (end - first)
+            rest = "".join(c for k, c in enumerate(text) if not any(a <= k < b for a, b, *_ in out))
         self.size += len(text)
         if self.size > KEPT_CHARS:
             self.kept.clear()

@@ -226,8 +226,35 @@ def test_denied_notices_and_further_wordings():
     assert [n for _, n in spans_of(bsd)] == ["BSD", "BSD-3-Clause"]
 
 
+def test_license_templates_are_ranked_by_compression():
+    """Both templates have the notice; the one whose dictionary saves more on the whole block wins its place, although the
+    other comes first by name and has as many words."""
+    around = "whoever keeps such boats in the inner harbour shall paint their hulls green before the first of march every year"
+    scanner = license_scan.Scanner({"a": ["Granted under the harbour licence."], "z": ["Granted under the harbour licence.", around + " or else pay forty coins to the keeper of the gate on each day thereafter until it is done"]})
+    block = f"{around} granted under the harbour licence and not before"
+    sizes = {k: len(scanner.given[k].compress(block.encode())) for k in scanner.given}
+    assert sizes["z"] < sizes["a"] and scanner.ranked(block) == ["z", "a"]
+    assert [name for _, _, name, *_ in scanner.block(block)] == ["z"]
+    scanner.ranked = lambda text: ["a", "z"]  # ranked otherwise, the answer differs
+    scanner.kept.clear()
+    assert [name for _, _, name, *_ in scanner.block(block)] == ["a"]
+
+
+def test_license_passages_are_masked_and_the_rest_is_compressed_again():
+    scanner, seen = license_scan.Scanner(), []
+    ranked = scanner.ranked
+    scanner.ranked = lambda text: seen.append(text) or ranked(text)
+    text = "Released under the MIT License. Licensed under the Apache License, Version 2.0. All rights reserved. Released under the MIT License."
+    assert sorted(name for _, _, name, *_ in scanner.block(text)) == ["Apache-2.0", "MIT", "MIT", "all-rights-reserved"]
+    assert len(seen) == 5 and [len(t) for t in seen] == sorted((len(t) for t in seen), reverse=True) and "icense" not in seen[-1]
+    long = "word " * 60_000 + text + " word" * 60_000
+    assert [(long[lo:hi].split()[0], name) for lo, hi, name, _, _ in scanner.scan(long)[1]] == [("Released", "MIT"), ("Licensed", "Apache-2.0"), ("All", "all-rights-reserved"), ("Released", "MIT")]
+
+
 def test_license_scan_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License.", "x", 1), (1, "Released under the MIT License.", "x", 1)], "doc_id long, text string, Spans string, licenses int")
+    none = license_scan.scanned(docs.withColumn("text", F.lit(None).cast("string"))).first()
+    assert none["candidates"] in (None, 0) and not none["spans"] and not none["licenses"]
     got = license_scan.scanned(docs).collect()
     assert len(got) == 2 and got[0] == got[1] and got[0]["licenses"] == ["MIT"] and got[0]["candidates"] == 1
     assert license_scan.scanned(docs.limit(0)).count() == 0
