@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ from .common import free_name
 
 #: States, remembered pairs of tokens and words that a worker keeps, at most.
 MOST_STATES, MOST_PAIRS, MOST_WORDS = 250_000, 400_000, 600_000
+#: Bits of a symbol: a byte, or for words with a suffix a byte at the end of a word.
+SYMBOL_BITS = 10
 #: Tokens beyond a node of the trie that are looked at to drop a guess early.
 FEW = 12
 #: Longer words are not kept, so that what a worker keeps is bounded.
@@ -46,74 +49,46 @@ MOST_EFFECTS = 200_000
 Guess = tuple[int, int, tuple[int, ...]]
 
 
-class Transducer:
-    """Bytes of one piece to ids, by the ranks of tokens; every byte must have a token."""
+class Determinised:
+    """A table of arcs over symbols for a language of token sequences in which a token may or may not follow another.
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
-        self.ranks, self.most_states = ranks, most_states
-        self.bytes_of = {i: t for t, i in ranks.items()}
+    Rows are states, made as inputs reach them; an arc leads to the next state and tells the tokens that are sure now.
+    """
+
+    def __init__(self, spelled: Iterable[tuple[int, Iterable[int]]], most_states: int):
+        """spelled: (token, its symbols, each under 2**SYMBOL_BITS)."""
+        self.most_states = most_states
         self.pairs: dict[int, bool] = {}
-        #: Parts of a token's last merge; single bytes have none and are there from the start.
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.whole_only: dict[bytes, int] = {}
-        for token, i in sorted(ranks.items(), key=lambda x: x[1]):
-            if len(token) > 1:
-                self._compile(token, i)
-        self.child: dict[int, int] = {}
         self.hopes: dict[int, bool] = {}
+        self.child: dict[int, int] = {}
         self.token_at = [-1]
-        for token, i in ranks.items():
-            if token not in self.whole_only:
-                node = 0
-                for b in token:
-                    place = node << 8 | b
-                    if place not in self.child:
-                        self.child[place] = len(self.token_at)
-                        self.token_at.append(-1)
-                    node = self.child[place]
-                self.token_at[node] = i
+        for token, symbols in spelled:
+            node = 0
+            for x in symbols:
+                place = node << SYMBOL_BITS | x
+                if place not in self.child:
+                    self.child[place] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = self.child[place]
+            self.token_at[node] = token
         #: The tokens beyond a node, None where there are more than FEW.
         self.few: list[tuple[int, ...] | None] = [()] * len(self.token_at)
         for place, to in reversed(self.child.items()):  # children come after their parents
-            above, own = self.few[place >> 8], self.few[to]
+            above, own = self.few[place >> SYMBOL_BITS], self.few[to]
             whole = None if above is None or own is None else above + own + ((self.token_at[to],) if self.token_at[to] >= 0 else ())
-            self.few[place >> 8] = None if whole is None or len(whole) > FEW else whole
+            self.few[place >> SYMBOL_BITS] = None if whole is None or len(whole) > FEW else whole
         self._forget()
 
-    def _compile(self, token: bytes, rank: int) -> None:
-        """The last merge of a token: its two parts are earlier tokens, and no earlier merge joins them otherwise."""
-        for cut in range(1, len(token)):
-            a, b = self.ranks.get(token[:cut], rank), self.ranks.get(token[cut:], rank)
-            if a < rank and b < rank and token[:cut] not in self.whole_only and token[cut:] not in self.whole_only and self._stays(a, b, rank):
-                self.parts[rank] = a, b
-                return
-        self.whole_only[token] = rank
-
-    def _stays(self, a: int, b: int, before: int | None = None) -> bool:
-        """Whether no merge (of a rank below `before`) joins a and b across the boundary between them.
-
-        Goes back in time over what stands at the boundary: a piece is there from its own merge until that of the piece
-        that holds it. Of equal merges the one further left comes first.
-        """
-        until_a = until_b = before if before is not None else len(self.ranks) + 1 << 8
-        while True:
-            merge = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            if merge is not None and merge < until_a and merge <= until_b and (before is None or merge < before):
-                return False
-            born_a, born_b = (a if a in self.parts else -1), (b if b in self.parts else -1)
-            if born_a < 0 and born_b < 0:
-                return True
-            if born_a > born_b:
-                until_a, a = born_a, self.parts[a][1]
-            else:
-                until_b, b = born_b, self.parts[b][0]
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether token b may stand after token a."""
+        raise NotImplementedError
 
     def follows(self, a: int, b: int) -> bool:
         known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a << 32 | b] = self._stays(a, b)
+            known = self.pairs[a << 32 | b] = self.may_follow(a, b)
         return known
 
     def _forget(self) -> None:
@@ -144,11 +119,11 @@ class Transducer:
             self.hopes[place] = known
         return known
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The arc of a byte: the state that it leads to and the tokens that it emits."""
+    def _arc(self, state: int, symbol: int) -> tuple[int, tuple[int, ...]]:
+        """The arc of a symbol: the state that it leads to (-1: none) and the tokens that it emits."""
         child, token_at, hopes, out, ended = self.child, self.token_at, self.hopes, [], None
         for node, before, held in self.guesses[state]:
-            to = child.get(node << 8 | byte)
+            to = child.get(node << SYMBOL_BITS | symbol)
             if to is not None:
                 hope = hopes.get(before << 20 | to)
                 if hope is None:
@@ -159,6 +134,8 @@ class Transducer:
                     ended = (0, token, (*held, token))
         if ended is not None:
             out.append(ended)
+        if not out:
+            return -1, ()
         emitted: tuple[int, ...] = ()
         while held := out[0][2]:
             first = held[0]
@@ -170,23 +147,72 @@ class Transducer:
         if len(self.guesses) >= self.most_states:
             self._forget()
             return self._state(guesses), emitted
-        arc = self.arcs[state][byte] = self._state(guesses), emitted
+        arc = self.arcs[state][symbol] = self._state(guesses), emitted
         return arc
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Ids of a piece."""
-        if piece in self.whole_only:
-            return [self.whole_only[piece]]
+    def tokens(self, symbols: Iterable[int]) -> list[int] | None:
+        """The tokens of a sequence of symbols, a look-up each; None if it has a symbol that no token has."""
         out, state = [], 0
-        for byte in piece:
-            arc = self.arcs[state].get(byte) or self._arc(state, byte)
-            state, emitted = arc
+        for x in symbols:
+            state, emitted = self.arcs[state].get(x) or self._arc(state, x)
             if emitted:
                 out += emitted
+            if state < 0:
+                return None
         out += self.rest[state]
         return out
 
 
+class Transducer(Determinised):
+    """Bytes of one piece to ids, by the ranks of tokens; every byte must have a token."""
+
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        self.ranks = ranks
+        self.bytes_of = {i: t for t, i in ranks.items()}
+        #: Parts of a token's last merge; single bytes have none and are there from the start.
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.whole_only: dict[bytes, int] = {}
+        for token, i in sorted(ranks.items(), key=lambda x: x[1]):
+            if len(token) > 1:
+                self._compile(token, i)
+        super().__init__(((i, token) for token, i in ranks.items() if token not in self.whole_only), most_states)
+
+    def _compile(self, token: bytes, rank: int) -> None:
+        """The last merge of a token: its two parts are earlier tokens, and no earlier merge joins them otherwise."""
+        for cut in range(1, len(token)):
+            a, b = self.ranks.get(token[:cut], rank), self.ranks.get(token[cut:], rank)
+            if a < rank and b < rank and token[:cut] not in self.whole_only and token[cut:] not in self.whole_only and self._stays(a, b, rank):
+                self.parts[rank] = a, b
+                return
+        self.whole_only[token] = rank
+
+    def _stays(self, a: int, b: int, before: int | None = None) -> bool:
+        """Whether no merge (of a rank below `before`) joins a and b across the boundary between them.
+
+        Goes back in time over what stands at the boundary: a piece is there from its own merge until that of the piece
+        that holds it. Of equal merges the one further left comes first.
+        """
+        until_a = until_b = before if before is not None else len(self.ranks) + 1 << 8
+        while True:
+            merge = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if merge is not None and merge < until_a and merge <= until_b and (before is None or merge < before):
+                return False
+            born_a, born_b = (a if a in self.parts else -1), (b if b in self.parts else -1)
+            if born_a < 0 and born_b < 0:
+                return True
+            if born_a > born_b:
+                until_a, a = born_a, self.parts[a][1]
+            else:
+                until_b, b = born_b, self.parts[b][0]
+
+    def may_follow(self, a: int, b: int) -> bool:
+        return self._stays(a, b)
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Ids of a piece."""
+        return [self.whole_only[piece]] if piece in self.whole_only else self.tokens(piece) or []
+
+
 def expected(lead: int) -> tuple[int, int, int] | None:
     """After the first byte of a character: how many follow, and the lowest and highest that may come next; None for a byte that begins none."""
     if lead < 0x80:
