@@ -11,6 +11,7 @@ from ..functions.values import ARCHETYPES, PREVIEW_STOPWORDS, RERANK_WEIGHTS
 from ..operators import answers, catalog, chunks, classify, payloads, records, retrieval, structure, vectors
 from ..operators.search_index import SearchIndex
 from ..operators.shared import shared_folder
+from ..operators.vector_cells import VectorCells
 from ..sources import files, ocr
 from ..sources.pages import blocks_of_pages
 from ..sources.parsers import Parsed
@@ -666,15 +667,25 @@ def preview_queries(spark, sf_dir):
 # Vectors
 
 
-@query(
-    "select e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, x.embedding), lambda z: z[1]::double * z[2]::double)), 4) as score from embeddings e, (select embedding from embeddings where vec_id = (select min(vec_id) from embeddings)) x order by round(list_sum(list_transform(list_zip(e.embedding, x.embedding), lambda z: z[1]::double * z[2]::double)), 6) desc, vec_id limit 10"
-)
+_COSINES = "select e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, x.embedding), lambda z: z[1]::double * z[2]::double)), 4) as score from embeddings e, (select embedding from embeddings where vec_id = (select min(vec_id) from embeddings)) x order by round(list_sum(list_transform(list_zip(e.embedding, x.embedding), lambda z: z[1]::double * z[2]::double)), 6) desc, vec_id limit 10"
+
+
+@query(_COSINES)
 def cosine_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     first = rows.orderBy("vec_id").select("embedding").first()
     return vectors.cosine_top(rows, list(first["embedding"]) if first else [], 10, "embedding", "vec_id").select("vec_id", F.round("score", 4).alias("score"))
 
 
+@query(_COSINES)
+def cosine_topk_cells(spark, sf_dir):
+    """cosine_topk from vectors clustered in cells, of which the search reads those that can hold one of the best."""
+    rows = table(spark, sf_dir, "embeddings")
+    first = rows.orderBy("vec_id").select("embedding").first()
+    cells = VectorCells(spark, shared_folder(spark, "vector-cells"), "embedding").build(rows)
+    return cells.search(list(first["embedding"]) if first else [], 10, "vec_id").select("vec_id", F.round("score", 4).alias("score"))
+
+
 @query(f"select id as item_id, k, x from ({q.hashed_vectors('select item_id as id, text from benchmark', 192)})")
 def embed_hash(spark, sf_dir):
     """Vectors of all benchmark texts."""
