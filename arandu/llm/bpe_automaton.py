@@ -6,11 +6,10 @@ copies the state p that a leads to, removes the b arc from the copy, sends all a
 with an a arc an ab arc to where p's b arc leads. All arcs of one token therefore lead to one state, each merge adds one
 state, and a state is stored as its parent and the arc it lacks.
 
-Words are encoded by a table of transitions over letters, compiled from the automaton as words need it. Its states are
-the sets of places that the automaton can be in: at a token's end, or within a token that an arc of its state begins. A
-letter is one look-up, which gives the next state and the tokens on which all places agree; a sequence that is accepted
-is the only one of its letters, so that at a word's end one place is left. The last letter of a word is a letter of its
-own, as the file's tokens tell. Decoding emits the labels of the arcs.
+A prefix of an accepted sequence is accepted too, and each string has one accepted sequence, so that for each position
+of a word exactly one token ends there: the one whose arc exists in the state after the token before it. The transition
+table is sparse: all arcs of a token lead to one state, so that a state's row lists only the arcs it lacks, and rows are
+compiled as words reach their states. Decoding emits the labels of the arcs.
 
 Defined cases: null text counts as empty and has no ids; special tokens in a text become their ids; texts of any length
 are read whole; an empty table gives no rows; further columns, whatever their names, are not read; repeated rows come
@@ -29,11 +28,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_transducer import SYMBOL_BITS, Determinised
 from .common import free_name
 
-#: Most words a worker keeps the ids of, and most states of its table.
-CACHE_WORDS, MOST_STATES = 200_000, 120_000
+#: Most words a worker keeps the ids of.
+CACHE_WORDS = 250_000
 #: Longer words are not kept, so that what a worker keeps is bounded.
 LONGEST_KEPT = 100
 #: Texts of these characters are split here; others by the tokenizer file's own normaliser and pre-tokenizer.
@@ -52,7 +50,7 @@ class Automaton:
         self.target, self.left, self.token_born = [0] * size, [-1] * size, [-1] * size
         self.arcs: dict[str, int] = dict(base)
         self.rows: dict[int, dict[int, int]] = {}
-        self.tables: dict[str, LetterTable] = {}
+        self._tries: dict[str, tuple] = {}
         never: set[str] = set()  # tokens whose parts never stand side by side
         for k, (a, b) in enumerate(merges):
             if a in never or b in never:
@@ -104,49 +102,43 @@ class Automaton:
             later, token = self.token_born[token], self.left[token]
         return True
 
+    def _trie(self, end: str, final: bool) -> dict:
+        """Arcs by their letters from the last to the first; a node's own token is under the empty string."""
+        root: dict = {}
+        for token, i in self.arcs.items():
+            if end and token.endswith(end) != final:
+                continue
+            node = root
+            for letter in reversed(token[: len(token) - len(end)] if end and final else token):
+                node = node.setdefault(letter, {})
+            node[""] = i
+        return root
+
     def encode(self, word: str, end: str = "") -> list[int]:
         """Ids of a word of base symbols, the last of them with the suffix `end`. Symbols without an arc are left out."""
-        if end not in self.tables:
-            self.tables[end] = LetterTable(self, end)
-        table = self.tables[end]
-        letters = table.letters(word)
-        found = None if None in letters else table.tokens(letters)
-        if found is not None:
-            return found
-        for i in range(1, len(word)):  # a symbol outside the alphabet splits the word
-            if (x := table.letters(word[:i], False)[-1]) is None or table.tokens([x]) is None:
+        if end not in self._tries:
+            self._tries[end] = self._trie(end, False), self._trie(end, True) if end else None
+        inner, final = self._tries[end]
+        n, has, target = len(word), self.has, self.target
+        state, arc, begin = [0] + [-1] * n, [-1] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            node, j = final if end and i == n else inner, i
+            while j:
+                node = node.get(word[j - 1])
+                if node is None:
+                    break
+                j -= 1
+                token = node.get("")
+                if token is not None and state[j] >= 0 and has(state[j], token):
+                    state[i], arc[i], begin[i] = target[token], token, j
+                    break
+            if state[i] < 0:  # a symbol outside the alphabet splits the word
                 return self.encode(word[: i - 1]) + self.encode(word[i:], end)
-        return self.encode(word[:-1]) if word else []
-
-
-class LetterTable(Determinised):
-    """The automaton's arcs spelled in letters, determinised: a state and a letter give the next state and sure tokens."""
-
-    def __init__(self, machine: Automaton, end: str, most_states: int = MOST_STATES):
-        self.machine, self.number = machine, {}
-        inner, final = [], []
-        for token, i in machine.arcs.items():
-            last = bool(end) and token.endswith(end)
-            (final if last else inner).append((i, token[: len(token) - len(end)] if last else token))
-        for _, token in (*inner, *final):
-            for letter in token:
-                self.number.setdefault(letter, len(self.number))
-        self.shift = len(self.number) if end else 0  # the last letter of a word is a symbol of its own
-        if 2 * len(self.number) > 1 << SYMBOL_BITS:
-            raise ValueError(f"more than {1 << SYMBOL_BITS - 1} letters")
-        n = self.number
-        spelled = [(i, [n[x] for x in token]) for i, token in inner] + [(i, [*(n[x] for x in token[:-1]), n[token[-1]] + self.shift]) for i, token in final if token]
-        super().__init__(spelled, most_states)
-
-    def may_follow(self, a: int, b: int) -> bool:
-        return self.machine.has(self.machine.target[a], b)
-
-    def letters(self, word: str, ends: bool = True) -> list[int | None]:
-        """Symbols of a word's letters, None for one that no token has."""
-        out = [self.number.get(x) for x in word]
-        if ends and out and self.shift and out[-1] is not None:
-            out[-1] += self.shift
-        return out
+        out, i = [], n
+        while i:
+            out.append(arc[i])
+            i = begin[i]
+        return out[::-1]
 
 
 def byte_letters() -> list[str]:
@@ -182,10 +174,18 @@ class Codec:
         self.kind = np.dtype("<u2") if max(self.label) < 1 << 16 else np.dtype("<u4")
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-split word, given in byte letters."""
-        return np.array(self.automaton.encode(piece, self.end), self.kind).tobytes()
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = np.array(self.automaton.encode(piece, self.end), self.kind).tobytes()
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            if len(piece) <= LONGEST_KEPT:
+                self.pieces[piece] = ids
+        return ids
 
     def _word(self, word: str) -> bytes:
         letters = self.letters
