@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.text import fold
 from .operators import answers, catalog, chunks, payloads, records, retrieval, structure, vectors
 from .operators.classify import archetypes, domain, primary_structure
 from .operators.numbering import numbered
@@ -18,6 +19,7 @@ from .sources.files import blocks_of, parse_files, scan
 #: Documents and index lines that the collection's own report shows; the tables have them all.
 CATALOG_SHOWN, TREE_SHOWN = 500, 500
 PREVIEW_COLUMNS = ("chunk_id", "file_name", "heading", "score", "retrieval_mode", "snippet")
+OUTPUTS = ("payloads", "reports")
 TABLES = ("documents", "blocks", "entries", "catalog", "master_index", "chunks", "search_records", "embeddings")
 
 
@@ -37,22 +39,32 @@ class Collection:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
+        self._finish_replacing(name)
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def save(self, name: str, df: DataFrame, mode: str = "overwrite") -> DataFrame:
+        self._finish_replacing(name)
         df.write.mode(mode).parquet(f"{self.folder}/{name}")
         return self.table(name)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Put df, which may read the table itself, in the table's place: written beside it, then renamed."""
-        fs, path = self._at(name)
-        _, new = self._at(f"_{name}_new")
+        """Put df, which may read the table itself, in the table's place: written whole beside it, then moved there.
+
+        A driver that is lost before the new table is whole leaves the old one; one that is lost later leaves the new one
+        beside it, with Spark's mark that it is whole, and the next reader moves it.
+        """
+        self._finish_replacing(name)
         df.write.mode("overwrite").parquet(f"{self.folder}/_{name}_new")
-        fs.delete(path, True)
-        if not fs.rename(new, path):
-            raise OSError(f"cannot rename {new} to {path}")
         return self.table(name)
 
+    def _finish_replacing(self, name: str) -> None:
+        fs, done = self._at(f"_{name}_new/_SUCCESS")
+        if fs.exists(done):
+            (_, path), (_, new) = self._at(name), self._at(f"_{name}_new")
+            fs.delete(path, True)
+            if not fs.rename(new, path):
+                raise OSError(f"cannot rename {new} to {path}")
+
     def write_text(self, name: str, text: str) -> None:
         """A small text file of the collection, such as a report."""
         fs, path = self._at(name)
@@ -67,6 +79,7 @@ class Collection:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def has(self, name: str) -> bool:
+        self._finish_replacing(name)
         fs, path = self._at(name)
         return fs.exists(path)
 
@@ -93,9 +106,13 @@ class Collection:
         return self._finish(files, embeddings and build_chunks)
 
     def add(self, parsed: DataFrame, embeddings: bool = False) -> dict[str, int]:
-        """Parsed files beside those that are there. Only the new files' rows are derived and appended; a path that comes
-        again replaces its document. Search records compare within a file, so that those of other files stand; vectors
-        of unchanged chunks are kept."""
+        """Parsed files beside those that are there. Only the new files' rows are derived, and the outputs of their documents.
+
+        They are appended; where a path comes again its document's rows are left out of the tables first, which copies the
+        other rows, but derives none anew. Search records are merged within a file name: those of the names that come are
+        derived from all documents of these names. Vectors of unchanged chunks are kept. The collection's own counts and
+        pages are made from its catalog and index, which have a row for each document and entry.
+        """
         if not self.is_collection():
             return self.derive(parsed, embeddings)
         self._drop_index()
@@ -103,25 +120,45 @@ class Collection:
         again = self.table("documents").join(files.select("source_path"), "source_path", "left_semi").select("doc_id")
         last = self.table("documents").agg(F.max("seq")).first()[0] or 0
         last_chunk = (self.table("chunks").agg(F.max("chunk_seq")).first()[0] or 0) if self.has("chunks") else 0
-        replaced = again.limit(1).count() > 0
-        gone = self.save("replaced", again) if replaced else None
-        for name, df in self._tables(documents_of(files, last), self.has("search_records"), self.has("chunks"), "_added", last_chunk):
-            own = self.save(f"{name}_added", df())
-            if not replaced:
-                self.save(name, own, "append")
-            elif name != "search_records":
-                self.replace(name, self.table(name).join(gone, "doc_id", "left_anti").unionByName(own))
-        if replaced and self.has("search_records"):
-            self.replace("search_records", self._search_records("").select(self.table("search_records").columns))
+        gone = self.save("replaced", again) if again.limit(1).count() else None
+        made = self._tables(documents_of(files, last), False, self.has("chunks"), "_added", last_chunk)
+        made += [(name, df) for name, df in self._outputs("_added") if self.has(name)]
+        for name, df in made:
+            self._put(name, self.save(f"{name}_added", df()), gone)
+        if self.has("search_records"):
+            self._renew_search_records()
         old = self.table("files").join(files.select("source_path"), "source_path", "left_anti")
         self.replace("files", old.unionByName(files))
-        for name in (*TABLES, "files"):
-            fs, path = self._at(f"{name}_added")
+        for name in (*(f"{n}_added" for n in (*TABLES, *OUTPUTS, "files")), "replaced"):
+            fs, path = self._at(name)
             fs.delete(path, True)
-        if gone is not None:
-            fs, path = self._at("replaced")
-            fs.delete(path, True)
-        return self._finish(self.table("files"), embeddings or self.has("embeddings"))
+        return self._finish(self.table("files"), embeddings or self.has("embeddings"), False)
+
+    def _put(self, name: str, rows: DataFrame, gone: DataFrame | None) -> None:
+        """Rows beside those of a table, without those of the documents that are gone."""
+        if gone is None:
+            self.save(name, rows, "append")
+        else:
+            self.replace(name, self.table(name).join(gone, "doc_id", "left_anti").unionByName(rows))
+
+    def _renew_search_records(self) -> None:
+        """Search records of the file names that documents_added has."""
+        names = self.table("documents_added").select(fold("file_name").alias("_name")).distinct()
+        own = self.table("documents").withColumn("_name", fold("file_name")).join(names, "_name", "left_semi").select("doc_id")
+        made = self.save("search_records_added", self._search_records("", own)).select(self.table("search_records").columns)
+        old = self.table("search_records").withColumn("_name", fold("file_name"))
+        if old.join(names, "_name", "left_semi").limit(1).count():
+            self.replace("search_records", old.join(names, "_name", "left_anti").drop("_name").unionByName(made))
+        else:
+            self.save("search_records", made, "append")
+
+    def _outputs(self, ending: str = "") -> list[tuple[str, Callable[[], DataFrame]]]:
+        """(name, rows) of what is written for each document."""
+        own = lambda name: self.table(name + ending)
+        return [
+            ("payloads", lambda: payloads.payloads(own("documents"), own("blocks"), own("entries"), own("catalog").select("doc_id", "summary"))),
+            ("reports", lambda: writers.reports(own("documents"), own("blocks"), own("entries"))),
+        ]
 
     def _tables(self, documents: DataFrame, search: bool, build_chunks: bool, ending: str = "", last_chunk: int = 0) -> list[tuple[str, Callable[[], DataFrame]]]:
         """(name, rows) of the tables in the order in which they are derived; each reads those before it, under names with the ending."""
@@ -142,8 +179,11 @@ class Collection:
     def _summaries(self, ending: str) -> DataFrame:
         return catalog.document_summaries(*(self.table(name + ending) for name in ("documents", "entries", "blocks")))
 
-    def _search_records(self, ending: str) -> DataFrame:
+    def _search_records(self, ending: str, only: DataFrame | None = None) -> DataFrame:
+        """Merged records of all documents, or of those whose doc_id is given."""
         docs, blocks, entries, rows, master = (self.table(name + ending) for name in ("documents", "blocks", "entries", "catalog", "master_index"))
+        if only is not None:
+            docs, blocks, entries, rows, master = (t.join(only, "doc_id", "left_semi") for t in (docs, blocks, entries, rows, master))
         about = docs.select("doc_id", "seq", "file_name", "file_type", "archetype", "source_path", F.lit(self.folder).alias("output_dir")).join(rows.select("doc_id", "summary"), "doc_id", "left")
         return records.deduplicate(records.search_records(about, blocks, entries, rows, master))
 
@@ -152,23 +192,24 @@ class Collection:
         made = chunks.with_chunk_ids(chunks.document_chunks(docs, entries, blocks), docs, order="seq", before=before)
         return chunks.chunk_locations(made.join(docs.select("doc_id", "file_name", "file_type", "archetype"), "doc_id"))
 
-    def _finish(self, files: DataFrame, embeddings: bool) -> dict[str, int]:
+    def _finish(self, files: DataFrame, embeddings: bool, documents: bool = True) -> dict[str, int]:
         counts = {r["status"]: r["count"] for r in files.groupBy("status").count().collect()}
         if embeddings:
-            self.build_embeddings()
+            self.build_embeddings(documents=documents)
         else:
-            self.refresh()
+            self.refresh(documents=documents)
         return counts
 
     def failures(self) -> DataFrame:
         """source_path, error of the files that could not be parsed."""
         return self.table("files").where("status = 'failed'").select("source_path", "error")
 
-    def refresh(self, profile: str = "legal") -> None:
-        """Derive the outputs anew: payloads and reports of documents, and the collection's metadata, previews, summary and report."""
-        docs, blocks, entries, rows, master = (self.table(name) for name in ("documents", "blocks", "entries", "catalog", "master_index"))
-        self.save("payloads", payloads.payloads(docs, blocks, entries, rows.select("doc_id", "summary")))
-        self.save("reports", writers.reports(docs, blocks, entries))
+    def refresh(self, profile: str = "legal", documents: bool = True) -> None:
+        """Derive the outputs anew: payloads and reports of documents (unless they stand), and the collection's metadata, previews, summary and report."""
+        docs, entries, rows, master = (self.table(name) for name in ("documents", "entries", "catalog", "master_index"))
+        for name, df in self._outputs():
+            if documents or not self.has(name):
+                self.save(name, df())
         counts = catalog.collection_counts(rows)
         if self.has("chunks"):
             counts = counts.join(F.broadcast(vectors.embedding_stats(self.chunks()).drop("archetype_counts")), how="full")
@@ -182,7 +223,7 @@ class Collection:
         self.write_text("summary.md", writers.collection_markdown(name, summary, first, tree, found))
         self.write_text("report.html", writers.collection_html(name, first, tree, found))
 
-    def build_embeddings(self, force: bool = False, size: int = vectors.VECTOR_SIZE) -> dict[str, int]:
+    def build_embeddings(self, force: bool = False, size: int = vectors.VECTOR_SIZE, documents: bool = True) -> dict[str, int]:
         """Vectors of all chunks; stored ones are kept where the chunk's text is the same. The outputs follow."""
         self.ensure_chunks()
         own = self.table("chunks").select("chunk_id", vectors.context_text(self.table("chunks")).alias("context"))
@@ -190,7 +231,7 @@ class Collection:
         old = self.table("embeddings").select("chunk_id", "text_fingerprint", "vector") if self.has("embeddings") else self.spark.createDataFrame([], schema)
         made = self.replace("embeddings", vectors.build_embeddings(own, old, size, force).select("chunk_id", "text_fingerprint", "vector", "reused"))
         n = made.agg(F.count("vector").alias("embedding_count"), F.count_if("reused").alias("reused_count"), F.count_if(~F.col("reused") & F.col("vector").isNotNull()).alias("built_count"))
-        self.refresh()
+        self.refresh(documents=documents)
         return n.first().asDict()
 
     def ensure_chunks(self) -> DataFrame:

@@ -226,6 +226,42 @@ def test_files_added_to_a_collection(spark, tmp_path):
     assert c.table("files").count() == 2 and c.table("payloads").count() == 2
 
 
+def test_adding_equals_deriving_all_and_keeps_old_files(spark, tmp_path):
+    from arandu.sources.files import parse_files, scan
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(2):
+        (source / f"d{i}.txt").write_text(f"um texto {i} sobre portos\ne canais\n")
+    c = Collection(spark, str(tmp_path / "one"))
+    c.ingest(str(source))
+    files = lambda name: {p.name: p.stat().st_mtime_ns for p in (tmp_path / "one" / name).glob("part-*")}
+    before = {name: files(name) for name in ("documents", "blocks", "entries", "chunks", "search_records", "payloads", "reports")}
+    (source / "e.txt").write_text("outro texto\n")
+    c.add(parse_files(scan(spark, str(source / "e.txt"))))
+    for name, own in before.items():
+        assert own.items() <= files(name).items(), f"{name}: the others' files stand as they were"
+    whole = Collection(spark, str(tmp_path / "two"))
+    whole.ingest(str(source))
+    for name, columns in (("documents", ["source_path", "archetype"]), ("blocks", ["doc_id", "pos", "text"]), ("entries", ["doc_id", "pos", "title"]), ("search_records", ["source_kind", "file_name", "title", "exact_removed", "near_removed"]), ("payloads", ["doc_id", "content"]), ("reports", ["doc_id"]), ("chunks", ["doc_id", "text"])):
+        assert sorted(map(str, c.table(name).select(columns).collect())) == sorted(map(str, whole.table(name).select(columns).collect())), name
+    assert c.table("metadata").first()["file_count"] == whole.table("metadata").first()["file_count"] == 3
+
+
+def test_replacing_a_table_survives_a_lost_driver(spark, tmp_path):
+    c = Collection(spark, str(tmp_path))
+    c.save("t", spark.range(3))
+    c.replace("t", c.table("t").where("id > 0"))
+    assert c.table("t").count() == 2
+    spark.range(9).write.parquet(f"{tmp_path}/_t_new")  # lost after the new table was whole, before or after the old one went
+    fs, old = c._at("t")
+    fs.delete(old, True)
+    assert c.has("t") and c.table("t").count() == 9
+    spark.range(5).write.parquet(f"{tmp_path}/_t_new")
+    fs.delete(c._at("_t_new/_SUCCESS")[1], True)  # lost before it was whole
+    assert c.table("t").count() == 9 and c.replace("t", spark.range(4)).count() == 4
+
+
 def test_records_without_a_word_score_by_their_length_and_archetype_alone(spark):
     rows = [(f"r{n}", "t" * 3, "x" * n, a) for n, a in ((10, "generic_document"), (60, "generic_document"), (80, "generic_document"), (900, "generic_document"), (1000, "manual_procedural"), (1500, "manual_procedural"), (85, "judicial_case"))]
     df = spark.createDataFrame(rows, "record_id string, title string, text string, archetype string").withColumns({"file_name": F.lit("f"), "file_type": F.lit("txt"), "heading_path": F.array(F.lit("h")), "source_kind": F.lit("block")})
