@@ -23,7 +23,7 @@ def _marks() -> str:
     starts = [i for i in codes if not unicodedata.combining(chr(i - 1))]
     ends = [i for i in codes if not unicodedata.combining(chr(i + 1))]
     ranges = "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in zip(starts, ends, strict=True))
-    return rf"(?:(?=\p{{M}})[{ranges}])+"  # all of them are marks, which is much cheaper to ask than the ranges
+    return rf"(?:(?=[\p{{M}}\p{{Cn}}])[{ranges}])+"  # they are marks, or newer than the JVM: much cheaper to ask than the ranges
 
 
 _MARKS = _marks()
