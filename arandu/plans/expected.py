@@ -1,4 +1,4 @@
-"""Expected rows of the queries on inline legal and manual texts, written from the rules of lines, index and chunks."""
+"""Expected rows of tests on inline legal and manual texts, written from the rules of lines, index and chunks."""
 
 from __future__ import annotations
 

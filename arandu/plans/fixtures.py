@@ -1,4 +1,4 @@
-"""Inline rows for what the tables lack: legal acts, manuals, OFX, OCR words, paths, answers. All texts are invented here."""
+"""Inline rows for tests of what the tables lack: legal acts, manuals, OFX, OCR words, paths, answers. All texts are invented here."""
 
 from __future__ import annotations
 

@@ -10,7 +10,6 @@ from arandu.config import read_env, settings
 from arandu.operators import records, retrieval
 from arandu.operators.answers import answer, citations, service_url
 from arandu.plans.queries import _line_records
-from arandu.plans.registry import QUERIES
 from arandu.sinks.writers import json_text, report_html, result_lines
 from arandu.sources.ocr import ProviderUnavailable, cloud_language, read_image, tesseract_languages
 from arandu.sources.parsers import parse_docx, parse_xlsx
@@ -77,12 +76,6 @@ def test_collection_end_to_end(spark, tmp_path):
     assert c.context("imposto")["total_hits"] <= 6
 
 
-def test_reference_with_letter_stands_above(spark):
-    rows = QUERIES["rerank_legal"](spark, "").collect()
-    ids = [r["chunk_id"] for r in rows]
-    assert ids[0] == "c1" and ("c2" not in ids or ids.index("c2") > ids.index("c1"))
-
-
 def plain_merging(keyed):
     """The rules of records.deduplicate over rows with their keys, by comparison of all classes."""
     classes = {}

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from arandu.plans import queries  # noqa: F401
+from arandu.plans import queries, table_queries  # noqa: F401
 from arandu.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -1,11 +1,11 @@
 import random
 
+from test_inline_rows import CASES, legal_documents
+
 from arandu.operators import structure
 from arandu.operators.blocks import legal_blocks, manual_blocks
 from arandu.operators.lines import Line, looks_legal, looks_manual, manual, normative
 from arandu.plans import fixtures as fx
-from arandu.plans.queries import legal_documents
-from arandu.plans.registry import QUERIES
 from arandu.sources.pages import blocks_of_pages, page_lines, question
 from arandu.sources.parsers import parse_csv, parse_html, parse_ofx, parse_txt, parse_xml
 
@@ -71,7 +71,7 @@ def test_manual_levels_and_groups():
 def test_amending_act_levels(spark):
     docs = legal_documents(spark)
     assert {r["doc_id"]: r["archetype"] for r in docs.select("doc_id", "archetype").collect()} == {1: "legislation_normative", 2: "legislation_amending_act", 3: "generic_document"}
-    rows = QUERIES["legal_index"](spark, "").where("doc_id = 2").orderBy("pos").collect()
+    rows = CASES["legal_index"](spark, "").where("doc_id = 2").orderBy("pos").collect()
     levels = [(r["kind"], r["level"]) for r in rows]
     assert levels[0] == ("preamble", 1) and ("article", 15) in levels and levels[-1] == ("article", 8)
     by_pos = {r["pos"]: r for r in rows}
@@ -81,7 +81,7 @@ def test_amending_act_levels(spark):
 
 
 def test_legal_chunks(spark):
-    rows = QUERIES["legal_chunks"](spark, "").orderBy("chunk_id").collect()
+    rows = CASES["legal_chunks"](spark, "").orderBy("chunk_id").collect()
     assert [r["chunk_id"] for r in rows] == [f"chunk_{i:05d}" for i in range(1, len(rows) + 1)]
     first = [r for r in rows if r["doc_id"] == 1]
     assert len(first) == 4 and first[0]["positions"] == "7,8,9,10,11,12"
