@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.values import ARCHETYPES, PREVIEW_STOPWORDS, RERANK_WEIGHTS
-from ..operators import answers, catalog, chunks, classify, payloads, records, retrieval, structure, vectors
+from ..operators import answers, catalog, chunks, payloads, records, retrieval, structure, vectors
 from ..operators.search_index import SearchIndex
 from ..operators.shared import shared_folder
 from ..operators.vector_cells import VectorCells
