@@ -138,7 +138,7 @@ def tabular_stats(spark, sf_dir):
 
 @query()
 def html_blocks(spark, sf_dir):
-    """Blocks of all pages through the HTML parser; tests hold the parser against a brute-force reading."""
+    """Blocks of all pages through the HTML parser."""
     pages = table(spark, sf_dir, "pages").select("page_id", files.parse_column(F.col("html").cast("binary"), F.lit("html")).alias("p"))
     return pages.select("page_id", "p.mode", F.explode("p.blocks").alias("b")).select("page_id", "mode", "b.pos", "b.kind", "b.title", "b.text", "b.heading_level")
 

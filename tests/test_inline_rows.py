@@ -200,3 +200,24 @@ def test_inline_rows(spark, name):
 def test_reference_with_letter_stands_above(spark):
     ids = [r["chunk_id"] for r in CASES["rerank_legal"](spark, "").collect()]
     assert ids[0] == "c1" and ("c2" not in ids or ids.index("c2") > ids.index("c1"))
+
+
+def test_only_ignored(spark):
+    def asked(*paths):
+        return files.only_ignored(frame(spark, [(p,) for p in paths], "path string")).collect()[0]["only_ignored"]
+
+    assert asked("/a/.gitkeep", "/a/Thumbs.db") and not asked("/a/.gitkeep", "/a/x.txt") and not asked()
+
+
+def test_domain_and_primary_structure(spark):
+    rows = [
+        (1, "legislation_normative", "line_text", ["line"], "legal_normative", "line_text"),
+        (2, "judicial_case", None, ["line"], "judicial_document", "flat_blocks"),
+        (3, "manual_procedural", "", ["article"], "legal_normative", "structured_legal"),
+        (4, "generic_document", None, ["sheet_row"], "tabular_document", "flat_blocks"),
+        (5, "xml_structured", "xml_tree", [], "structured_data_document", "xml_tree"),
+        (6, "generic_document", None, [], "general_text_document", "flat_blocks"),
+    ]
+    given = frame(spark, rows, "id int, archetype string, mode string, kinds array<string>, domain string, structure string")
+    made = given.select("id", "domain", "structure", classify.domain(F.col("archetype"), F.col("mode"), F.col("kinds")).alias("d"), classify.primary_structure(F.col("mode"), F.col("kinds")).alias("s"))
+    assert [(r["id"], r["d"], r["s"]) for r in made.orderBy("id").collect()] == [(r[0], r[4], r[5]) for r in rows]
