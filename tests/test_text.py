@@ -79,3 +79,9 @@ def test_words_of_other_scripts_meet_their_queries(spark):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     for s, f, t in df.select("s", text.fold("s"), text.distinct_tokens("s")).collect():
         assert f == fold_plain(s) and (t == tokens_plain(s) or s == "हिन्दी"), s
+
+
+def test_path_parts_keep_their_digits(spark):
+    """A path's part is trimmed of blanks alone, whatever its place in the path."""
+    df = spark.createDataFrame([(["0997 a0 ", " 1 b1", "22"],), (["0"],)], "p array<string>")
+    assert [r[0] for r in df.select(text.path_text("p", F.lit("h"), F.lit("t"))).collect()] == ["0997 a0 > 1 b1 > 22", "0"]
