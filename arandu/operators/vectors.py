@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from ..functions.values import LEAST_VECTOR_SIZE, VECTOR_SIZE
 #: Features that a worker keeps the places of.
 KEPT_FEATURES = 300_000
 _places: dict[tuple[str, int], tuple[int, int, float]] = {}
+_kept: dict[tuple[str, int], dict[str, int]] = {}
 
 
 def _hash(value: str) -> int:
@@ -34,8 +37,6 @@ def _place(feature: str, size: int) -> tuple[int, int, float]:
 
 def weighted_features(text: str) -> list[tuple[str, float]]:
     """Words, their ends, pairs of words and pieces of three and four characters of a folded text, with weights."""
-    import re
-
     words = [t for t in re.split(r"\W+", text) if len(t) > 1 or t.isdigit()]
     out = []
     for w in words:
@@ -64,12 +65,101 @@ def embed_plain(text: object, size: int = VECTOR_SIZE) -> list[float] | None:
     return [round(float(v), 6) + 0.0 for v in (vector / norm if norm > 0 else vector)]  # + 0.0: no negative zeros
 
 
+#: Characters of texts that are embedded at once, so that a batch of any length takes the same memory.
+EMBEDDED_AT_ONCE = 500_000
+
+
+def _hashes(role: str, features: list[bytes]) -> np.ndarray:
+    digests = b"".join([hashlib.sha1(role.encode() + f).digest() for f in features])
+    return np.frombuffer(digests, dtype=np.uint8).reshape(-1, 20)[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _coded(kind: str, names: list[str], size: int, keep: bool = True) -> np.ndarray:
+    """One row for each feature of a kind: its two places and its sign. A worker keeps those of kinds that come again and again."""
+    kept = _kept.setdefault((kind, size), {})
+    codes = np.array([kept.get(n, -1) for n in names], dtype=np.int64)
+    missing = np.flatnonzero(codes < 0)
+    if len(missing):
+        new = [names[i] for i in missing]
+        features = [f"{kind}::{n}".encode() for n in new]
+        first, second, sign = _hashes("primary::", features) % size, _hashes("secondary::", features) % size, _hashes("sign::", features) % 2
+        codes[missing] = ((first * size + second) * 2 + sign).astype(np.int64)
+        if keep:
+            if len(kept) + len(new) > KEPT_FEATURES:
+                kept.clear()
+            kept.update(zip(new, codes[missing].tolist(), strict=True))
+    return np.stack([codes // 2 // size, codes // 2 % size, 1 - codes % 2 * 2], axis=1)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, values = pd.factorize(keys)
+    return at.astype(np.int64), values
+
+
+def embed_many(texts: list[object], size: int = VECTOR_SIZE) -> list[np.ndarray | None]:
+    """embed_plain of each text: a feature is placed once for all texts that have it, and added in the same order."""
+    size = max(int(size), LEAST_VECTOR_SIZE)
+    folded = [fold_plain(t) for t in texts]
+    split = [[t for t in re.split(r"\W+", f) if len(t) > 1 or t.isdigit()] for f in folded]
+    known = [i for i, words in enumerate(split) if words]
+    out: list[np.ndarray | None] = [None] * len(texts)
+    if not known:
+        return out
+    row = np.repeat(np.arange(len(known)), [len(split[i]) for i in known])
+    at, words = _distinct(np.array([w for i in known for w in split[i]], dtype=object))
+    long = np.array([len(w) >= 4 for w in words])
+    ends = [_coded(kind, [cut(w) for w in words], size) for kind, cut in (("word", str), ("prefix", lambda w: w[:4]), ("suffix", lambda w: w[-4:]))]
+    weights = np.stack([np.array([1.0 + min(len(w), 12) / 24 for w in words]), np.full(len(words), 0.28), np.full(len(words), 0.28)], axis=1)
+    kept = np.stack([np.ones(len(words), dtype=bool), long, long], axis=1)[at]
+    parts = [(np.repeat(row, 3).reshape(-1, 3)[kept], np.stack(ends, axis=1)[at][kept], weights[at][kept])]
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    which, pairs = _distinct(at[pair] * len(words) + at[pair + 1])
+    parts.append((row[pair], _coded("bigram", [f"{words[p // len(words)]}_{words[p % len(words)]}" for p in pairs.tolist()], size, keep=False)[which], np.full(len(pair), 1.35)))
+    # Pieces of three and four characters, as numbers: three characters of 21 bits, then the number of such a piece and one more.
+    runs = [folded[i].replace(" ", "_") for i in known]
+    letters = np.frombuffer("".join(runs).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    of, end = np.repeat(np.arange(len(runs)), [len(r) for r in runs]), np.repeat(np.cumsum([len(r) for r in runs]), [len(r) for r in runs])
+    three = np.flatnonzero(np.arange(len(letters)) + 3 <= end)
+    which, keys = _distinct(letters[three] << 42 | letters[three + 1] << 21 | letters[three + 2])
+    pieces = [chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF) for k in keys.tolist()]
+    parts.append((of[three], _coded("char", pieces, size)[which], np.full(len(three), 0.18)))
+    inside = three + 4 <= end[three]
+    four = three[inside]
+    which, keys = _distinct(which[inside] << 21 | letters[four + 3])
+    parts.append((of[four], _coded("char", [pieces[k >> 21] + chr(k & 0x1FFFFF) for k in keys.tolist()], size)[which], np.full(len(four), 0.12)))
+    rows, places, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    signed, cells = weight * places[:, 2], len(known) * size
+    sums = np.bincount(rows * size + places[:, 0], signed, cells) + np.bincount(rows * size + places[:, 1], 0.45 * signed, cells)
+    for i, vector in zip(known, sums.reshape(-1, size), strict=True):
+        norm = math.sqrt(float(vector @ vector))
+        out[i] = _rounded(vector / norm if norm > 0 else vector)
+    return out
+
+
+def _rounded(values: np.ndarray) -> np.ndarray:
+    """round(v, 6) of each; what lies next to a half is left to round()."""
+    scaled = values * 1e6
+    whole = np.rint(scaled)
+    for i in np.flatnonzero(np.abs(np.abs(scaled - whole) - 0.5) < 1e-5):
+        whole[i] = np.rint(round(float(values[i]), 6) * 1e6)
+    return whole / 1e6 + 0.0  # no negative zeros
+
+
 def embed(text: Text, size: int = VECTOR_SIZE) -> Column:
     """array<double> of embed_plain for a text column, without a shuffle."""
 
     @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series([embed_plain(t, size) for t in texts], dtype=object)
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            held, length = [], 0
+            for t in texts:
+                held.append(t)
+                length += len(t) if t else 1
+                if length >= EMBEDDED_AT_ONCE:
+                    yield pd.Series(embed_many(held, size), dtype=object)
+                    held, length = [], 0
+            if held:
+                yield pd.Series(embed_many(held, size), dtype=object)
 
     return vectors(col(text))
 
@@ -102,10 +192,11 @@ def context_text(chunks: DataFrame) -> Column:
 def plan_embeddings(chunks: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """chunks (chunk_id, context) with text_fingerprint, vector (the stored one if its fingerprint is the same) and reused."""
     now = chunks.withColumn("text_fingerprint", fingerprint("context"))
-    old = stored.select("chunk_id", F.col("text_fingerprint").alias("_old"), F.col("vector").alias("_vector"))
-    same = (F.col("_old") == F.col("text_fingerprint")) & (F.size("_vector") > 0) & ~F.lit(force)
+    # Whether a vector is filled is asked before the join, so that vectors go through it only where they are wanted.
+    old = stored.select("chunk_id", F.col("text_fingerprint").alias("_old"), (F.size("vector") > 0).alias("_filled"), F.col("vector").alias("_vector"))
+    same = (F.col("_old") == F.col("text_fingerprint")) & F.col("_filled") & ~F.lit(force)
     joined = now.join(old, "chunk_id", "left")
-    return joined.withColumn("reused", F.coalesce(same, F.lit(False))).withColumn("vector", F.when(F.col("reused"), F.col("_vector"))).drop("_old", "_vector")
+    return joined.withColumn("reused", F.coalesce(same, F.lit(False))).withColumn("vector", F.when(F.col("reused"), F.col("_vector"))).drop("_old", "_filled", "_vector")
 
 
 def build_embeddings(chunks: DataFrame, stored: DataFrame, size: int = VECTOR_SIZE, force: bool = False) -> DataFrame:

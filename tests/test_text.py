@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from arandu.functions import legal, text
 from arandu.functions.plain import fold_plain, label_plain, tokens_plain
+from arandu.operators import vectors
 from arandu.operators.vectors import cosine, embed, embed_plain
 
 SAMPLES = [None, "", "  ", "Ação  É\tÚltima\n", "ﬁm ½ nº ª", "a_b 9 x 10", "“Citado” texto", "ÀÉÎÕÜ ç ñ ß Œ", "é composto", "１２ ＡＢ", "linha dura"]
@@ -85,3 +86,20 @@ def test_path_parts_keep_their_digits(spark):
     """A path's part is trimmed of blanks alone, whatever its place in the path."""
     df = spark.createDataFrame([(["0997 a0 ", " 1 b1", "22"],), (["0"],)], "p array<string>")
     assert [r[0] for r in df.select(text.path_text("p", F.lit("h"), F.lit("t"))).collect()] == ["0997 a0 > 1 b1 > 22", "0"]
+
+
+def test_vectors_of_many_texts_are_those_of_each(spark):
+    texts = ["taxa de portos", "", None, "a b 1", "Ação, ação! coração de São João", "日本語 テキスト 12", "xx", "the thing " * 50, "a", "Ünïcode   and\n\ntaxa de portos"]
+    for size in (192, 5):
+        assert [None if v is None else v.tolist() for v in vectors.embed_many(texts, size)] == [embed_plain(t, size) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "i int, s string").coalesce(1)
+    assert [r[0] for r in df.orderBy("i").select(embed("s")).collect()] == [embed_plain(t) for t in texts] * 40
+
+
+def test_only_whether_a_vector_is_filled_is_joined(spark):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "chunk_id string, context string")
+    stored = spark.createDataFrame([("a", "x", [1.0]), ("b", "old", [1.0]), ("c", "z", [])], "chunk_id string, t string, vector array<double>")
+    plan = vectors.plan_embeddings(chunks, stored.select("chunk_id", text.fingerprint("t").alias("text_fingerprint"), "vector"))
+    assert {r["chunk_id"]: (r["reused"], r["vector"]) for r in plan.collect()} == {"a": (True, [1.0]), "b": (False, None), "c": (False, None)}
+    joined = plan.select("chunk_id", "reused")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_vector" not in joined
