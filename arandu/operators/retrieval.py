@@ -9,10 +9,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.plain import tokens_plain
 from ..functions.text import filled, path_text, position_text, snippet, squeeze, tokens
 from ..functions.text import locator_path as path_of_locator
 from ..functions.values import LEAST_COSINE, PREVIEW_STOPWORDS
-from .scoring import breakdown, lexical_score, lexical_terms, profile_name, rerank_parts, rerank_score, rerank_signals, terms_struct, with_lexical_inputs, without_lexical_inputs
+from .scoring import CountedFacts, FoldedFacts, breakdown, lexical_score, lexical_terms, profile_name, rerank_parts, rerank_score, rerank_signals, terms_struct, with_lexical_inputs, without_lexical_inputs
 from .vectors import cosine, embed_plain, literal_vector
 
 FILTERS = ("file_type", "archetype", "file_name")
@@ -38,16 +39,20 @@ def search_records(records: DataFrame, query: str, filters: Mapping[str, Any] |
     """The best records: score descending, then shorter texts, file and heading. One narrow stage and a top k."""
     text = F.coalesce(filled("text"), F.col("title"))
     path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ")
-    rows = with_lexical_inputs(records.where(matches(filters)), F.col("title"), path, text, F.col("file_name"), F.col("archetype"))
-    return best_records(rows, query, limit, profile)
+    words = tokens_plain(query)
+    rows = with_lexical_inputs(records.where(matches(filters)), F.col("title"), path, text, F.col("file_name"), F.col("archetype"), words)
+    return best_records(rows, query, limit, profile, CountedFacts(words))
 
 
-def best_records(rows: DataFrame, query: str, limit: int, profile: str) -> DataFrame:
-    """search_records over rows that have what with_lexical_inputs gives, worked out or stored."""
-    terms = lexical_terms(query, F.col("source_kind"), profile)
-    found = rows.withColumn("_terms", terms_struct(terms)).withColumn("score", lexical_score(F.col("_terms"), list(terms))).where("score > 0")
+def best_records(rows: DataFrame, query: str, limit: int, profile: str, facts: FoldedFacts | None = None) -> DataFrame:
+    """search_records over rows that have what with_lexical_inputs gives, worked out or stored.
+
+    Rows without a score are the last, and left out of the best: a filter before these would work out the score twice.
+    """
+    terms = lexical_terms(query, F.col("source_kind"), profile, facts)
+    found = rows.withColumn("_terms", terms_struct(terms)).withColumn("score", lexical_score(F.col("_terms"), list(terms)))
     shown = F.coalesce(filled("heading"), F.col("title")) if "heading" in rows.columns else F.col("title")
-    top = found.withColumn("heading", shown).orderBy(F.desc("score"), "_lex_length", "file_name", "heading", *(c for c in ("seq", "record_id") if c in rows.columns)).limit(limit)
+    top = found.withColumn("heading", shown).orderBy(F.desc("score"), "_lex_length", "file_name", "heading", *(c for c in ("seq", "record_id") if c in rows.columns)).limit(limit).where("score > 0")
     text = F.coalesce(filled("text"), F.col("title"))
     return without_lexical_inputs(top.withColumns({"score_breakdown": breakdown(F.col("_terms"), list(terms)), "snippet": snippet(text, query)})).drop("_terms")
 
@@ -55,11 +60,12 @@ def best_records(rows: DataFrame, query: str, limit: int, profile: str) -> DataF
 def hybrid_candidates(chunks: DataFrame, query: str, filters: Mapping[str, Any] | None = None, query_vector: list[float] | None = None, profile: str = "legal") -> DataFrame:
     """chunks with text_score and vector_score that pass: a text score, or a cosine of 0.12 or more."""
     path = F.coalesce("heading_path", F.array().cast("array<string>"))
-    terms = lexical_terms(query, F.lit("chunk"), profile)
+    words = tokens_plain(query)
+    terms = lexical_terms(query, F.lit("chunk"), profile, CountedFacts(words))
     vector = F.col("vector") if "vector" in chunks.columns else F.lit(None).cast("array<double>")
     near = cosine(vector, literal_vector(query_vector)) if query_vector else F.lit(0.0)
     length = F.coalesce(F.nullif("text_length", F.lit(0)), F.length(squeeze(F.coalesce("text", F.lit(""))))) if "text_length" in chunks.columns else F.length(squeeze(F.coalesce("text", F.lit(""))))
-    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), F.array_join(path, " "), F.col("text"), F.col("file_name"), F.col("archetype"))
+    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), F.array_join(path, " "), F.col("text"), F.col("file_name"), F.col("archetype"), words)
     rows = without_lexical_inputs(rows.withColumn("_terms", terms_struct(terms)))
     out = rows.withColumns({"text_score": lexical_score(F.col("_terms"), list(terms)).cast("double"), "vector_score": near, "has_embedding": vector.isNotNull(), "text_length": length})
     text = path_text("heading_path", "heading", "heading") if "heading_path_text" not in chunks.columns else F.coalesce(filled("heading_path_text"), F.array_join(path, " > "))
@@ -126,10 +132,11 @@ def search_many(chunks: DataFrame, queries: list[str], limit: int = 3, profile:
     profile_name(profile)
     path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ")
     size = vector_size(chunks) if "vector" in chunks.columns else None
-    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), path, F.col("text"), F.col("file_name"), F.col("archetype"))
+    words = list(dict.fromkeys(w for q in queries for w in tokens_plain(q)))
+    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), path, F.col("text"), F.col("file_name"), F.col("archetype"), words)
     scores = []
     for i, q in enumerate(queries):
-        terms = lexical_terms(q, F.lit("chunk"), profile)
+        terms = lexical_terms(q, F.lit("chunk"), profile, CountedFacts(words))
         near = cosine(F.col("vector"), literal_vector(embed_plain(q, size))) if size else F.lit(0.0)
         rows = rows.withColumn(f"_terms{i}", terms_struct(terms))
         scores.append(F.struct(F.lit(i).alias("n"), F.lit(q).alias("query"), lexical_score(F.col(f"_terms{i}"), list(terms)).cast("double").alias("text_score"), near.alias("vector_score")))

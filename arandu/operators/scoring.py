@@ -4,6 +4,7 @@ and a search is one narrow stage of generated code."""
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,20 +39,27 @@ def lookup(values: dict[str, float], key: Column, default: float) -> Column:
 
 def occurrences(folded: Column, word: str) -> Column:
     """Whole-word occurrences; if there are none, occurrences anywhere."""
-    whole = F.regexp_count(folded, F.lit(r"(?<![\p{L}\p{N}_])" + re.escape(word) + r"(?![\p{L}\p{N}_])"))
+    # The word comes first in the pattern: a search for fixed letters is much cheaper than one that looks behind at each.
+    own = re.escape(word)
+    whole = F.regexp_count(folded, F.lit(rf"{own}(?<![\p{{L}}\p{{N}}_]{own})(?![\p{{L}}\p{{N}}_])"))
     anywhere = ((F.length(folded) - F.length(F.replace(folded, F.lit(word), F.lit("")))) / len(word)).cast("int")
-    return F.when(folded.contains(word), F.when(whole > 0, whole).otherwise(anywhere)).otherwise(0)
+    return F.when(folded.contains(word), once(whole, lambda n: F.when(n > 0, n).otherwise(anywhere))).otherwise(0)
 
 
-def with_lexical_inputs(df: DataFrame, title: Column, heading: Column, text: Column, file_name: Column, archetype: Column) -> DataFrame:
+def with_lexical_inputs(df: DataFrame, title: Column, heading: Column, text: Column, file_name: Column, archetype: Column, words: Sequence[str] = ()) -> DataFrame:
     """df with what lexical_terms reads, worked out once for each row: folded texts, references and the text's length.
 
-    heading: the path's parts joined by a blank.
+    heading: the path's parts joined by a blank. words: those whose occurrences in the text are counted here
+    (CountedFacts reads them), beside the folding, which Spark does not repeat in each term and filter that asks for it.
     """
     own = {f"_lex_{k}": fold(c) for k, c in (("title", title), ("heading", heading), ("body", text), ("file", file_name), ("archetype", archetype))}
+    if words:
+        own["_lex_counted"] = once(fold(text), lambda f: F.struct(f.alias("body"), F.array(*(occurrences(f, w) for w in words)).alias("counts")))
+        own.pop("_lex_body")
     refs = {f"_ref_{k}": references(c) for k, c in (("title", title), ("heading", heading), ("body", text))}
     more = {"_ref_primary": primary_reference(title), "_lex_length": F.length(squeeze(F.coalesce(text, F.lit("")))), "_lex_type": archetype}
-    return df.withColumns(own | refs | more)
+    out = df.withColumns(own | refs | more)
+    return out.withColumns({"_lex_body": F.col("_lex_counted.body"), "_lex_counts": F.col("_lex_counted.counts")}).drop("_lex_counted") if words else out
 
 
 def without_lexical_inputs(df: DataFrame) -> DataFrame:
@@ -83,6 +91,16 @@ class FoldedFacts:
         return F.col("_lex_type")
 
 
+class CountedFacts(FoldedFacts):
+    """The same where with_lexical_inputs has counted the words."""
+
+    def __init__(self, words: Sequence[str]):
+        self.words = list(words)
+
+    def count(self, word: str) -> Column:
+        return F.get(F.col("_lex_counts"), F.lit(self.words.index(word)))
+
+
 def lexical_terms(query: str, source_kind: Column, profile: str = "legal", facts: FoldedFacts | None = None) -> dict[str, Column]:
     """The terms of the score over with_lexical_inputs (or other facts), each an int column that is 0 where it does not apply."""
     profile, whole, words, facts = profile_name(profile), fold_plain(query), tokens_plain(query), facts or FoldedFacts()
