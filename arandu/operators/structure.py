@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +105,9 @@ def block_paths(blocks: DataFrame, key: str = "doc_id", hierarchy: Column | None
     return heading_stack(blocks, key).withColumn("path", F.filter(path, lambda x: x != ""))
 
 
+#: Acts whose blocks a worker holds as Python values at once.
+ACTS_AT_ONCE = 64
+
 #: States of an amending act's reader: outside a change, under an article that announces one, inside the changed text;
 #: (state, event) -> (whether the block is of the changed act, next state).
 _PLAIN, _ANNOUNCED, _INSIDE = "plain", "announced", "inside"
@@ -169,9 +173,11 @@ def _amending_levels(blocks: list[dict]) -> list[int | None]:
 def amending_levels(blocks: Column) -> Column:
     """array<int> of levels for an array of blocks in order."""
 
-    @F.pandas_udf("array<int>")
-    def levels(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else _amending_levels([x if isinstance(x, dict) else x.asDict() for x in r]) for r in rows], dtype=object)
+    @F.arrow_udf("array<int>")
+    def levels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for rows in batches:
+            for i in range(0, len(rows), ACTS_AT_ONCE):
+                yield pa.array([None if r is None else _amending_levels(r) for r in rows.slice(i, ACTS_AT_ONCE).to_pylist()], pa.list_(pa.int32()))
 
     fields = ("kind", "title", "text", "amendment_context", "starts_with_quote")
     return levels(F.transform(blocks, lambda b: F.struct(*(b[f].alias(f) for f in fields), b["locator"]["article"].alias("article"))))
@@ -183,7 +189,7 @@ def index_entries(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     Legal texts are indexed by device, manuals by heading, others block by block at level 1; so are texts without devices
     or headings. A preamble is a root that nothing lies under.
     """
-    docs = documents.select(key, "archetype", "blocks", F.when(F.col("archetype") == ARCHETYPES[1], amending_levels(F.col("blocks"))).alias("levels"))
+    docs = documents.select(key, "archetype", "blocks", amending_levels(F.when(F.col("archetype") == ARCHETYPES[1], F.col("blocks"))).alias("levels"))  # only these reach Python
     rows = docs.select(key, "archetype", F.posexplode("blocks").alias("i", "block"), "levels")
     kind, level = F.col("block.kind"), F.coalesce(F.col("block.heading_level"), F.lit(1))
     by_type = (
