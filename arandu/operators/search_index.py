@@ -32,7 +32,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.legal import references_plain
 from ..functions.plain import fold_plain, tokens_plain
-from ..functions.text import NON_WORD, filled
+from ..functions.text import NON_WORD, filled, once
 from ..functions.values import SOURCE_BOOST
 from .retrieval import best_records, matches
 from .scoring import FoldedFacts, lexical_score, lexical_terms, profile_name, terms_struct, with_lexical_inputs
@@ -51,6 +51,9 @@ MOST_NAMED = 400
 MOST_WORDS = 20_000
 #: Postings that are scored without a look at blocks, and candidates that the driver takes before it asks Spark to join them.
 FEW_POSTINGS, TAKEN = 200_000, 2_000
+#: Postings for each row of the index from which on its rows are read as they are: most rows have a word of the query,
+#: and to score their folded texts is one narrow stage, while postings must be grouped by row.
+SCANNED = 0.25
 #: Blocks whose rows give the first bound of the k-th score.
 FIRST_BLOCKS = 64
 GRAM = 3
@@ -64,6 +67,16 @@ def _words(c: str) -> Column:
     return F.filter(F.split(F.col(c), NON_WORD), lambda w: w != "")
 
 
+def _counted_words(x: Column) -> Column:
+    """word, fields and n (how often it is in the text) of each distinct word of a row: of its text, in order, and of its fields."""
+    starts = F.filter(F.transform(x["body"], lambda w, i: F.when((i == 0) | (F.get(x["body"], i - 1) != w), i)), lambda i: i.isNotNull())
+    runs = once(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(x["body"], i).alias("word"), (F.coalesce(F.get(at, j + 1), F.size(x["body"])) - i).alias("n"))))
+    others = F.array_except(F.concat(*(x[k] for k in FIELDS)), x["body"])
+    bits = lambda w: reduce(lambda a, b: a + b, [F.array_contains(x[k], w).cast("int") * bit for k, bit in FIELDS.items()])
+    every = F.concat(runs, F.transform(others, lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"))))
+    return F.transform(every, lambda e: F.struct(e["word"].alias("word"), bits(e["word"]).alias("fields"), e["n"].alias("n")))
+
+
 def _named(column: str, values: list, most: int = MOST_NAMED) -> Column:
     """A filter that Parquet can use: the values of a sorted column, or where they are more than `most` the ranges with
     the fewest others between."""
@@ -148,19 +161,16 @@ class SearchIndex:
         self._write("rows", rows, "row_part")
 
     def _put_postings(self, rows: DataFrame) -> None:
-        """One shuffle by word and key, one by ranges of word and block; a frequent word is dealt out by its blocks."""
+        """Words are counted in their row; one shuffle by ranges of word and block, so that a frequent word is dealt out by its blocks."""
         keep = ["row_key", "length", "source_kind", "file_type", "archetype"]
         own = rows.withColumn("length", F.col("_lex_length"))
-        marked = lambda words, bits: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(bits).alias("fields")))
-        reference = lambda kind, refs: F.transform(refs, lambda r: F.struct(F.concat(F.lit(f"{REFERENCE}{kind}:"), r).alias("word"), F.lit(0).alias("fields")))
+        reference = lambda kind, refs: F.transform(refs, lambda r: F.struct(F.concat(F.lit(f"{REFERENCE}{kind}:"), r).alias("word"), F.lit(0).alias("fields"), F.lit(1).alias("n")))
         entries = F.concat(
-            *(marked(F.array_distinct(_words(f"_lex_{k}")), bit) for k, bit in FIELDS.items()),
-            marked(_words("_lex_body"), 0),
+            once(F.struct(F.sort_array(_words("_lex_body")).alias("body"), *(_words(f"_lex_{k}").alias(k) for k in FIELDS)), _counted_words),
             *(reference(k, F.col(f"_ref_{k}")) for k in ("title", "heading", "body")),
             reference("primary", F.array_compact(F.array("_ref_primary"))),
         )
-        each = own.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.word", "e.fields")
-        counted = each.groupBy("word", *keep).agg(F.bit_or("fields").alias("fields"), F.count(F.when(F.col("fields") == 0, 1)).cast("int").alias("n"))
+        counted = own.select(*keep, F.explode(entries).alias("e")).select("e.word", *keep, "e.fields", "e.n")
         block = counted.withColumn("block", F.shiftright("row_key", BLOCK_BITS)).withColumn("shard", _shard(F.col("word")))
         ranged = block.repartitionByRange("shard", "word", "block").sortWithinPartitions("shard", "word", "block", "row_key")
         made = ranged.groupBy("shard", "word", "block").agg(
@@ -241,10 +251,14 @@ class SearchIndex:
         return own.select(*keep, "low", "high")
 
     def candidates(self, query: str, filters: Mapping[str, Any] | None, limit: int, profile: str) -> DataFrame | list[int] | None:
-        """row_key of all rows that can be among the `limit` best, and few others; None for a query without a word."""
+        """row_key of all rows that can be among the `limit` best, and few others; None for all rows: if the query has no
+        word, or words that stand in too many rows."""
         whole, words, asked = fold_plain(query), tokens_plain(query), _asked(query, profile)
         if not words:
             return None
+        held = self.words_with(words).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        if held > FEW_POSTINGS and held >= SCANNED * self.table("rows").count():
+            return None
         args = (words, whole, asked, query, profile)
         fit = matches({k: v for k, v in (filters or {}).items() if k != "file_name"})
         named = self.table("rows").where(matches(filters)).select("row_key") if (filters or {}).get("file_name") else None

@@ -24,3 +24,26 @@ def test_a_search_counts_each_word_once(spark):
     for name in ("search_topk_scan", "rerank_generic", "grounding"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract_all") == len(tokens_plain(Q.TOPIC)), name
+
+
+def test_a_query_of_frequent_words_reads_the_indexed_rows(spark, tmp_path, monkeypatch):
+    from arandu.operators import retrieval, search_index
+
+    rows = Q.line_chunks(spark, SF).withColumns({"title": F.col("heading"), "record_id": F.col("chunk_id")})
+    index = search_index.SearchIndex(spark, str(tmp_path)).build(rows)
+    monkeypatch.setattr(search_index, "FEW_POSTINGS", 10)
+    assert index.candidates(Q.TOPIC, None, 10, "generic") is None
+    names = ["doc_id", "grp", "score"]
+    expected = [tuple(r[n] for n in names) for r in retrieval.search_records(rows, Q.TOPIC, limit=10, profile="generic").collect()]
+    for share in (search_index.SCANNED, 1_000_000):  # by the rows, by the postings
+        monkeypatch.setattr(search_index, "SCANNED", share)
+        assert [tuple(r[n] for n in names) for r in index.search(Q.TOPIC, None, 10, "generic").collect()] == expected
+
+
+def test_only_amending_acts_reach_python(spark):
+    from arandu.operators import structure
+    from arandu.plans import table_queries
+
+    plan = structure.index_entries(table_queries.acts(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    call = plan[plan.index("levels(") :]
+    assert call.startswith("levels(CASE WHEN") or "CASE WHEN" in call[:200]
