@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 MAGIC = b"BITSHRD1"
 GROUP = 64
 BLOCK = GROUP * 1024
@@ -230,13 +232,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("bitpack", path), lambda: Encoder(path))
 
 
 def grouped(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, held
 
 #: Most words a worker keeps the ids of.
 CACHE_WORDS = 250_000
@@ -223,14 +223,9 @@ class Codec:
         return " ".join([label[i] for i in ids.tolist()])
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The codec of a file, compiled once in each worker process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("automaton", path), lambda: Codec(path))
 
 
 def encode_column(text: str | Column, path: str) -> Column:

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, held
 
 #: States, remembered pairs of tokens and words that a worker keeps, at most.
 MOST_STATES, MOST_PAIRS, MOST_WORDS = 250_000, 400_000, 600_000
@@ -316,14 +316,9 @@ class Codec:
         return self.decoder.text(ids) + self.decoder.end()
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The codec of a file, compiled once in each worker process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return held(("transducer", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode_column(text: str | Column, path: str, pattern: str) -> Column:

@@ -1,9 +1,12 @@
-"""Helpers shared by the operators: shared-folder tables, bounded samples, guarded broadcasts."""
+"""Helpers shared by the operators: shared-folder tables, bounded samples, guarded broadcasts, what a worker holds."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +119,25 @@ def bounded(df: DataFrame, most: int, *keys: Column) -> DataFrame:
 def small_side(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if its rows, as counted or as bounded() holds them, are at most `most` narrow ones; else df for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+#: What this process holds, and the task that used it last (None: the driver).
+_held: dict[Hashable, Any] = {}
+_used_by: dict[Hashable, int | None] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once in a worker process and held from task to task.
+
+    A task lets go of what only earlier tasks have used, so that a worker that serves one operator after another holds
+    what the running one has learned, not the sum of all.
+    """
+    context = TaskContext.get()
+    task = context.taskAttemptId() if context else None
+    if key not in _held or _used_by[key] != task:
+        for k in [k for k, t in _used_by.items() if t != task and k != key]:
+            del _held[k], _used_by[k]
+        if key not in _held:
+            _held[key] = make()
+        _used_by[key] = task
+    return _held[key]

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_stored, free_name, hash_fraction, small_side, stored
+from .common import drop_stored, free_name, hash_fraction, held, small_side, stored
 
 DIM = 1024
 SEED = 20_011
@@ -119,14 +119,8 @@ class Encoder:
             self.rows, self.n_rows = np.empty((0, self.dim), np.int8), 0
 
 
-_encoders: dict[tuple[int, int], Encoder] = {}
-
-
 def _encoder(dim: int, seed: int) -> Encoder:
-    key = (dim, seed)
-    if key not in _encoders:
-        _encoders[key] = Encoder(dim, seed)
-    return _encoders[key]
+    return held(("bundles", dim, seed), lambda: Encoder(dim, seed))
 
 
 def batches(texts: list[str], rows: int = 64, chars: int = 400_000) -> Iterator[tuple[int, list[str]]]:
@@ -141,13 +135,13 @@ def batches(texts: list[str], rows: int = 64, chars: int = 400_000) -> Iterator[
         yield at, texts[at:]
 
 
-def unit_bundles(encoder: Encoder, texts: list[str]) -> np.ndarray:
-    out = np.zeros((len(texts), encoder.dim), np.float32)
+def unit_bundles(encoder: Encoder, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first index, unit vectors) of some texts at a time: those of all texts of an Arrow batch are 12 KB each."""
     for at, some in batches(texts):
-        out[at : at + len(some)] = encoder.bundle(some)
-    norm = np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64))
-    norm[norm == 0] = 1
-    return out / norm[:, None]
+        out = encoder.bundle(some)
+        norm = np.sqrt(np.einsum("ij,ij->i", out, out, dtype=np.float64))
+        norm[norm == 0] = 1
+        yield at, out / norm[:, None]
 
 
 class Prototypes:
@@ -160,12 +154,12 @@ class Prototypes:
         encoder, out, scores = _encoder(self.dim, self.seed), [], np.zeros(len(texts))
         if not self.langs:
             return ["und"] * len(texts), scores
-        own = unit_bundles(encoder, texts)
-        cosines = own @ self.vectors.T
-        best = cosines.argmax(axis=1)
-        known = own.any(axis=1)
-        scores = np.where(known, np.clip(cosines[np.arange(len(texts)), best], 0, 1), 0).astype(float)
-        out = [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+        for at, own in unit_bundles(encoder, texts):
+            cosines = own @ self.vectors.T
+            best = cosines.argmax(axis=1)
+            known = own.any(axis=1)
+            scores[at : at + len(own)] = np.where(known, np.clip(cosines[np.arange(len(own)), best], 0, 1), 0)
+            out += [self.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
         return out, scores
 
     def column(self, text: str | Column) -> Column:
@@ -206,7 +200,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     chosen = rows.join(small_side(sizes, sizes.count()), "lang").where(hash_fraction(part, F.col("key"), F.col("text"))).select("lang", "text")
 
     def bundles(group: pd.DataFrame) -> np.ndarray:
-        return unit_bundles(_encoder(dim, seed), group["text"].tolist()).sum(axis=0, dtype=np.float64)
+        return sum((own.sum(axis=0, dtype=np.float64) for _, own in unit_bundles(_encoder(dim, seed), group["text"].tolist())), np.zeros(dim))
 
     def sums(group: pd.DataFrame) -> np.ndarray:
         return sum(np.frombuffer(v, "<f8") for v in group["vector"])
@@ -225,7 +219,7 @@ def with_random_letters(model: Prototypes, words: int = 20_000) -> Prototypes:
     rng = np.random.default_rng(model.seed)
     letters = rng.integers(ord("a"), ord("z") + 1, (words, 9), dtype=np.uint8)
     text = " ".join(bytes(row[:n]).decode() for row, n in zip(letters, rng.integers(2, 10, words), strict=True))
-    own = unit_bundles(_encoder(model.dim, model.seed), [text])
+    own = next(unit_bundles(_encoder(model.dim, model.seed), [text]))[1]
     return Prototypes([*model.langs, "und"], np.concatenate((model.vectors, own)), model.dim, model.seed)
 
 

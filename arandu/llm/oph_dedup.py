@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, small_side, stored
+from .common import drop_stored, held, small_side, stored
 from .components import connected_components
 
 WORDS = 5
@@ -85,15 +85,12 @@ class Hasher:
         return _mixed((_mixed(rows) * odd).sum(axis=1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
-_hashers: dict[tuple[int, int], Hasher] = {}
-
-
 def signatures(docs: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
     """key, n_shingles, class (digest of the set), bands (array of bucket keys)."""
 
     @F.pandas_udf("n_shingles long, class binary, bands array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        hasher = _hashers.setdefault((bands, rows), Hasher(bands, rows)) if (bands, rows) not in _hashers else _hashers[bands, rows]
+        hasher = held(("hasher", bands, rows), lambda: Hasher(bands, rows))
         out = []
         for t in texts:
             own = shingle_set(t, k)

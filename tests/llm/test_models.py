@@ -1,11 +1,13 @@
 import re
+import tracemalloc
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from arandu.llm import decision_list, fm_quality, hdc_langid, license_scan, url_gbt
+from arandu.llm import common, decision_list, fm_quality, hdc_langid, license_scan, url_gbt
 from arandu.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -19,6 +21,35 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_of_many_texts_takes_little_memory():
+    texts = [f"the cat and dog {'abcdefghij'[i % 10]}" for i in range(4000)]
+    model = hdc_langid.Prototypes(["en"], np.ones((1, hdc_langid.DIM)))
+    one_by_one = [model.predict([t])[1][0] for t in texts[:200]]
+    tracemalloc.start()
+    langs, scores = model.predict(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10e6  # the vectors of all texts take 48 MB
+    assert len(langs) == len(scores) == 4000 and np.allclose(scores[:200], one_by_one)
+
+
+def test_a_task_lets_go_of_what_earlier_tasks_held(spark):
+    @F.pandas_udf("array<string>")
+    def both(ids):
+        for name in ("x", "y"):
+            common.held(name, object)
+        return pd.Series([sorted(k for k in common._held if isinstance(k, str))] * len(ids))
+
+    @F.pandas_udf("array<string>")
+    def other(ids):
+        made = [common.held("z", object) for _ in range(2)]
+        return pd.Series([sorted(k for k in common._held if isinstance(k, str)) + ["once"] * (made[0] is made[1])] * len(ids))
+
+    rows = spark.range(4).coalesce(1)
+    assert rows.select(both("id").alias("k")).distinct().collect()[0]["k"] == ["x", "y"]
+    assert rows.select(other("id").alias("k")).distinct().collect()[0]["k"] == ["z", "once"]
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en", 9), (2, "der hund und die katze", "de", 9), (3, "the end", None, 9), (4, None, "en", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
