@@ -41,7 +41,7 @@ CACHE_WORDS = 800_000
 LONGEST_KEPT = 100
 #: Texts of these characters are split at spaces here and their words looked up; others go to the library whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ſ]*")
-UNEVEN = re.compile(r" [\t\n\r ]|[\t\n\r] ")
+UNEVEN = ["  ", *(pair for c in "\n\t\r" for pair in (f" {c}", f"{c} "))]
 CHUNKS = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 
 
@@ -186,7 +186,9 @@ class Encoder:
         self.vocabulary = max(size, max(self.library.get_vocab(with_added_tokens=True).values()) + 1)
         self.kind = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Ids of words, and of those of the half before: at most CACHE_WORDS in both.
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         #: Bytes of each token: a byte-level vocabulary has one letter for each.
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
@@ -195,11 +197,9 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         """Encode chunks, many in one call: those that begin with one space and have other characters at both ends keep
         their ids in a row, and the tokens' byte lengths tell where each ends."""
-        if len(self.kept) + len(chunks) > CACHE_WORDS:
-            self.kept.clear()
         rows = [c for c in chunks if len(c) > 1 and c[0] == " " and c[1] not in " \t\n\r" and c[-1] not in " \t\n\r"]
-        for at in range(0, len(rows), 4096):
-            some = rows[at : at + 4096]
+        for at in range(0, len(rows), 256):
+            some = rows[at : at + 256]
             ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(c.encode()) for c in some])) + 1
             data, last = ids.astype(self.kind).tobytes(), 0
@@ -210,22 +210,33 @@ class Encoder:
         for c, e in zip(others, self.library.encode_batch(list(others), add_special_tokens=False), strict=True):
             self.kept[c] = np.array(e.ids, self.kind).tobytes()
 
+    def _chunks(self, text: str) -> list[str] | None:
+        """Parts of a text that the library splits there too; None: it has to see the whole text."""
+        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        if any(pair in text for pair in UNEVEN):
+            return CHUNKS.findall(text)
+        return text.replace(" ", "\0 ").split("\0")  # each word but the first with its space
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            if not PLAIN.fullmatch(t) or any(s in t for s in self.special):
-                split.append(None)
-            elif UNEVEN.search(t):
-                split.append(CHUNKS.findall(t))
-            else:
-                words = t.replace(" ", "\0 ").split("\0")  # each word but the first with its space
-                split.append(words)
+        split = [self._chunks(t) for t in texts]
+        # each chunk is looked up once; places of chunks that are not kept stay None until these are learned
+        found = [None if chunks is None else list(map(self.kept.get, chunks)) for chunks in split]
+        gaps = [(k, [i for i, ids in enumerate(own) if ids is None]) for k, own in enumerate(found) if own and None in own]
+        missing = {split[k][i] for k, places in gaps for i in places}
+        old = {}
+        if len(self.kept) + len(missing) > CACHE_WORDS // 2:  # the words of late stay in reach, and come back as they are met
+            old, self.before, self.kept = self.before, self.kept, {}
+        for c in [c for c in missing if c in self.before or c in old]:
+            self.kept[c] = self.before[c] if c in self.before else old[c]
+            missing.remove(c)
+        self._learn(list(missing))
         kept = self.kept
-        missing = {c for chunks in split if chunks for c in chunks if c not in kept}
-        if missing:
-            needed = {c for chunks in split if chunks for c in chunks} if len(kept) + len(missing) > CACHE_WORDS else missing
-            self._learn(list(needed))
-        out = [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) if chunks is None else np.frombuffer(b"".join([kept[c] for c in chunks]), self.kind) for t, chunks in zip(texts, split, strict=True)]
+        for k, places in gaps:
+            own, chunks = found[k], split[k]
+            for i in places:
+                own[i] = kept[chunks[i]]
+        out = [np.array(self.library.encode(t, add_special_tokens=False).ids, self.kind) if own is None else np.frombuffer(b"".join(own), self.kind) for t, own in zip(texts, found, strict=True)]
         for c in missing:
             if len(c) > LONGEST_KEPT:
                 kept.pop(c, None)

@@ -284,3 +284,14 @@ def test_a_shared_folder_is_asked_for(spark):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Cluster)
     assert common.shared_dir(spark).endswith("/tmp/checkpoints")
+
+
+def test_shard_words_of_late_outlast_a_full_cache(monkeypatch):
+    monkeypatch.setattr(bitpack, "CACHE_WORDS", 40)
+    own = bitpack.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    calls, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: (calls.extend(chunks), learn(chunks)))
+    texts = [f"the cat w{k}x{i}  and\tthe dog\n end w{i}" for k in range(4) for i in range(8)] + [f" v{i} u{i}" for i in range(40)] + ["", " ", "a\0b c"]
+    for t in texts:
+        assert own.encode([t])[0].tolist() == own.library.encode(t, add_special_tokens=False).ids
+    assert calls.count(" dog") == calls.count("the") == calls.count("") == 1 and len(own.kept) + len(own.before) <= 40
