@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from arandu.functions.plain import tokens_plain
 from arandu.plans import queries as Q
 from arandu.plans.registry import QUERIES
-from arandu.sources import files
+from arandu.sources import files, ocr
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +47,32 @@ def test_only_amending_acts_reach_python(spark):
     plan = structure.index_entries(table_queries.acts(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
     call = plan[plan.index("levels(") :]
     assert call.startswith("levels(CASE WHEN") or "CASE WHEN" in call[:200]
+
+
+def test_words_of_lines_are_not_shuffled(spark):
+    from arandu.plans import table_queries  # noqa: F401  registers them
+
+    grouped, counted = (QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString() for name in ("ocr_line_grouping", "ocr_stats"))
+    assert "Exchange" not in grouped and "collect_list" not in counted
+
+
+def test_adjacent_words_give_the_lines_of_words_anywhere(spark):
+    def word(key, i):
+        text = [None, "", "  ", " a ", "é\u00a0", "zz", "b"][(i * 5 + (key or 0)) % 7]
+        conf = [None, -1.0, 0.5, 96.0, 1.0, 13.0, 0.0][(i * 3) % 7]
+        return (None if i // 9 == 1 else i // 40, 1, 1, i // 9, None if i % 8 == 5 else (i * 7) % 5, text, conf, None if key == 3 else i * 3 % 50, i % 4, 7, None if key == 3 else i % 6)
+
+    results = [(key, "x" if key else None, [word(key, i) for i in range(n)]) for key, n in ((None, 30), (0, 0), (1, 1), (2, 100), (3, 25), (4, 7))]
+    fields = "page int, block int, par int, line int, seq int, text string, conf double, left int, top int, width int, height int"
+    rows = spark.createDataFrame(results, f"key int, name string, words array<struct<{fields.replace(' int', ':int').replace(' string', ':string').replace(' double', ':double')}>>")
+    words = rows.select("key", "name", F.inline("words"))
+    expected = sorted(map(repr, ocr.group_words(words, "key", "name").collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for most in ("1", "4", before):  # lines end in a later batch, or many are in one
+            spark.conf.set(size, most)
+            assert sorted(map(repr, ocr.group_adjacent_words(words, "key", "name").collect())) == expected and len(expected) > 20
+    finally:
+        spark.conf.set(size, before)
+    assert ocr.group_adjacent_words(words.where("key = 0"), "key").collect() == []
