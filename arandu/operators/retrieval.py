@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from functools import reduce
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +15,11 @@ from ..functions.text import filled, path_text, position_text, snippet, squeeze,
 from ..functions.text import locator_path as path_of_locator
 from ..functions.values import LEAST_COSINE, PREVIEW_STOPWORDS
 from .scoring import CountedFacts, FoldedFacts, breakdown, lexical_score, lexical_terms, profile_name, rerank_parts, rerank_score, rerank_signals, terms_struct, with_lexical_inputs, without_lexical_inputs
-from .vectors import cosine, embed_plain, literal_vector
+from .vectors import cosine, embed, embed_plain, literal_vector
 
 FILTERS = ("file_type", "archetype", "file_name")
+#: Chunks that a filter names.
+MOST_NAMED = 1_000
 
 
 def matches(filters: Mapping[str, Any] | None) -> Column:
@@ -124,26 +127,63 @@ def preview(chunks: DataFrame, profile: str = "legal", per_query: int = 3) -> li
     return [(q, search_chunks(chunks, q, limit=per_query, profile=profile)) for q in queries]
 
 
-def search_many(chunks: DataFrame, queries: list[str], limit: int = 3, profile: str = "legal", filters: Mapping[str, Any] | None = None) -> DataFrame:
-    """Results of several queries, known on the driver, in one scan of the chunks: query, rank and the chunk's columns.
-
-    Each chunk gets an array of its scores; an explode and a top k for each query follow.
+def least_scores(rows: DataFrame, queries: int, limit: int) -> list[float]:
+    """For each query the limit-th largest of its scores (an array, _scores) above 0; 0 if there are fewer. Scores are whole
+    numbers within narrow bounds, so that they are counted by value."""
+    counts = rows.select(F.posexplode("_scores").alias("n", "score")).where("score > 0").groupBy("n", "score").count().collect()
+    least = []
+    for n in range(queries):
+        left, cut = limit, 0.0
+        for score, count in sorted(((r["score"], r["count"]) for r in counts if r["n"] == n), reverse=True):
+            left -= count
+            if left <= 0:
+                cut = score
+                break
+        least.append(cut)
+    return least
+
+
+def search_many(chunks: DataFrame, queries: list[str], limit: int = 3, profile: str = "legal", filters: Mapping[str, Any] | None = None, embed_size: int | None = None) -> DataFrame:
+    """Results of several queries, known on the driver, over all of them at once: query, rank and the chunk's columns.
+
+    Each chunk gets an array of its scores; an explode and a top k for each query follow. With embed_size, chunks have no
+    vector but a context, which is embedded in that size only where the cosine can matter: as text scores come first, in
+    chunks whose text score reaches a query's limit-th best. A scan finds these scores, and one more the chunks: few by
+    their ids, many by their scores. A query that fewer chunks have a text score for asks for the cosines of all.
     """
     profile_name(profile)
     path = F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), " ")
-    size = vector_size(chunks) if "vector" in chunks.columns else None
+    size = embed_size or (vector_size(chunks) if "vector" in chunks.columns else None)
     words = list(dict.fromkeys(w for q in queries for w in tokens_plain(q)))
-    rows = with_lexical_inputs(chunks.where(matches(filters)), F.col("heading"), path, F.col("text"), F.col("file_name"), F.col("archetype"), words)
-    scores = []
-    for i, q in enumerate(queries):
-        terms = lexical_terms(q, F.lit("chunk"), profile, CountedFacts(words))
-        near = cosine(F.col("vector"), literal_vector(embed_plain(q, size))) if size else F.lit(0.0)
-        rows = rows.withColumn(f"_terms{i}", terms_struct(terms))
-        scores.append(F.struct(F.lit(i).alias("n"), F.lit(q).alias("query"), lexical_score(F.col(f"_terms{i}"), list(terms)).cast("double").alias("text_score"), near.alias("vector_score")))
-    rows = without_lexical_inputs(rows)
-    own = rows.withColumn("_hit", F.explode(F.array(*scores))).drop(*(f"_terms{i}" for i in range(len(queries)))).where((F.col("_hit.text_score") > 0) | (F.col("_hit.vector_score") >= LEAST_COSINE))
+
+    def scored(own: DataFrame) -> DataFrame:
+        rows = with_lexical_inputs(own, F.col("heading"), path, F.col("text"), F.col("file_name"), F.col("archetype"), words)
+        scores = []
+        for i, q in enumerate(queries):
+            terms = lexical_terms(q, F.lit("chunk"), profile, CountedFacts(words))
+            rows = rows.withColumn(f"_terms{i}", terms_struct(terms))
+            scores.append(lexical_score(F.col(f"_terms{i}"), list(terms)).cast("double"))
+        return without_lexical_inputs(rows).withColumn("_scores", F.array(*scores)).drop(*(f"_terms{i}" for i in range(len(queries))))
+
+    asked = chunks.where(matches(filters))
+    rows, least = scored(asked), [0.0] * len(queries)
+    if embed_size:
+        found = rows.select("chunk_id", "_scores").persist(StorageLevel.DISK_ONLY)
+        try:
+            least = least_scores(found, len(queries), limit)
+            reached = reduce(lambda a, b: a | b, [F.get("_scores", F.lit(i)) >= cut for i, cut in enumerate(least)], F.lit(False))
+            ids = [r["chunk_id"] for r in found.where(reached).select("chunk_id").limit(MOST_NAMED + 1).collect()]
+        finally:
+            found.unpersist()
+        if len(ids) <= MOST_NAMED and None not in ids:
+            rows = scored(asked.where(F.col("chunk_id").isin(ids)))
+        rows = rows.where(reached).withColumn("vector", embed("context", embed_size))
+    near = [cosine(F.col("vector"), literal_vector(embed_plain(q, size))) if size else F.lit(0.0) for q in queries]
+    hits = [F.struct(F.lit(i).alias("n"), F.lit(q).alias("query"), F.get("_scores", F.lit(i)).alias("text_score"), near[i].alias("vector_score"), F.lit(least[i]).alias("least")) for i, q in enumerate(queries)]
+    own = rows.withColumn("_hit", F.explode(F.array(*hits))).drop("_scores")
+    own = own.where((F.col("_hit.text_score") >= F.col("_hit.least")) & ((F.col("_hit.text_score") > 0) | (F.col("_hit.vector_score") >= LEAST_COSINE)))
     order = Window.partitionBy("n").orderBy(F.desc("text_score"), F.desc("vector_score"), F.length("text"), "chunk_id")
-    return own.select("*", "_hit.*").drop("_hit").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return own.select("*", "_hit.*").drop("_hit", "least").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def block_filter(blocks: DataFrame, text: str = "", kind: str = "") -> DataFrame:

@@ -1,9 +1,11 @@
 """Searches with vectors of chunks of documents, against brute force over embed_plain."""
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from arandu.functions.values import LEAST_COSINE, RERANK_WEIGHTS
-from arandu.operators.vectors import embed_plain
+from arandu.operators.vectors import embed_many, embed_plain
 from arandu.plans import queries as Q
 from arandu.plans.registry import QUERIES
 
@@ -51,6 +53,32 @@ def test_many_queries_with_cosines(spark, chunks):
         assert r["vector_score"] == pytest.approx(cosine(chunks[r["doc_id"], r["grp"]][1], embed_plain(Q._MANY[r["n_query"]])), abs=2e-6)
 
 
+def test_many_queries_embed_what_can_be_among_the_best(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text, size):
+        @F.pandas_udf("array<double>")
+        def vectors(texts: pd.Series) -> pd.Series:
+            seen.add(len(texts))
+            return pd.Series(embed_many(list(texts), size), dtype=object)
+
+        return vectors(text)
+
+    monkeypatch.setattr(Q.retrieval, "embed", counted)
+    rows, names = Q.chunk_contexts(spark, SF).where("doc_id < 30").drop("locator_path"), ["n", "rank", "chunk_id", "text_score", "vector_score"]
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    number = rows.count()
+    for column in ({}, {"heading": F.lit("x"), "text": F.concat("text", F.lit("x" * 900))}):  # without a length that fits, few have a text score
+        own = rows.withColumns(column)
+        stored = own.withColumn("vector", Q.vectors.embed("context"))
+        for queries, limit, most in ((Q._MANY, 3, number // 5), (["qqqq", "der und"], 3, number), (Q._MANY, number + 1, number)):
+            monkeypatch.setattr(Q.retrieval, "MOST_NAMED", 5 if column else 1_000)
+            before = seen.value
+            got = [tuple(r[n] for n in names) for r in Q.retrieval.search_many(own, queries, limit, "generic", embed_size=192).select(*names).collect()]
+            whole = [tuple(r[n] for n in names) for r in Q.retrieval.search_many(stored, queries, limit, "generic").select(*names).collect()]
+            assert sorted(got) == sorted(whole) and got and 0 < seen.value - before <= most
+
+
 def test_vectors_and_reuse_of_chunks(spark, chunks):
     got = {r["chunk_id"]: r["v"] for r in QUERIES["embed_hash_chunks"](spark, SF).collect()}
     assert got == {f"{d}_{g}": v for (d, g), (_, v) in chunks.items()}
